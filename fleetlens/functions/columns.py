@@ -59,7 +59,7 @@ def safe_trim(col):
 
 def drop_blank(arr):
     """Trimmed elements of an array without null and blank ones."""
-    return F.filter(F.transform(arr, F.trim), lambda x: x.isNotNull() & (x != ""))
+    return F.filter(F.transform(arr, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
 def clamp_min(col, low):

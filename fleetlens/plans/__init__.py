@@ -4,7 +4,7 @@ from importlib import import_module
 
 from fleetlens.plans.registry import CASES
 
-MODULES = ["queries", "states"]
+MODULES = ["queries", "states", "scalars", "configs", "payload_cases", "streams"]
 
 
 def load_cases():

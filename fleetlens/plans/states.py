@@ -217,15 +217,15 @@ DAY_MS = 86_400_000
 
 
 def timed(events):
-    return events.select("user_id", epoch_ms("ts").alias("at"), "event_type")
+    return events.select("user_id", epoch_ms("ts").alias("tms"), "event_type")
 
 
-WATCHED = f"""e AS (SELECT user_id, epoch_ms(ts) AS at, event_type FROM events),
-  s AS (SELECT user_id, min(at) AS start_ts FROM e WHERE event_type = 'signup' GROUP BY 1),
-  d AS (SELECT user_id, min(at) AS completed_ts FROM e JOIN s USING (user_id)
-    WHERE event_type = 'purchase' AND at >= start_ts AND at <= start_ts + {DAY_MS} GROUP BY 1),
+WATCHED = f"""e AS (SELECT user_id, epoch_us(ts) // 1000 AS tms, event_type FROM events),
+  s AS (SELECT user_id, min(tms) AS start_ts FROM e WHERE event_type = 'signup' GROUP BY 1),
+  d AS (SELECT user_id, min(tms) AS completed_ts FROM e JOIN s USING (user_id)
+    WHERE event_type = 'purchase' AND tms >= start_ts AND tms <= start_ts + {DAY_MS} GROUP BY 1),
   watched AS (SELECT user_id, start_ts, completed_ts, CASE WHEN completed_ts IS NOT NULL THEN 'COMPLETED'
-    WHEN (SELECT max(at) FROM e) > start_ts + {DAY_MS} THEN 'WATCH_TIMEOUT' ELSE 'IN_PROGRESS' END AS status
+    WHEN (SELECT max(tms) FROM e) > start_ts + {DAY_MS} THEN 'WATCH_TIMEOUT' ELSE 'IN_PROGRESS' END AS status
     FROM s LEFT JOIN d USING (user_id))"""
 
 
@@ -233,7 +233,7 @@ WATCHED = f"""e AS (SELECT user_id, epoch_ms(ts) AS at, event_type FROM events),
 def _(t):
     kind = F.col("event_type")
     return watch.watch_until_complete(
-        timed(t.events), ["user_id"], "at", kind == "signup", kind == "purchase", DAY_MS
+        timed(t.events), ["user_id"], "tms", kind == "signup", kind == "purchase", DAY_MS
     )
 
 

@@ -9,6 +9,7 @@ from fleetlens.functions.keys import CLUSTER
 from fleetlens.functions.quantity import parse_quantity
 from fleetlens.operators.query import quarantine
 from fleetlens.operators.state import latest_per_key
+from fleetlens.sources.payloads import parsed
 
 
 def read_changelog(events, cluster=None, kinds=("deployment", "service", "pod", "configmap")):
@@ -26,7 +27,7 @@ def read_changelog(events, cluster=None, kinds=("deployment", "service", "pod",
 
 def scan_namespace(deployments, namespace):
     """Distinct clusters among the native deployments of one namespace; rows without a name are left out."""
-    d = deployments.withColumn("_o", F.from_json("object", S.DEPLOYMENT_OBJECT)).select(
+    d = parsed(deployments, S.DEPLOYMENT_OBJECT, "object", "_o").select(
         F.col("_o.metadata.name").alias("cluster_id"),
         F.col("_o.metadata.namespace").alias("namespace"),
         F.col("_o.metadata.labels").alias("labels"),
@@ -94,8 +95,7 @@ def _base(labels):
 
 def _rows(df, schema, labels, cols, extra_rules=None):
     """(good, bad): bad rows lack a required field."""
-    typed = df.withColumn("_o", F.from_json("object", schema))
-    typed = typed.withColumns({**_base(labels(F.col("_o"))), **cols})
+    typed = parsed(df, schema, "object", "_o").withColumns({**_base(labels(F.col("_o"))), **cols})
     rules = {c: F.col(c).isNotNull() for c in ("cluster_id", "namespace", "name", "component", "create_time")}
     good, bad = quarantine(typed, rules | (extra_rules or {}))
     return good.drop("_o", "object"), bad.drop("_o")
@@ -142,29 +142,29 @@ def deployment_rows(df):
     return good.drop("has_status"), bad.drop("has_status")
 
 
-def _resource(specs, container, kind, name):
-    """Quantity of one resource of the last spec of a container."""
-    spec = F.get(F.filter(specs, lambda s: s["name"] == container), F.size(
-        F.filter(specs, lambda s: s["name"] == container)) - 1)
-    return parse_quantity(F.element_at(spec["resources"][kind], F.lit(name)))
-
-
 def pod_rows(df):
     """(pods, rejected) from pod objects, with the resources of each container looked up by name in the same row."""
     o = F.col("_o")
-    specs = o["spec"]["containers"]
-    statuses = F.coalesce(o["status"]["containerStatuses"], F.from_json(F.lit("[]"), _container_statuses()))
-    containers = F.transform(
+    specs = F.coalesce(o["spec"]["containers"], F.array().cast(_pod_type("spec", "containers")))
+    statuses = F.coalesce(o["status"]["containerStatuses"], F.array().cast(_pod_type("status", "containerStatuses")))
+    paired = F.transform(
         statuses,
         lambda c: F.struct(
-            c["name"].alias("name"), c["image"].alias("image"), c["ready"].alias("ready"),
-            c["restartCount"].alias("restart_count"),
-            resolve_container_state(c["state"])["state"].alias("state"),
-            resolve_container_state(c["state"])["detail"].alias("state_detail"),
-            _resource(specs, c["name"], "limits", "cpu").alias("cpu_limit"),
-            _resource(specs, c["name"], "requests", "cpu").alias("cpu_request"),
-            _resource(specs, c["name"], "limits", "memory").alias("memory_limit"),
-            _resource(specs, c["name"], "requests", "memory").alias("memory_request"),
+            c.alias("c"),
+            F.try_element_at(F.filter(specs, lambda s: s["name"] == c["name"]), F.lit(-1))["resources"].alias("r"),
+            resolve_container_state(c["state"]).alias("s"),
+        ),
+    )
+    quantity = lambda x, kind, name: parse_quantity(F.try_element_at(x["r"][kind], F.lit(name)))
+    containers = F.transform(
+        paired,
+        lambda x: F.struct(
+            x["c"]["name"].alias("name"), x["c"]["image"].alias("image"), x["c"]["ready"].alias("ready"),
+            x["c"]["restartCount"].alias("restart_count"),
+            x["s"]["state"].alias("state"), x["s"]["detail"].alias("state_detail"),
+            quantity(x, "limits", "cpu").alias("cpu_limit"), quantity(x, "requests", "cpu").alias("cpu_request"),
+            quantity(x, "limits", "memory").alias("memory_limit"),
+            quantity(x, "requests", "memory").alias("memory_request"),
         ),
     )
     cols = {
@@ -182,8 +182,8 @@ def pod_rows(df):
     return good.drop("has_parts"), bad.drop("has_parts")
 
 
-def _container_statuses():
-    return T.StructType.fromDDL(S.POD_OBJECT)["status"].dataType["containerStatuses"].dataType
+def _pod_type(part, name):
+    return T.StructType.fromDDL(S.POD_OBJECT)[part].dataType[name].dataType
 
 
 def workload_rows(objects):

@@ -19,8 +19,9 @@ def read_payloads(spark, path, schema, fmt="json", stream=False, **options):
     return reader.schema(schema).options(**options).format(fmt).load(path)
 
 
-def _parsed(df, schema, payload):
-    return df.withColumn("_p", F.from_json(payload, schema))
+def parsed(df, schema, payload, name="_p"):
+    """Add the parsed payload. It comes out of a generator, so that picking many fields does not parse many times."""
+    return df.select("*", F.explode_outer(F.array(F.from_json(payload, schema))).alias(name))
 
 
 def unreadable(df, schema, payload="payload"):
@@ -33,7 +34,7 @@ def unreadable(df, schema, payload="payload"):
 
 def payload_job_overview(df, keys=tuple(CLUSTER), payload="payload", ts="ts"):
     """One row per job with its nested task counts."""
-    j = _parsed(df, S.JOB_OVERVIEW, payload).select(*keys, ts, F.explode("_p.jobs").alias("j"))
+    j = parsed(df, S.JOB_OVERVIEW, payload).select(*keys, ts, F.explode("_p.jobs").alias("j"))
     return j.select(
         *keys,
         F.col("j.jid").alias("job_id"),
@@ -47,19 +48,19 @@ def payload_job_overview(df, keys=tuple(CLUSTER), payload="payload", ts="ts"):
 
 
 def payload_job_status(df, keys=tuple(CLUSTER), payload="payload"):
-    j = _parsed(df, S.JOB_STATUS, payload).select(*keys, F.explode("_p.jobs").alias("j"))
+    j = parsed(df, S.JOB_STATUS, payload).select(*keys, F.explode("_p.jobs").alias("j"))
     return j.select(*keys, F.col("j.id").alias("job_id"), F.col("j.status").alias("state"))
 
 
 def payload_metrics(df, keys=tuple(JOB), payload="payload", ts="ts"):
     """Map of metric id to value; the last entry of a repeated id wins."""
-    p = _parsed(df, S.METRICS, payload)
+    p = parsed(df, S.METRICS, payload)
     return p.select(*keys, ts, last_entries_map(F.col("_p"), "id", "value").alias("metrics"))
 
 
 def payload_metric_keys(df, keys=tuple(JOB), payload="payload"):
     """Distinct metric ids."""
-    ids = _parsed(df, S.METRICS, payload).select(*keys, F.explode("_p.id").alias("id"))
+    ids = parsed(df, S.METRICS, payload).select(*keys, F.explode("_p.id").alias("id"))
     return ids.distinct()
 
 
@@ -67,7 +68,7 @@ def payload_cluster_overview(df, keys=tuple(CLUSTER), payload="payload", ts="ts"
     p = F.col("_p")
     jobs = F.struct(*[p[f"jobs-{s}"].alias(s) for s in ("running", "finished")],
                     p["jobs-cancelled"].alias("canceled"), p["jobs-failed"].alias("failed"))
-    return _parsed(df, S.CLUSTER_OVERVIEW, payload).select(
+    return parsed(df, S.CLUSTER_OVERVIEW, payload).select(
         *keys,
         p["flink-version"].alias("version"),
         p["taskmanagers"].alias("members"),
@@ -80,22 +81,22 @@ def payload_cluster_overview(df, keys=tuple(CLUSTER), payload="payload", ts="ts"
 
 def payload_kv_config(df, keys=tuple(CLUSTER), payload="payload"):
     """Config map of each cluster; the last entry of a repeated key wins."""
-    p = _parsed(df, S.CONFIG, payload)
+    p = parsed(df, S.CONFIG, payload)
     return p.select(*keys, last_entries_map(F.col("_p")).alias("config"))
 
 
 def payload_member_ids(df, keys=tuple(CLUSTER), payload="payload"):
-    return _parsed(df, S.MEMBER_IDS, payload).select(*keys, F.explode("_p.taskmanagers.id").alias("tid"))
+    return parsed(df, S.MEMBER_IDS, payload).select(*keys, F.explode("_p.taskmanagers.id").alias("tid"))
 
 
 def payload_member_detail(df, keys=tuple(CLUSTER), payload="payload", ts="ts"):
     """Worker detail with its nested resource structs."""
-    return _parsed(df, S.MEMBER_DETAIL, payload).select(*keys, "_p.*", ts).withColumnRenamed("id", "tid")
+    return parsed(df, S.MEMBER_DETAIL, payload).select(*keys, "_p.*", ts).withColumnRenamed("id", "tid")
 
 
 def payload_op_status(df, keys=("job_id", "trigger_id"), payload="payload"):
     """State of an async operation. The cause is null if the operation has none."""
-    return _parsed(df, S.OP_STATUS, payload).select(
+    return parsed(df, S.OP_STATUS, payload).select(
         *keys,
         decode_enum(F.col("_p.status.id"), S.OP_STATES, "error").alias("state"),
         F.col("_p.operation.`failure-cause`.`stack-trace`").alias("failure_cause"),
@@ -112,7 +113,7 @@ def payload_pod_usage(df, keys=(*CLUSTER, "pod"), payload="payload"):
             parse_quantity(c["usage"]["memory"]).alias("memory"),
         ),
     )
-    return _parsed(df, S.POD_USAGE, payload).select(
+    return parsed(df, S.POD_USAGE, payload).select(
         *keys,
         F.unix_millis(F.try_to_timestamp("_p.timestamp")).alias("ts"),
         containers.alias("containers"),

@@ -32,9 +32,11 @@ class BatchTable:
 
     def write(self, df, batch_id, partition_by=(), kind="delta"):
         # the reader gives the schema, so columns are put into its order and types here
-        df.select(*[F.col(f.name).cast(f.dataType) for f in self._fields()]).write.mode("overwrite").partitionBy(
-            *partition_by
-        ).parquet(f"{self.path}/{kind}/batch={batch_id}")
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self._fields()])
+        if partition_by:
+            # few files per folder; adaptive execution splits a large folder over several tasks
+            rows = rows.hint("rebalance", *[F.col(c) for c in partition_by])
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/{kind}/batch={batch_id}")
 
     def _fields(self):
         return self.schema if isinstance(self.schema, T.StructType) else T.StructType.fromDDL(self.schema)
@@ -44,10 +46,16 @@ class BatchTable:
         below = lambda ids: [i for i in ids if before is None or i < before]
         base = below(self._committed("base"))[-1:]
         after = [i for i in below(self._committed("delta")) if not base or i > base[0]]
-        paths = [f"{self.path}/base/batch={i}" for i in base] + [f"{self.path}/delta/batch={i}" for i in after]
-        if not paths:
-            return self.spark.createDataFrame([], self._fields())
-        return self.spark.read.schema(self._fields()).parquet(*paths)
+        rows = self.spark.createDataFrame([], self._fields())
+        for kind, ids in (("base", base), ("delta", after)):
+            if ids:
+                rows = rows.unionByName(self._scan(kind, ids))
+        return rows
+
+    def _scan(self, kind, ids):
+        root = f"{self.path}/{kind}"
+        scan = self.spark.read.schema(self._fields()).option("basePath", root)
+        return scan.parquet(*[f"{root}/batch={i}" for i in ids]).select(*self._fields().names)
 
     def compact(self, batch_id, reduce):
         """Fold all batches up to and including this one into a base with `reduce`."""
