@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from fleetlens.functions.columns import enum_ordinal
 from fleetlens.schemas import QUANTITY_UNITS
 
 _UNIT_PATTERN = "(Ki|Mi|Gi|Ti|Pi|Ei|n|u|m|k|M|G|T|P|E)$"
@@ -20,8 +19,21 @@ def parse_quantity(col):
     )
 
 
-def _power(base, exponent):
-    return F.pow(F.lit(float(base)), exponent)
+def _steps(unit, target, mode):
+    """(multiply, divide, scale) from one unit to another."""
+    i, j = QUANTITY_UNITS.index(unit), QUANTITY_UNITS.index(target)
+    if mode == "exact":
+        # n, u, m lie at 1000^-3..-1 and k at 1000^1: the family has no unit for 1000^0
+        size = lambda o: 1000.0 ** (o - 3 if o < 3 else o - 2) if o < _BINARY else 1024.0 ** (o - _BINARY + 1)
+        return size(i), size(j), 1.0
+    from_k, from_ki = (lambda o: o - QUANTITY_UNITS.index(_DEFAULT)), (lambda o: o - _BINARY)
+    if i < _BINARY and j < _BINARY:
+        return 1.0, 1.0, 1000.0 ** (i - j)
+    if i >= _BINARY and j >= _BINARY:
+        return 1.0, 1.0, 1024.0 ** (i - j)
+    if i < _BINARY:
+        return 1.024, 1.0, 1000.0 ** (from_ki(j) - from_k(i))
+    return 1.0, 1.024, 1000.0 ** (from_ki(i) - from_k(j))
 
 
 def convert_quantity(quantity, unit, mode="reference"):
@@ -30,27 +42,23 @@ def convert_quantity(quantity, unit, mode="reference"):
     `reference` follows the rules of the system that is replaced: within one family it scales by the family's
     base, and between the families it goes through one k/Ki step of 1.024 (1.5 k is 1536 Mi).
     `exact` uses the true sizes of the decimal and binary units.
-    """
-    target = unit if not isinstance(unit, str) else F.lit(unit)
-    value, own = quantity["value"], quantity["unit"]
-    i, j = enum_ordinal(own, QUANTITY_UNITS), enum_ordinal(target, QUANTITY_UNITS)
-    if mode == "exact":
-        # n, u, m lie at 1000^-3..-1 and k at 1000^1: the family has no unit for 1000^0.
-        def size(o):
-            decimal = _power(1000, F.when(o < 3, o - 3).otherwise(o - 2))
-            return F.when(o < _BINARY, decimal).otherwise(_power(1024, o - _BINARY + 1))
 
-        return value * size(i) / size(j)
-    if mode != "reference":
+    All unit pairs are a constant map, so a row costs one lookup and three multiplications, without branches.
+    """
+    if mode not in ("reference", "exact"):
         raise ValueError("mode must be reference or exact")
-    from_k, from_ki = (lambda o: o - QUANTITY_UNITS.index("k")), (lambda o: o - _BINARY)
-    return (
-        F.when(own == target, value)
-        .when((i < _BINARY) & (j < _BINARY), value * _power(1000, i - j))
-        .when((i >= _BINARY) & (j >= _BINARY), value * _power(1024, i - j))
-        .when(i < _BINARY, value * 1.024 * _power(1000, from_ki(j) - from_k(i)))
-        .otherwise(value / 1.024 * _power(1000, from_ki(i) - from_k(j)))
-    )
+    one = isinstance(unit, str)
+    pairs = []
+    for u in QUANTITY_UNITS:
+        for t in [unit] if one else QUANTITY_UNITS:
+            multiply, divide, scale = _steps(u, t, mode)
+            pairs += [
+                F.lit(u if one else f"{u}>{t}"),
+                F.struct(F.lit(multiply).alias("m"), F.lit(divide).alias("d"), F.lit(scale).alias("s")),
+            ]
+    own = quantity["unit"] if one else F.concat_ws(">", quantity["unit"], unit)
+    step = F.try_element_at(F.create_map(*pairs), own)
+    return quantity["value"] * step["m"] / step["d"] * step["s"]
 
 
 def show_quantity(quantity):

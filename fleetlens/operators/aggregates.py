@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from fleetlens.functions.keys import CLUSTER
-from fleetlens.operators.spread import PART_ROWS, with_parts
+from fleetlens.operators.spread import with_parts
 from fleetlens.schemas import JOB_STATES
 
 
-def keys_by_cluster(df, cluster=tuple(CLUSTER), key="job_id", part_rows=PART_ROWS):
+def keys_by_cluster(df, cluster=tuple(CLUSTER), key="job_id", part_rows=None):
     """Sorted set of keys per cluster. Large clusters come as several parts (`part` of `parts`)."""
     distinct = df.select(*cluster, key).distinct()
     parts = with_parts(distinct, list(cluster), [key], part_rows)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators.spread import HOT_ROWS, newest_rows, with_previous
+from fleetlens.operators.spread import is_small, newest_rows, with_previous
+from fleetlens.session import reliable_checkpoint
 
 
 def set_fingerprint(df, group, cols):
@@ -16,7 +17,7 @@ def set_fingerprint(df, group, cols):
     )
 
 
-def only_changes(df, keys, order, cols, rows=HOT_ROWS):
+def only_changes(df, keys, order, cols, rows=None):
     """Rows whose `cols` differ from the previous row of the same key; the first row always counts."""
     same = F.lit(True)
     for c in cols:
@@ -25,18 +26,23 @@ def only_changes(df, keys, order, cols, rows=HOT_ROWS):
     return out.filter(F.col("_prev").isNull() | ~same).drop("_prev")
 
 
-def only_set_changes(df, keys, order, cols, rows=HOT_ROWS):
-    """Snapshots (keys, order) whose set of rows differs from the snapshot before."""
+def only_set_changes(df, keys, order, cols, rows=None):
+    """Snapshots (keys, order) whose set of rows differs from the snapshot before.
+
+    For a large table the fingerprints, one row per snapshot, are checkpointed, as they are looked at several times.
+    """
     prints = set_fingerprint(df, [*keys, *order], cols)
+    if not is_small(df):
+        prints = reliable_checkpoint(prints)
     return only_changes(prints, keys, order, ["hash1", "hash2", "members"], rows=rows)
 
 
-def first_of_error_runs(df, keys, order, is_error, message, rows=HOT_ROWS):
+def first_of_error_runs(df, keys, order, is_error, message, rows=None):
     """Errors whose message differs from the error before. Successes in between do not count."""
     return only_changes(df.filter(is_error), keys, order, [message], rows=rows)
 
 
-def tail(df, keys, order, n, rows=HOT_ROWS):
+def tail(df, keys, order, n, rows=None):
     """The last n rows per key."""
     return newest_rows(df, keys, order, n, rows=rows)
 

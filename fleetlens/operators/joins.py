@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.config import classify_clusters
 from fleetlens.functions.keys import CLUSTER, JOB
-from fleetlens.operators.spread import PART_ROWS, with_parts
+from fleetlens.operators.spread import with_parts
 
 
 def tracked_state(tracked, state, keys=tuple(CLUSTER)):
@@ -76,7 +76,7 @@ def require_found(df, col="found_in"):
 OBJECT_KINDS = ["deployment", "service", "pod", "config_map"]
 
 
-def assemble_snapshot(objects, keys=tuple(CLUSTER), item="name", part_rows=PART_ROWS):
+def assemble_snapshot(objects, keys=tuple(CLUSTER), item="name", part_rows=None):
     """Names (or structs) of all objects of each cluster, one array per kind. `objects` has keys, kind and item.
 
     All kinds go through one grouping. A cluster with more than `part_rows` objects comes as several parts, so that

@@ -111,8 +111,7 @@ def quarantine(df, rules):
         F.array(*[F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()]),
         lambda x: x.isNotNull(),
     )
-    marked = df.withColumn("broken_rules", broken)
-    return marked.filter(F.size("broken_rules") == 0).drop("broken_rules"), marked.filter(F.size("broken_rules") > 0)
+    return df.filter(all_of(rules.values())), df.withColumn("broken_rules", broken).filter(F.size("broken_rules") > 0)
 
 
 _SORT_FIELDS = {

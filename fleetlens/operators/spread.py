@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 HOT_TOP = 10_000
 HOT_ROWS = 1_000_000
 PART_ROWS = 100_000
+# A table below this size is a single task's work, so there is nothing to split.
+SMALL_BYTES = 16 * 1024 * 1024
 
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 _TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -27,6 +29,18 @@ def order_number(df, col):
     raise TypeError(f"order column {col} must be a number or a time, not {dtype.simpleString()}")
 
 
+def is_small(df):
+    """Does the optimizer's size estimate (file sizes, for scans) stay below SMALL_BYTES? Unknown sizes are large."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+
+
+def _limit(df, rows, default=HOT_ROWS):
+    """Rows from which on a key is hot. None means: the default, and no splitting at all for a small table."""
+    if rows is not None:
+        return rows
+    return None if is_small(df) else default
+
+
 def _on(left, right, keys):
     cond = F.lit(True)
     for k in keys:
@@ -54,7 +68,7 @@ def _with_hot(df, keys, hot):
     return df.join(hot, _on(df, hot, keys), "left").drop(*[f"_hot_{k}" for k in keys])
 
 
-def cut(df, keys, order, rows=HOT_ROWS):
+def cut(df, keys, order, rows):
     """Add `_slice`: 0 for ordinary keys, and for hot keys a number that grows with the order column.
 
     The slice depends only on the row's key and order value, so equal order values share a slice.
@@ -66,14 +80,17 @@ def cut(df, keys, order, rows=HOT_ROWS):
     return x.withColumn("_slice", F.coalesce(sliced, F.lit(0)).cast("bigint")).drop("_rows", "_lo", "_hi")
 
 
-def with_previous(df, keys, order, cols, name="_prev", rows=HOT_ROWS):
+def with_previous(df, keys, order, cols, name="_prev", rows=None):
     """Add a struct with `cols` of the previous row of the same key (null for the first row).
 
     A hot key is cut into slices by its order column. The last row of each slice is carried over to the next slice
     as an extra row, so that all slices are worked on in parallel and the data is shuffled once.
     """
-    x = cut(df, keys, order[0], rows)
+    rows = _limit(df, rows)
     packed = F.struct(*cols)
+    if rows is None:
+        return df.withColumn(name, F.lag(packed).over(Window.partitionBy(*keys).orderBy(*order)))
+    x = cut(df, keys, order[0], rows)
     kept = list(dict.fromkeys([*order, *cols]))
     tails = (
         x.filter(F.col("_slice") > 0)
@@ -92,8 +109,34 @@ def with_previous(df, keys, order, cols, name="_prev", rows=HOT_ROWS):
     return both.withColumn(name, F.lag(packed).over(w)).filter(~F.col("_carried")).drop("_carried", "_slice")
 
 
-def newest_rows(df, keys, order, n, rows=HOT_ROWS):
+def with_rank(df, keys, order, name="_rank", rows=None):
+    """Add the row number within the key. A hot key is numbered slice by slice, each from where the last one ended."""
+    rows = _limit(df, rows)
+    if rows is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    x = cut(df, keys, order[0], rows)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # one extra row per slice of a hot key brings the number of rows before the slice
+    starts = (
+        x.filter(F.col("_slice") > 0)
+        .groupBy(*keys, "_slice")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_count"), F.lit(0).alias("_row"))
+    )
+    both = x.withColumns({"_count": F.lit(1).cast("bigint"), "_row": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_slice").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(name, F.sum("_count").over(w)).filter("_row = 1").drop("_count", "_row", "_slice")
+
+
+def newest_rows(df, keys, order, n, rows=None):
     """The last n rows per key. For hot keys only the newest slices that hold n rows are looked at."""
+    rows = _limit(df, rows)
+    x = df if rows is None else _newest_slices(df, keys, order, n, rows)
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return x.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def _newest_slices(df, keys, order, n, rows):
     x = cut(df, keys, order[0], rows)
     newest_first = (
         Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -108,19 +151,21 @@ def newest_rows(df, keys, order, n, rows=HOT_ROWS):
         .agg(F.max("_slice").alias("_from"))
     )
     x = _with_hot(x, keys, enough).filter(F.col("_from").isNull() | (F.col("_slice") >= F.col("_from")))
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return x.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank", "_from", "_slice")
+    return x.drop("_from", "_slice")
 
 
-def with_parts(df, group, spread, part_rows=PART_ROWS):
-    """Add `part` and `parts`: a group is split by hash into as many parts as its size asks for."""
+def with_parts(df, group, spread, part_rows=None):
+    """Add `part` and `parts`: a group is split by hash into as many parts of `part_rows` as its size asks for."""
+    part_rows = _limit(df, part_rows, PART_ROWS)
+    if part_rows is None:
+        return df.withColumns({"parts": F.lit(1).cast("bigint"), "part": F.lit(0).cast("bigint")})
     x = _with_hot(df, group, hot_keys(df, group, part_rows))
     parts = F.coalesce(F.ceil(F.col("_rows") / F.lit(part_rows)), F.lit(1)).cast("bigint")
     part = F.pmod(F.xxhash64(*spread), F.col("parts"))
     return x.withColumn("parts", parts).withColumn("part", part).drop("_rows")
 
 
-def spread_join(big, small, keys, spread, how="inner", rows=HOT_ROWS, salts=64):
+def spread_join(big, small, keys, spread, how="inner", rows=None, salts=64):
     """Join on keys of which some are hot in `big` while `small` holds few rows per key.
 
     Rows of hot keys get a salt from the `spread` columns; only the rows of those keys in `small` are repeated once
@@ -128,6 +173,9 @@ def spread_join(big, small, keys, spread, how="inner", rows=HOT_ROWS, salts=64):
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
+    rows = _limit(big, rows)
+    if rows is None:
+        return big.join(small, list(keys), how)
     hot = hot_keys(big.filter(F.col(keys[0]).isNotNull()), keys, rows)
     left = _with_hot(big, keys, hot).withColumn(
         "_salt", F.when(F.col("_rows").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
@@ -136,3 +184,15 @@ def spread_join(big, small, keys, spread, how="inner", rows=HOT_ROWS, salts=64):
     right = _with_hot(small, keys, hot).withColumn("_salt", F.explode(every.cast("array<bigint>")))
     left = left.withColumn("_salt", F.col("_salt").cast("bigint")).drop("_rows")
     return left.join(right.drop("_rows"), [*keys, "_salt"], how).drop("_salt")
+
+
+def salted_join(big, small, keys, spread, how="left", salts=32):
+    """Join with a side of one row per key whose keys may each hold many rows of `big`, such as resets per scope.
+
+    Every row of the narrow side is repeated per salt, so no count of the keys is needed beforehand.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"cannot salt a {how} join")
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("bigint"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

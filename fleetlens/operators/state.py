@@ -4,9 +4,10 @@ All rules are associative: applying an operator to the reduced rows of earlier b
 result over all rows. The streaming forms rely on that.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.spread import salted_join, spread_join, with_rank
+
 
 def _rest(df, keys):
     return [c for c in df.columns if c not in keys]
@@ -30,13 +31,13 @@ def live_members(ops, keys, order, op="op", scope=(), add="add", remove="remove"
         F.max_by(is_add, rank).alias("_live"), F.max(F.struct(*order)).alias("_seq")
     )
     cleared = ops.filter(F.col(op) == clear).groupBy(*scope).agg(F.max(F.struct(*order)).alias("_cleared"))
-    return _after_reset(last, cleared, scope, F.col("_seq")).filter("_live").select(*keys)
+    return _after_reset(last, cleared, scope, keys, F.col("_seq")).filter("_live").select(*keys)
 
 
-def _after_reset(rows, resets, scope, seq):
+def _after_reset(rows, resets, scope, keys, seq):
     """Rows newer than the last reset of their scope. `resets` has one row per scope with `_cleared`."""
     if scope:
-        joined = rows.join(resets, list(scope), "left")
+        joined = salted_join(rows, resets, list(scope), keys, "left")
         return joined.filter(F.col("_cleared").isNull() | (seq > F.col("_cleared")))
     newest = resets.select("_cleared").scalar()
     return rows.withColumn("_cleared", newest).filter(F.col("_cleared").isNull() | (seq > F.col("_cleared")))
@@ -56,14 +57,14 @@ def materialize_changelog(events, scope, key, seq="seq", op="op", reset="Reseted
     """
     keyed = latest_per_key(events.filter(F.col(op) != reset), [*scope, *key], [seq])
     resets = events.filter(F.col(op) == reset).groupBy(*scope).agg(F.max(seq).alias("_cleared"))
-    live = _after_reset(keyed, resets, scope, F.col(seq))
+    live = _after_reset(keyed, resets, scope, [*scope, *key], F.col(seq))
     return live.filter(F.col(op) != deleted).drop("_cleared")
 
 
-def replace_snapshot(rows, scope, seq="batch_seq"):
-    """Rows of the newest full snapshot of each scope."""
+def replace_snapshot(rows, scope, seq="batch_seq", spread=None):
+    """Rows of the newest full snapshot of each scope. A large snapshot is spread by `spread` (default: all columns)."""
     newest = rows.groupBy(*scope).agg(F.max(seq).alias(seq))
-    return rows.join(newest, [*scope, seq], "left_semi")
+    return salted_join(rows, newest, [*scope, seq], spread or rows.columns, "left_semi").select(*rows.columns)
 
 
 def reconcile(state, listing, keys):
@@ -71,23 +72,24 @@ def reconcile(state, listing, keys):
     return state.join(listing.select(*keys), list(keys), "left_semi")
 
 
-def reconcile_and_upsert(listings, records, scope, key, seq="seq"):
+def reconcile_and_upsert(listings, records, scope, key, seq="seq", rows=None):
     """Latest record per key, kept only while every poll since that record listed the key.
 
     `listings` has one row per (scope, poll, key); a poll that listed nothing has one row with a null key.
     """
     polls = listings.select(*scope, seq).distinct()
-    numbered = polls.withColumn("_poll", F.row_number().over(Window.partitionBy(*scope).orderBy(seq)))
+    numbered = with_rank(polls, list(scope), [seq], "_poll", rows)
     newest = numbered.groupBy(*scope).agg(F.max("_poll").alias("_polls"))
     last = latest_per_key(records, [*scope, *key], [seq])
-    # polls at or before the record: the record belongs to the poll with its own number
     since = last.select(*scope, *key, F.col(seq).alias("_since"))
-    listed = listings.filter(F.col(key[0]).isNotNull()).join(since, [*scope, *key])
-    listed = listed.filter(F.col(seq) > F.col("_since")).groupBy(*scope, *key).agg(F.count_distinct(seq).alias("_seen"))
-    at = last.join(numbered, [*scope, seq], "left").join(newest, list(scope), "left")
-    at = at.join(listed, [*scope, *key], "left")
+    listed = listings.filter(F.col(key[0]).isNotNull()).select(*scope, *key, seq)
+    listed = spread_join(listed, since, [*scope, *key], [seq], "inner", rows).filter(F.col(seq) > F.col("_since"))
+    listed = listed.groupBy(*scope, *key).agg(F.count_distinct(seq).alias("_seen"))
+    # a record belongs to the poll with its own number
+    at = salted_join(last, numbered, [*scope, seq], key, "left")
+    at = salted_join(at, newest, list(scope), key, "left").join(listed, [*scope, *key], "left")
     missed = F.col("_polls") - F.col("_poll") - F.coalesce("_seen", F.lit(0))
-    return at.filter(missed == 0).drop("_poll", "_polls", "_seen")
+    return at.filter(missed == 0).select(*records.columns)
 
 
 def size(df, keys):
@@ -194,14 +196,14 @@ def remove_all(state, gone, keys):
     return state.join(gone.select(*keys), list(keys), "left_anti")
 
 
-def gate_by_tracking(df, tracking, keys, seq, op="op", start="Start", stop="Stop"):
+def gate_by_tracking(df, tracking, keys, seq, op="op", start="Start", stop="Stop", rows=None):
     """Rows of tracked clusters only. A stop drops all that came before it, also after a new start."""
     stops = tracking.filter(F.col(op) == stop).groupBy(*keys).agg(F.max(seq).alias("_stop"))
     starts = tracking.filter(F.col(op) == start).select(*keys, F.col(seq).alias("_start"))
     since = (
-        starts.join(stops, list(keys), "left")
+        spread_join(starts, stops, list(keys), ["_start"], "left", rows)
         .filter(F.col("_stop").isNull() | (F.col("_start") > F.col("_stop")))
         .groupBy(*keys)
         .agg(F.min("_start").alias("_start"))
     )
-    return df.join(since, list(keys)).filter(F.col(seq) >= F.col("_start")).drop("_start")
+    return spread_join(df, since, list(keys), [seq], "inner", rows).filter(F.col(seq) >= F.col("_start")).select(*df.columns)

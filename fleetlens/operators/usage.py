@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fleetlens.operators.spread import salted_join
 from fleetlens.operators.state import latest_per_key
 
 
@@ -15,7 +16,7 @@ def usage_by_live_pods(pod_events, usage, scope, key, seq="seq", op="op", reset=
     )
     resets = pod_events.filter(is_op(reset)).groupBy(*scope).agg(F.max(seq).alias("_reset"))
     live = pods.filter(F.col("_deleted").isNull() | (F.col("_last") > F.col("_deleted")))
-    live = live.join(resets, list(scope), "left")
+    live = salted_join(live, resets, list(scope), [*scope, *key], "left")
     live = live.filter(F.col("_reset").isNull() | (F.col("_last") > F.col("_reset")))
     since = live.select(*scope, *key, F.greatest("_deleted", "_reset").alias("_since"))
     last = latest_per_key(usage, [*scope, *key], [seq]).join(since, [*scope, *key])

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators.spread import HOT_ROWS, spread_join
+from fleetlens.operators.spread import spread_join
 
 
-def watch_until_complete(events, keys, ts, is_start, is_done, timeout, now=None, rows=HOT_ROWS):
+def watch_until_complete(events, keys, ts, is_start, is_done, timeout, now=None, rows=None):
     """One row per started operation: status COMPLETED, WATCH_TIMEOUT or IN_PROGRESS, with start and completion.
 
     The operation starts with its first start row and completes with its first done row from then on, unless that

@@ -1,6 +1,7 @@
 """Registry of queries and their SQL."""
 
 CASES = {}
+_SCHEMAS = {}
 
 
 class Tables:
@@ -11,7 +12,10 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def __getattr__(self, name):
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def stream(self, name):
         """One table as a stream of its files."""

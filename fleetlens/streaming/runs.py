@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.keys import CLUSTER, JOB
 from fleetlens.operators import changes, state, watch
-from fleetlens.operators.spread import HOT_ROWS, spread_join
+from fleetlens.operators.spread import spread_join
 from fleetlens.sources import tables
 from fleetlens.sources.objects import endpoint_table
 
@@ -119,10 +119,11 @@ def stream_both(stream, current_path, history_path, checkpoint, **options):
     return query, lambda: tables.read_current(current), lambda: history.read().dropDuplicates([*JOB, "ts"])
 
 
-def stream_changes(stream, path, checkpoint, keys, order, cols, rows=HOT_ROWS, where=None, **options):
+def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where=None, **options):
     """Rows that differ from the row before of their key, over all micro-batches; with `where` among those rows only.
 
     The last row per key is carried in a table. Rows that are not newer than the carried one are late and dropped.
+    Keys must not be null.
     """
     source = stream if where is None else stream.filter(where)
     spark = stream.sparkSession
@@ -134,14 +135,15 @@ def stream_changes(stream, path, checkpoint, keys, order, cols, rows=HOT_ROWS, w
         b = b.persist()
         carried = reduce(last.read(before=i)).join(b.select(*keys).distinct(), list(keys), "left_semi")
         newest = carried.select(*keys, F.struct(*order).alias("_carried"))
-        fresh = b.join(newest, list(keys), "left")
+        fresh = spread_join(b, newest, list(keys), order, "left", rows)
         fresh = fresh.filter(F.col("_carried").isNull() | (F.struct(*order) > F.col("_carried"))).drop("_carried")
         both = fresh.withColumn("_new", F.lit(True)).unionByName(
             carried.withColumn("_new", F.lit(False)), allowMissingColumns=True
-        )
+        ).persist()
         emitted = changes.only_changes(both, keys, order, cols, rows).filter("_new").drop("_new")
         out.write(emitted, i)
-        last.write(reduce(fresh), i)
+        last.write(reduce(both.filter("_new").drop("_new")), i)
+        both.unpersist()
         b.unpersist()
         if i and i % COMPACT_EVERY == 0:
             last.compact(i, reduce)
@@ -155,7 +157,7 @@ def stream_first_errors(stream, path, checkpoint, keys, order, is_error, message
     return stream_changes(stream, path, checkpoint, keys, order, [message], where=is_error, **options)
 
 
-def stream_watch(stream, table_path, checkpoint, keys, ts, is_start, is_done, timeout, rows=HOT_ROWS, **options):
+def stream_watch(stream, table_path, checkpoint, keys, ts, is_start, is_done, timeout, rows=None, **options):
     """Async operations until complete or timed out. Kept per batch: first start, first completion after a known
     start, and the newest event time. Starts must come in or before the batch of their completion."""
     spark = stream.sparkSession

@@ -56,7 +56,7 @@ def test_latest_combines_before_the_shuffle(jobs):
 
 
 def test_changes_shuffle_the_rows_once(jobs):
-    text = plan(spread.with_previous(jobs, ["cluster_id"], ["start_ts"], ["state"]))
+    text = plan(spread.with_previous(jobs, ["cluster_id"], ["start_ts"], ["state"], rows=10))
     # the wide rows (with `extra`) go through one exchange, by key and slice
     assert sum("extra" in line and "Exchange" in line for line in text.splitlines()) <= 1
     assert "hashpartitioning(cluster_id" in text and "_slice" in text
@@ -64,7 +64,7 @@ def test_changes_shuffle_the_rows_once(jobs):
 
 
 def test_broadcast_of_hot_keys_is_bounded(jobs):
-    text = plan(spread.cut(jobs, ["cluster_id"], "start_ts"))
+    text = plan(spread.cut(jobs, ["cluster_id"], "start_ts", 10))
     assert f"limit={spread.HOT_TOP}" in text and "BroadcastHashJoin" in text
 
 

@@ -49,7 +49,19 @@ def test_only_changes_with_gaps_nulls_and_times(spark):
 
 def test_order_column_must_be_sliceable(spark):
     with pytest.raises(TypeError):
-        spread.cut(spark.createDataFrame([("a", "b")], "k STRING, o STRING"), ["k"], "o")
+        spread.cut(spark.createDataFrame([("a", "b")], "k STRING, o STRING"), ["k"], "o", 1)
+
+
+@FEW
+@given(EVENTS)
+@pytest.mark.parametrize("rows", [3, None])
+def test_rank(spark, rows, data):
+    count, want = defaultdict(int), set()
+    for i, (k, _) in enumerate(data):
+        count[k] += 1
+        want.add((k, i, count[k]))
+    got = spread.with_rank(frame(spark, data), ["k"], ["seq"], "n", rows=rows)
+    assert {(r.k, r.seq, r.n) for r in got.collect()} == want
 
 
 @FEW
@@ -70,8 +82,10 @@ def test_spread_join_equals_join(spark, how):
     small = spark.createDataFrame([(1, "x"), (3, "y"), (4, "z"), (None, "n")], "k INT, name STRING")
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     want = sorted(map(key, big.join(small, "k", how).collect()))
-    got = spread.spread_join(big, small, ["k"], ["seq"], how, rows=10, salts=5)
-    assert sorted(map(key, got.select(*big.join(small, "k", how).columns).collect())) == want
+    columns = big.join(small, "k", how).columns
+    for got in (spread.spread_join(big, small, ["k"], ["seq"], how, rows=10, salts=5),
+                spread.salted_join(big, small, ["k"], ["seq"], how, salts=5)):
+        assert sorted(map(key, got.select(*columns).collect())) == want
 
 
 def test_parts_keep_all_members(spark):
@@ -165,5 +179,6 @@ def test_reconcile_and_upsert(spark, polls):
     listings = [("s", k, i) for i, listed, _ in polls for k in (listed or {None})]
     records = [("s", k, i) for i, _, recs in polls for k in recs]
     make = lambda data: spark.createDataFrame(data, "scope STRING, k INT, seq BIGINT")
-    got = state.reconcile_and_upsert(make(listings), make(records), ["scope"], ["k"])
-    assert {r.k: r.seq for r in got.collect()} == brute_reconcile(polls)
+    for rows in (2, None):
+        got = state.reconcile_and_upsert(make(listings), make(records), ["scope"], ["k"], rows=rows)
+        assert {r.k: r.seq for r in got.collect()} == brute_reconcile(polls)
