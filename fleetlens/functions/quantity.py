@@ -4,19 +4,21 @@ from pyspark.sql import functions as F
 
 from fleetlens.schemas import QUANTITY_UNITS
 
-_UNIT_PATTERN = "(Ki|Mi|Gi|Ti|Pi|Ei|n|u|m|k|M|G|T|P|E)$"
 _BINARY = QUANTITY_UNITS.index("Ki")
 _DEFAULT = "k"
 
 
 def parse_quantity(col):
     """struct(value DOUBLE, unit STRING). Text without a unit counts in `k`; bad numbers give null."""
-    unit = F.nullif(F.regexp_extract(col, _UNIT_PATTERN, 1), F.lit(""))
-    value = F.trim(F.regexp_replace(col, _UNIT_PATTERN, "")).try_cast("double")
-    return F.when(
-        col.isNotNull(),
-        F.struct(value.alias("value"), F.coalesce(unit, F.lit(_DEFAULT)).alias("unit")),
+    two, one = F.right(col, F.lit(2)), F.right(col, F.lit(1))
+    unit = (
+        F.when(two.isin(*QUANTITY_UNITS[_BINARY:]), two)
+        .when(one.isin(*QUANTITY_UNITS[:_BINARY]), one)
+        .otherwise(F.lit(_DEFAULT))
     )
+    # the number is the text before the unit
+    value = F.trim(F.call_function("substring_index", col, unit, F.lit(1))).try_cast("double")
+    return F.when(col.isNotNull(), F.struct(value.alias("value"), unit.alias("unit")))
 
 
 def _steps(unit, target, mode):
@@ -48,16 +50,14 @@ def convert_quantity(quantity, unit, mode="reference"):
     if mode not in ("reference", "exact"):
         raise ValueError("mode must be reference or exact")
     one = isinstance(unit, str)
-    pairs = []
+    entries = []
     for u in QUANTITY_UNITS:
         for t in [unit] if one else QUANTITY_UNITS:
             multiply, divide, scale = _steps(u, t, mode)
-            pairs += [
-                F.lit(u if one else f"{u}>{t}"),
-                F.struct(F.lit(multiply).alias("m"), F.lit(divide).alias("d"), F.lit(scale).alias("s")),
-            ]
+            name = u if one else f"{u}>{t}"
+            entries.append(f"'{name}', named_struct('m', {multiply!r}D, 'd', {divide!r}D, 's', {scale!r}D)")
     own = quantity["unit"] if one else F.concat_ws(">", quantity["unit"], unit)
-    step = F.try_element_at(F.create_map(*pairs), own)
+    step = F.try_element_at(F.expr(f"map({', '.join(entries)})"), own)
     return quantity["value"] * step["m"] / step["d"] * step["s"]
 
 

@@ -11,8 +11,9 @@ from fleetlens.schemas import JOB_STATES
 from fleetlens.session import reliable_checkpoint
 
 DEFAULT_PAGE_SIZE = 10
-# Largest page end that is served by a top-n; deeper pages go through the ranked index.
-TOP_N_ROWS = 100_000
+# Largest page end that is served by a top-n, for which every task hands that many rows to the driver; deeper pages go
+# through the ranked index.
+TOP_N_ROWS = 1_000
 
 
 @dataclass(frozen=True)

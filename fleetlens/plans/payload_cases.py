@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetlens.functions.quantity import parse_quantity
-from fleetlens.operators import joins
+from fleetlens.operators import joins, state
 from fleetlens.operators.changes import tail
 from fleetlens.plans.registry import case
 from fleetlens.plans.roles import cents, epoch_ms, text
@@ -351,15 +351,15 @@ def _(t):
     return rows.select("event_id", "r.state", "r.detail.exit_code")
 
 
-@case("s12_workload_rows", f"""WITH {SERVICES} SELECT 'service' AS kind, count(*) FILTER (k % 11 <> 0) AS good,
-  count(*) FILTER (k % 11 = 0) AS bad FROM svc UNION ALL SELECT 'pod', count(*), 0 FROM lineitem""")
+@case("s12_workload_rows", f"""WITH {SERVICES} SELECT 'service' AS kind, name, k % 11 <> 0 AS good FROM svc
+  UNION ALL SELECT 'pod', concat('p-', l_orderkey, '-', l_linenumber), true FROM lineitem""")
 def _(t):
     every = _services(t).unionByName(_pods(t).withColumn("kind", F.lit("pod")))
-    rows = objects.workload_rows(every)
-    n = lambda df: df.agg(F.count(F.lit(1))).scalar()
-    one = lambda kind: t.region.limit(1).select(
-        F.lit(kind).alias("kind"), n(rows[kind][0]).alias("good"), n(rows[kind][1]).alias("bad"))
-    return one("service").unionByName(one("pod"))
+    sides = [
+        side.select("kind", "name", F.lit(good).alias("good"))
+        for pair in objects.workload_rows(every).values() for side, good in zip(pair, (True, False))
+    ]
+    return state.union_all(sides)
 
 
 @case("s13_read_log_lines", """SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 86400 SECONDS

@@ -95,10 +95,9 @@ def _(t):
     return query.select_all(jobs(t), JobFilter(states=frozenset(["RESTARTING"])), ORDERS)
 
 
-@case("q3s_sort_by", f"""WITH {JOBS} SELECT {COLS} FROM jobs
-  ORDER BY {STATE_ORDER} DESC, job_name, cluster_id, namespace, job_id LIMIT 300""")
+@case("q3s_sort_by", f"WITH {JOBS} SELECT {COLS} FROM jobs")
 def _(t):
-    return query.sort_by(jobs(t), (("jobState", "desc"), ("jobName", "asc"))).limit(300)
+    return query.sort_by(jobs(t), (("jobState", "desc"), ("jobName", "asc")))
 
 
 @case("q4_page_envelope", f"""WITH {JOBS}, n AS (
@@ -116,10 +115,9 @@ def _(t):
     return query.page(jobs(t), PageRequest(0, -5), query.order_columns(()))
 
 
-@case("q6_canonical_order", f"""WITH {JOBS} SELECT DISTINCT cluster_id, namespace FROM jobs
-  ORDER BY namespace, cluster_id LIMIT 40""")
+@case("q6_canonical_order", f"""WITH {JOBS} SELECT DISTINCT cluster_id, namespace FROM jobs""")
 def _(t):
-    return query.canonical_order(jobs(t).select("cluster_id", "namespace").distinct(), "k8s_ref").limit(40)
+    return query.canonical_order(jobs(t).select("cluster_id", "namespace").distinct(), "k8s_ref")
 
 
 @case("q7_list_all", f"WITH {JOBS} SELECT {COLS} FROM jobs")
@@ -183,7 +181,7 @@ def _requests(t):
 
 
 def _endpoints(t):
-    return t.supplier.filter("s_suppkey % 2 = 0").select(
+    return t.supplier.filter("s_acctbal < 6000").select(
         F.col("s_suppkey").alias("cluster"), F.concat("s_name", F.lit("-rest.ns")).alias("host"),
         (8000 + F.col("s_suppkey") % 100).alias("port"),
     )
@@ -192,7 +190,7 @@ def _endpoints(t):
 REQUESTS = """requests AS (SELECT c_custkey AS request, c_custkey % 120 AS cluster, concat('/jobs/', c_nationkey) AS path
   FROM customer),
   ends AS (SELECT s_suppkey AS cluster, concat(s_name, '-rest.ns') AS host, 8000 + s_suppkey % 100 AS port
-  FROM supplier WHERE s_suppkey % 2 = 0)"""
+  FROM supplier WHERE s_acctbal < 6000)"""
 
 
 @case("j4_route_lookup", f"""WITH {REQUESTS}, opened AS (SELECT s_suppkey AS cluster FROM supplier WHERE s_acctbal > 2000)
@@ -215,13 +213,13 @@ def _(t):
 
 
 @case("j6_lookup_with_fallback", f"""WITH {REQUESTS}, src AS (
-    SELECT s_suppkey AS cluster, s_name AS host, 8081 AS port FROM supplier WHERE s_suppkey % 3 = 0)
+    SELECT s_suppkey AS cluster, s_name AS host, 8081 AS port FROM supplier WHERE s_acctbal > 1000)
   SELECT request, r.cluster, path, coalesce(e.host, s.host) AS host,
          CAST(coalesce(e.port, s.port) AS BIGINT) AS port,
          CASE WHEN e.host IS NOT NULL THEN 'cache' WHEN s.host IS NOT NULL THEN 'source' END AS found_in
   FROM requests r LEFT JOIN ends e ON r.cluster = e.cluster LEFT JOIN src s ON r.cluster = s.cluster""")
 def _(t):
-    source = t.supplier.filter("s_suppkey % 3 = 0").select(
+    source = t.supplier.filter("s_acctbal > 1000").select(
         F.col("s_suppkey").alias("cluster"), F.col("s_name").alias("host"), F.lit(8081).cast("bigint").alias("port")
     )
     return joins.lookup_with_fallback(_requests(t), _endpoints(t), source, ["cluster"], ["host", "port"])
@@ -318,3 +316,10 @@ def _(t):
 @case("a11_random_member")
 def _(t):
     return aggregates.random_member(jobs(t), ["cluster_id", "namespace"], "job_id", 42)
+
+
+@case("a11_random_members_are_members", f"WITH {JOBS} SELECT DISTINCT cluster_id, namespace, true AS found FROM jobs")
+def _(t):
+    picked = aggregates.random_member(jobs(t), ["cluster_id", "namespace"], "job_id", 42)
+    found = jobs(t).select(*K.JOB, F.lit(True).alias("found"))
+    return picked.join(found, K.JOB, "left").drop("job_id")

@@ -65,16 +65,16 @@ def _(t):
 
 
 @case("a7_update_existing", f"""WITH {LAST}, up AS (
-    SELECT c_custkey AS user_id, c_acctbal AS value FROM customer WHERE c_custkey % 3 = 0)
+    SELECT c_custkey AS user_id, c_acctbal AS value FROM customer WHERE c_acctbal > 3000)
   SELECT user_id, event_id, event_type, CASE WHEN up.value IS NOT NULL THEN last.value + up.value ELSE last.value END AS value
   FROM last LEFT JOIN up USING (user_id)""")
 def _(t):
-    up = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    up = t.customer.filter("c_acctbal > 3000").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
     return state.update_existing(_last(t), up, ["user_id"], {"value": F.col("value") + F.col("new.value")})
 
 
 @case("a8_upsert", f"""WITH {LAST}, up AS (SELECT c_custkey AS user_id, c_acctbal AS value FROM customer
-    WHERE c_custkey % 2 = 0)
+    WHERE c_acctbal > 5000)
   SELECT coalesce(last.user_id, up.user_id) AS user_id,
          CASE WHEN last.user_id IS NULL THEN -1 ELSE event_id END AS event_id,
          CASE WHEN last.user_id IS NULL THEN 'new' ELSE event_type END AS event_type,
@@ -82,7 +82,7 @@ def _(t):
               ELSE greatest(last.value, up.value) END AS value
   FROM last FULL JOIN up ON last.user_id = up.user_id""")
 def _(t):
-    up = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
+    up = t.customer.filter("c_acctbal > 5000").select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").alias("value"))
     put = {"event_id": F.lit(-1).cast("bigint"), "event_type": F.lit("new"), "value": F.col("new.value")}
     return state.upsert(_last(t), up, ["user_id"], put, {"value": F.greatest(F.col("value"), F.col("new.value"))})
 
@@ -112,20 +112,19 @@ def _(t):
 
 
 @case("o1_snapshot_diff", """WITH old AS (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events
-    WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 7 <> 0 GROUP BY 1),
+    WHERE ts < TIMESTAMP '2024-01-15' AND event_type IN ('signup', 'view') GROUP BY 1),
   new AS (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events
-    WHERE ts < TIMESTAMP '2024-01-20' AND user_id % 5 <> 0 GROUP BY 1)
+    WHERE ts >= TIMESTAMP '2024-01-13' AND ts < TIMESTAMP '2024-01-16' AND event_type <> 'error' GROUP BY 1)
   SELECT coalesce(o.user_id, n.user_id) AS user_id, o.event_type AS old_type, n.event_type AS new_type,
     CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed'
          WHEN o.event_type = n.event_type THEN 'same' ELSE 'changed' END AS change
   FROM old o FULL JOIN new n ON o.user_id = n.user_id""")
 def _(t):
-    def snapshot(day, skip):
-        rows = t.events.filter(F.col("ts") < F.lit(day).cast("timestamp_ntz")).filter(F.col("user_id") % skip != 0)
-        rows = rows.select("user_id", "event_id", "event_type")
-        return state.latest_per_key(rows, ["user_id"], ["event_id"])
-
-    diff = state.snapshot_diff(snapshot("2024-01-15", 7), snapshot("2024-01-20", 5), ["user_id"], ["event_type"])
+    day = lambda text: F.lit(text).cast("timestamp_ntz")
+    last = lambda rows: state.latest_per_key(rows.select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
+    old = t.events.filter(F.col("ts") < day("2024-01-15")).filter("event_type IN ('signup', 'view')")
+    new = t.events.filter((F.col("ts") >= day("2024-01-13")) & (F.col("ts") < day("2024-01-16"))).filter("event_type <> 'error'")
+    diff = state.snapshot_diff(last(old), last(new), ["user_id"], ["event_type"])
     return diff.select(
         "user_id", F.col("old.event_type").alias("old_type"), F.col("new.event_type").alias("new_type"), "change"
     )

@@ -80,10 +80,10 @@ def _(t):
 
 
 @case("s20_delete_in_table", f"""WITH {OVERVIEWS}, cur AS (SELECT * FROM second UNION ALL SELECT * FROM first WHERE state <> 'O')
-  SELECT * FROM cur WHERE CAST(job_id AS BIGINT) % 3 <> 0""")
+  SELECT * FROM cur WHERE task_running <= 2""")
 def _(t):
     table = _current(t)
-    gone = _overviews(t, BATCH_2 + 1).filter(F.col("job_id").cast("bigint") % 3 == 0)
+    gone = _overviews(t, BATCH_2 + 1).filter("tasks.running > 2")
     tables.write_deletes(gone.select("cluster_id", "namespace", "job_id", "ts"), table, 2)
     return tables.read_current(table).select(OV_COLS)
 
