@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 HOT_TOP = 10_000
 HOT_ROWS = 1_000_000
 PART_ROWS = 100_000
+# Up to this n, "the last n rows per key" are cut to n rows per map task by the optimizer's group limit; the rows of a
+# hot key that are left fit into one task.
+GROUP_LIMIT_ROWS = 100
 # A table below this size is a single task's work, so there is nothing to split.
 SMALL_BYTES = 16 * 1024 * 1024
 
@@ -130,7 +133,7 @@ def with_rank(df, keys, order, name="_rank", rows=None):
 
 def newest_rows(df, keys, order, n, rows=None):
     """The last n rows per key. For hot keys only the newest slices that hold n rows are looked at."""
-    rows = _limit(df, rows)
+    rows = None if rows is None and n <= GROUP_LIMIT_ROWS else _limit(df, rows)
     x = df if rows is None else _newest_slices(df, keys, order, n, rows)
     w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return x.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")

@@ -323,3 +323,10 @@ def _(t):
     picked = aggregates.random_member(jobs(t), ["cluster_id", "namespace"], "job_id", 42)
     found = jobs(t).select(*K.JOB, F.lit(True).alias("found"))
     return picked.join(found, K.JOB, "left").drop("job_id")
+
+
+@case("w3_page", f"""WITH {JOBS} SELECT {COLS} FROM jobs WHERE namespace = '3-MEDIUM'
+  ORDER BY job_name DESC, start_ts DESC, cluster_id, namespace, job_id LIMIT 25 OFFSET 50""")
+def _(t):
+    orders = query.order_columns((("jobName", "desc"), ("startTs", "desc")))
+    return query.page(jobs(t).filter("namespace = '3-MEDIUM'"), PageRequest(3, 25), orders)

@@ -204,3 +204,29 @@ def _(t):
     return runs.stream_first_errors(
         rows, *_dirs(t, "errors"), ["user_id"], ["event_id"], F.col("event_type") == "error", "message"
     )[1]().drop("event_type")
+
+
+@case("w1_stream_set_changes", f"""WITH {states.SETS} SELECT grp, batch, n AS members FROM (
+  SELECT *, lag(members) OVER (PARTITION BY grp ORDER BY batch) AS prev FROM s) WHERE prev IS DISTINCT FROM members""")
+def _(t):
+    rows = t.stream("events").select(
+        (F.col("user_id") % 50).alias("grp"), F.floor(F.col("event_id") / 500).alias("batch"), "event_type")
+    view = runs.stream_set_changes(rows, *_dirs(t, "sets"), ["grp"], ["batch"], ["event_type"])[1]()
+    return view.select("grp", "batch", "members")
+
+
+@case("a8_stream_upserts", """SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id""")
+def _(t):
+    combine = [F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")]
+    put = {"n": F.col("new.n"), "last_event": F.col("new.last_event")}
+    updates = {"n": F.col("n") + F.col("new.n"), "last_event": F.greatest("last_event", "new.last_event")}
+    schema = "user_id BIGINT, n BIGINT, last_event BIGINT"
+    return runs.stream_upserts(t.stream("events"), *_dirs(t, "upserts"), schema, ["user_id"], combine, put, updates)[1]()
+
+
+@case("t10_stream_usage", f"WITH {states.USAGE} SELECT scope, k, seq, cpu FROM used")
+def _(t):
+    views = t.stream("events").filter("event_type = 'view'").select(
+        (F.col("user_id") % 10).alias("scope"), F.col("user_id").alias("k"), F.col("event_id").alias("seq"),
+        F.col("value").alias("cpu"))
+    return runs.stream_usage(changelog(t.stream("events")), views, *_dirs(t, "usage"), ["scope"], ["k"])[1]()

@@ -13,8 +13,12 @@ from fleetlens.operators.state import latest_per_key
 from fleetlens.schemas import TASK_STATES
 
 
+# Name of the batch folders. Spark reads it as a partition column, so no table may have a column of this name.
+BATCH = "fleetlens_batch"
+
+
 class BatchTable:
-    """Folder of committed batches: `delta/batch=<id>` and, after compaction, `base/batch=<id>`."""
+    """Folder of committed batches below `delta` and, after compaction, below `base`."""
 
     def __init__(self, spark, path, schema):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -27,8 +31,8 @@ class BatchTable:
         if not fs.exists(folder):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        ids = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
-        return sorted(i for i in ids if fs.exists(hadoop.Path(f"{self.path}/{kind}/batch={i}/_SUCCESS")))
+        ids = [int(n.split("=")[1]) for n in names if n.startswith(f"{BATCH}=")]
+        return sorted(i for i in ids if fs.exists(hadoop.Path(f"{self.path}/{kind}/{BATCH}={i}/_SUCCESS")))
 
     def write(self, df, batch_id, partition_by=(), kind="delta"):
         # the reader gives the schema, so columns are put into its order and types here
@@ -36,7 +40,7 @@ class BatchTable:
         if partition_by:
             # few files per folder; adaptive execution splits a large folder over several tasks
             rows = rows.hint("rebalance", *[F.col(c) for c in partition_by])
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/{kind}/batch={batch_id}")
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/{kind}/{BATCH}={batch_id}")
 
     def _fields(self):
         return self.schema if isinstance(self.schema, T.StructType) else T.StructType.fromDDL(self.schema)
@@ -55,7 +59,7 @@ class BatchTable:
     def _scan(self, kind, ids):
         root = f"{self.path}/{kind}"
         scan = self.spark.read.schema(self._fields()).option("basePath", root)
-        return scan.parquet(*[f"{root}/batch={i}" for i in ids]).select(*self._fields().names)
+        return scan.parquet(*[f"{root}/{BATCH}={i}" for i in ids]).select(*self._fields().names)
 
     def compact(self, batch_id, reduce):
         """Fold all batches up to and including this one into a base with `reduce`."""

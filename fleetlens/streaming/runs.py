@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions.keys import CLUSTER, JOB
 from fleetlens.operators import changes, state, watch
 from fleetlens.operators.spread import spread_join
+from fleetlens.operators.usage import usage_by_live_pods
 from fleetlens.sources import tables
 from fleetlens.sources.objects import endpoint_table
 
@@ -119,20 +120,23 @@ def stream_both(stream, current_path, history_path, checkpoint, **options):
     return query, lambda: tables.read_current(current), lambda: history.read().dropDuplicates([*JOB, "ts"])
 
 
-def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where=None, **options):
+def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where=None, prepare=None, **options):
     """Rows that differ from the row before of their key, over all micro-batches; with `where` among those rows only.
+    `prepare` turns each micro-batch into the rows to compare.
 
     The last row per key is carried in a table. Rows that are not newer than the carried one are late and dropped.
     Keys must not be null.
     """
     source = stream if where is None else stream.filter(where)
     spark = stream.sparkSession
-    out = tables.BatchTable(spark, f"{path}/out", source.schema)
-    last = tables.BatchTable(spark, f"{path}/last", _schema(source, list(dict.fromkeys([*keys, *order, *cols]))))
+    prepare = prepare or (lambda b: b)
+    shape = prepare(spark.createDataFrame([], source.schema))
+    out = tables.BatchTable(spark, f"{path}/out", shape.schema)
+    last = tables.BatchTable(spark, f"{path}/last", _schema(shape, list(dict.fromkeys([*keys, *order, *cols]))))
     reduce = lambda df: state.latest_per_key(df, keys, order)
 
     def each(b, i):
-        b = b.persist()
+        b = prepare(b).persist()
         carried = reduce(last.read(before=i)).join(b.select(*keys).distinct(), list(keys), "left_semi")
         newest = carried.select(*keys, F.struct(*order).alias("_carried"))
         fresh = spread_join(b, newest, list(keys), order, "left", rows)
@@ -152,6 +156,56 @@ def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where
     return query, out.read
 
 
+def stream_set_changes(stream, path, checkpoint, keys, order, cols, **options):
+    """Snapshots whose set of rows differs from the snapshot before. A snapshot must come in one micro-batch."""
+    prints = lambda b: changes.set_fingerprint(b, [*keys, *order], cols)
+    compared = ["hash1", "hash2", "members"]
+    return stream_changes(stream, path, checkpoint, keys, order, compared, prepare=prints, **options)
+
+
+def stream_upserts(stream, table_path, checkpoint, schema, keys, combine, put, updates, insert=True, **options):
+    """State rows that are inserted (`put`) or updated (`updates`) per key; with insert=False only updated.
+
+    `combine` are the aggregates that merge the updates of one key within a micro-batch, for example a sum; `put` and
+    `updates` see them as `new.<col>`. `schema` is that of the state. Each batch writes the rows that it touched.
+    """
+    table = tables.BatchTable(stream.sparkSession, table_path, f"{schema}, _batch BIGINT")
+    reduce = lambda df: state.latest_per_key(df, keys, ["_batch"])
+
+    def each(b, i):
+        merged = b.groupBy(*keys).agg(*combine).persist()
+        old = reduce(table.read(before=i)).drop("_batch").join(merged.select(*keys), list(keys), "left_semi")
+        if insert:
+            touched = state.upsert(old, merged, keys, put, updates)
+        else:
+            touched = state.update_existing(old, merged, keys, updates)
+        table.write(touched.withColumn("_batch", F.lit(i)), i)
+        merged.unpersist()
+        if i and i % COMPACT_EVERY == 0:
+            table.compact(i, reduce)
+
+    query = run(stream, checkpoint, each, **options)
+    return query, lambda: reduce(table.read()).drop("_batch")
+
+
+def stream_usage(pods, readings, path, checkpoint, scope, key, seq="seq", op="op", **options):
+    """Two streams, pod events and usage readings; the view keeps the newest reading of each live pod."""
+    spark = pods.sparkSession
+    held = tables.BatchTable(spark, f"{path}/pods", pods.schema)
+    used = tables.BatchTable(spark, f"{path}/usage", readings.schema)
+
+    def reduce(b):
+        # besides the last event, the last delete of a pod counts: older usage must not come back
+        deletes = state.latest_per_key(b.filter(F.col(op) == "Deleted"), [*scope, *key], [seq])
+        last = state.reduce_changelog(b, scope, key, seq, op)
+        return last.unionByName(deletes.select(*last.columns)).distinct()
+
+    one = run(pods, f"{checkpoint}/pods", lambda b, i: held.write(reduce(b), i), **options)
+    newest = lambda b: state.latest_per_key(b, [*scope, *key], [seq])
+    two = run(readings, f"{checkpoint}/usage", lambda b, i: used.write(newest(b), i), **options)
+    return (one, two), lambda: usage_by_live_pods(held.read(), used.read(), scope, key, seq, op)
+
+
 def stream_first_errors(stream, path, checkpoint, keys, order, is_error, message, **options):
     """First error of each run of equal errors, per key; successes do not count."""
     return stream_changes(stream, path, checkpoint, keys, order, [message], where=is_error, **options)

@@ -225,5 +225,12 @@ def test_uncommitted_batches_are_not_read(spark, rows, tmp_path):
     assert table.read().count() == 0
     table.write(rows("k INT", (1,)), 0)
     table.write(rows("k INT", (2,)), 1)
-    (tmp_path / "delta" / "batch=1" / "_SUCCESS").unlink()
+    (tmp_path / "delta" / f"{tables.BATCH}=1" / "_SUCCESS").unlink()
     assert [r.k for r in table.read().collect()] == [1]
+
+
+def test_a_column_named_batch_is_kept(spark, rows, tmp_path):
+    table = tables.BatchTable(spark, str(tmp_path), "batch INT, day STRING")
+    table.write(rows("batch INT, day STRING", (7, "x")), 0)
+    table.write(rows("batch INT, day STRING", (8, "y")), 1)
+    assert sorted(tuple(r) for r in table.read().collect()) == [(7, "x"), (8, "y")]

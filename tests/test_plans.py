@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fleetlens.operators import query, spread, state
+from fleetlens.operators import changes, query, spread, state
 from fleetlens.operators.joins import assemble_snapshot
 from fleetlens.operators.query import JobFilter, PageRequest
+from fleetlens.sources import objects
 
 FOLDER = "/root/testdata/sf0.001"
 RUNS_JOBS = ("s17", "s18", "s20_delete_in", "q1_select_page_deep", "t11", "t9")
@@ -72,3 +73,24 @@ def test_snapshot_needs_one_grouping(spark):
     df = spark.range(10).select(F.col("id").alias("c"), F.lit("pod").alias("kind"), F.col("id").cast("string").alias("name"))
     text = plan(assemble_snapshot(df, ["c"]))
     assert "FullOuter" not in text and "SortMergeJoin" not in text
+
+
+def test_tail_is_limited_before_the_shuffle(jobs):
+    text = plan(changes.tail(jobs, ["cluster_id"], ["start_ts"], 5))
+    assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1
+
+
+def test_payload_is_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], "object STRING")
+    assert plan(objects.pod_rows(df)[0]).count("from_json(") == 1
+    good, _ = objects.service_rows(df)
+    assert plan(objects.endpoint_table(good)).count("from_json(") == 1
+
+
+def test_resets_do_not_gather_a_scope(spark):
+    df = spark.createDataFrame([(1, 1, 1, "Added")], "s INT, k INT, seq INT, op STRING")
+    text = plan(state.materialize_changelog(df, ["s"], ["k"]))
+    # only the pre-aggregated resets, one row per scope, are gathered by scope alone
+    by_scope = [line for line in text.splitlines() if "Exchange hashpartitioning(s#" in line
+                and "k#" not in line and "_salt" not in line]
+    assert len(by_scope) == 1 and "_salt" in text

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import changes, state, watch
-from fleetlens.sources import logs, payloads, tables
+from fleetlens import schemas
+from fleetlens.operators import aggregates, changes, state, watch
+from fleetlens.operators.usage import usage_by_live_pods
+from fleetlens.sources import logs, objects, payloads, tables
 from fleetlens.streaming import runs
 
 SCHEMA = "scope INT, k INT, seq BIGINT, op STRING, v INT"
@@ -203,6 +205,69 @@ def test_both_tables(spark, source, tmp_path):
     assert days == {"day=1970-01-01", "day=1970-01-02"}
 
 
+def test_set_changes(spark, source, tmp_path):
+    rows = [(s, k, seq // 20, op, v) for s, k, seq, op, v in events() if k]
+    by_seq = {}
+    for r in rows:
+        by_seq.setdefault(r[2], []).append(r)
+    source.add(*by_seq.values())
+    _, view = runs.stream_set_changes(
+        source.stream(), str(tmp_path / "t"), str(tmp_path / "c"), ["scope"], ["seq"], ["k", "v"])
+    same(view(), changes.only_set_changes(spark.createDataFrame(rows, SCHEMA), ["scope"], ["seq"], ["k", "v"]))
+
+
+@pytest.mark.parametrize("insert", [True, False])
+def test_upserts(spark, source, dirs, monkeypatch, insert):
+    monkeypatch.setattr(runs, "COMPACT_EVERY", 2)
+    rows = [r for r in events() if r[1] is not None]
+    source.add(*cut(rows))
+    combine, add = [F.sum("v").alias("v")], {"v": F.col("v") + F.col("new.v")}
+    put = {"v": F.col("new.v")}
+    _, view = runs.stream_upserts(source.stream(), *dirs, "k INT, v BIGINT", ["k"], combine, put, add, insert)
+    want = {}
+    for r in rows if insert else []:
+        want[r[1]] = want.get(r[1], 0) + r[4]
+    assert {r.k: r.v for r in view().collect()} == want
+
+
+def test_usage(spark, source, tmp_path):
+    rows = events(seed=8)
+    source.add(*cut(rows))
+    other = Source(spark, tmp_path / "usage")
+    used = [(k % 2, k, seq, v) for _, k, seq, _, v in events(seed=11) if k]
+    schema = "scope INT, k INT, seq BIGINT, cpu INT"
+    other.add(*cut(used, 3), schema=schema)
+    _, view = runs.stream_usage(
+        source.stream(), other.stream(schema), str(tmp_path / "t"), str(tmp_path / "c"), ["scope"], ["k"])
+    same(view(), usage_by_live_pods(
+        spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(used, schema), ["scope"], ["k"]))
+
+
+def test_change_events_as_stream(spark, source, dirs):
+    body = '{"metadata":{"name":"%s","labels":{"app":"%s","type":"%s"}}}'
+    native = "flink-native-kubernetes"
+    source.add(
+        [("Added", "pod", "s", 1, body % ("p1", "c", native)), ("Added", "pod", "s", 2, body % ("p2", "d", native)),
+         ("Added", "pod", "s", 3, body % ("p3", "c", "other"))],
+        [("Added", "pod", "s", 4, body % ("p4", "c", native)), ("Deleted", "pod", "s", 5, body % ("p1", "c", native)),
+         ("Added", "secret", "s", 6, body % ("x", "c", native))],
+        schema=schemas.CHANGE_EVENT)
+    rows = objects.read_changelog(source.stream(schemas.CHANGE_EVENT), "c").drop("object")
+    _, view = runs.stream_changelog(rows, *dirs, ["kind", "scope"], ["name"])
+    assert [(r.kind, r.name) for r in view().collect()] == [("pod", "p4")]
+
+
+def test_counts_and_filters_run_on_streams(spark, source, tmp_path):
+    rows = [r for r in events() if r[1] is not None]
+    source.add(*cut(rows))
+    counts = aggregates.state_counts(source.stream(), ["scope"], "op", ("Added", "Deleted"))
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("op_counts").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    same(spark.table("op_counts"), aggregates.state_counts(
+        spark.createDataFrame(rows, SCHEMA), ["scope"], "op", ("Added", "Deleted")))
+
+
 def test_follow_log(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "pod-1.log").write_text("one\n\ntwo\n")
