@@ -37,11 +37,12 @@ def _(t):
 
 @case("a2_live_members_one_set", """WITH ops AS (SELECT user_id AS k, event_id AS seq, event_type AS op FROM events)
   SELECT k FROM ops WHERE op IN ('signup', 'error')
-    AND seq > (SELECT max(event_id) FROM events WHERE event_type = 'click' AND event_id < 3000)
+    AND seq > (SELECT max(event_id) FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-10')
   GROUP BY k HAVING arg_max(op, seq) = 'signup'""")
 def _(t):
     kind = F.col("event_type")
-    op = F.when((kind == "click") & (F.col("event_id") < 3000), "clear").when(kind == "error", "remove").when(
+    early = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
+    op = F.when((kind == "click") & early, "clear").when(kind == "error", "remove").when(
         kind == "signup", "add")
     ops = t.events.select(F.col("user_id").alias("k"), F.col("event_id").alias("seq"), op.alias("op"))
     return state.live_members(ops, ["k"], ["seq"])
@@ -105,10 +106,10 @@ def _(t):
     return state.state_update(_last(t), ["user_id"], {"event_id": F.col("event_id") + 10}).select("user_id", "event_id")
 
 
-@case("u3_set_hooks", f"WITH {MEMBERS} SELECT scope, k FROM members WHERE k > 50 AND scope < 5")
+@case("u3_set_hooks", f"WITH {MEMBERS} SELECT scope, k FROM members WHERE k > 5 AND scope < 8")
 def _(t):
     members = state.live_members(set_ops(t.events), ["scope", "k"], ["seq"], scope=["scope"])
-    return state.state_query(members, (F.col("k") > 50) & (F.col("scope") < 5))
+    return state.state_query(members, (F.col("k") > 5) & (F.col("scope") < 8))
 
 
 @case("o1_snapshot_diff", """WITH old AS (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events
@@ -131,9 +132,9 @@ def _(t):
 
 
 @case("o2_keys_minus", """SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id NOT IN
-  (SELECT user_id FROM events WHERE event_type = 'error' AND value > 60)""")
+  (SELECT user_id FROM events WHERE event_type = 'error' AND value > 80)""")
 def _(t):
-    a, b = t.events.filter("event_type = 'signup'"), t.events.filter("event_type = 'error' AND value > 60")
+    a, b = t.events.filter("event_type = 'signup'"), t.events.filter("event_type = 'error' AND value > 80")
     return state.keys_minus(a, b, ["user_id"])
 
 

@@ -11,7 +11,7 @@ from fleetlens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "fleetlens-tests", "4")
+    session = local_session("4", "fleetlens-tests", "2")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
