@@ -37,6 +37,11 @@ def is_small(df):
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
 
 
+def hashable(df):
+    """The columns that Spark can hash: all but those with a map inside."""
+    return [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+
+
 def _limit(df, rows, default=HOT_ROWS):
     """Rows from which on a key is hot. None means: the default, and no splitting at all for a small table."""
     if rows is not None:
@@ -57,11 +62,12 @@ def hot_keys(df, keys, rows=HOT_ROWS, order=None):
     if order is not None:
         number = order_number(df, order)
         aggs += [F.min(number).alias("_lo"), F.max(number).alias("_hi")]
+    # the keys break ties: a plan that asks for the hot keys several times has to get the same ones
     return (
         df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys])
         .agg(*aggs)
         .filter(F.col("_rows") > rows)
-        .orderBy(F.desc("_rows"))
+        .orderBy(F.desc("_rows"), *[f"_hot_{k}" for k in keys])
         .limit(HOT_TOP)
     )
 

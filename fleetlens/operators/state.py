@@ -6,7 +6,7 @@ result over all rows. The streaming forms rely on that.
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators.spread import salted_join, spread_join, with_rank
+from fleetlens.operators.spread import hashable, salted_join, spread_join, with_rank
 
 
 def _rest(df, keys):
@@ -64,7 +64,7 @@ def materialize_changelog(events, scope, key, seq="seq", op="op", reset="Reseted
 def replace_snapshot(rows, scope, seq="batch_seq", spread=None):
     """Rows of the newest full snapshot of each scope. A large snapshot is spread by `spread` (default: all columns)."""
     newest = rows.groupBy(*scope).agg(F.max(seq).alias(seq))
-    return salted_join(rows, newest, [*scope, seq], spread or rows.columns, "left_semi").select(*rows.columns)
+    return salted_join(rows, newest, [*scope, seq], spread or hashable(rows), "left_semi").select(*rows.columns)
 
 
 def reconcile(state, listing, keys):

@@ -94,11 +94,14 @@ def payload_member_detail(df, keys=tuple(CLUSTER), payload="payload", ts="ts"):
     return parsed(df, S.MEMBER_DETAIL, payload).select(*keys, "_p.*", ts).withColumnRenamed("id", "tid")
 
 
-def payload_op_status(df, keys=("job_id", "trigger_id"), payload="payload"):
-    """State of an async operation. The cause is null if the operation has none."""
+def payload_op_status(df, keys=("job_id", "trigger_id"), payload="payload", on_miss="null"):
+    """State of an async operation. The cause is null if the operation has none.
+
+    An unknown state gives null, so that such rows can be put aside; on_miss="error" fails instead.
+    """
     return parsed(df, S.OP_STATUS, payload).select(
         *keys,
-        decode_enum(F.col("_p.status.id"), S.OP_STATES, "error").alias("state"),
+        decode_enum(F.col("_p.status.id"), S.OP_STATES, on_miss).alias("state"),
         F.col("_p.operation.`failure-cause`.`stack-trace`").alias("failure_cause"),
     )
 

@@ -8,9 +8,9 @@ from fleetlens.functions.paths import strip_leading_slash
 def list_files(spark, root, depth="recursive"):
     """Paths of all files below a folder, relative to it. Only file metadata is read, no content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", depth == "recursive").load(root)
-    base = F.lit(root.rstrip("/").split("://")[-1] + "/")
+    base = "/" + root.split("://")[-1].strip("/") + "/"
     path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    return files.select(F.replace(path, F.concat(F.lit("/"), F.ltrim(base, F.lit("/"))), F.lit("")).alias("object"))
+    return files.select(F.substr(path, F.lit(len(base) + 1)).alias("object"))
 
 
 def check_paths(refs, files, col="path"):

@@ -177,9 +177,17 @@ def test_metric_payload_edges(rows):
 
 def test_op_status_edges(rows):
     df = rows("k INT, payload STRING", (1, '{"status":{"id":"COMPLETED"},"operation":{}}'), (2, '{"status":{"id":"IN_PROGRESS"}}'),
-              (3, '{"status":{"id":"COMPLETED"},"operation":{"failure-cause":{"stack-trace":"boom"}}}'))
+              (3, '{"status":{"id":"COMPLETED"},"operation":{"failure-cause":{"stack-trace":"boom"}}}'), (4, '{"status":{"id":"odd"}}'))
     got = {r.k: (r.state, r.failure_cause) for r in payloads.payload_op_status(df, ["k"]).collect()}
-    assert got == {1: ("COMPLETED", None), 2: ("IN_PROGRESS", None), 3: ("COMPLETED", "boom")}
+    assert got == {1: ("COMPLETED", None), 2: ("IN_PROGRESS", None), 3: ("COMPLETED", "boom"), 4: (None, None)}
+    with pytest.raises(Exception, match="unknown name: odd"):
+        payloads.payload_op_status(df, ["k"], on_miss="error").collect()
+
+
+def test_snapshot_with_map_column(rows):
+    df = rows("s INT, batch_seq INT, m MAP<STRING,STRING>", (1, 1, {"a": "1"}), (1, 2, {"b": "2"}), (1, 2, None), (2, 1, {}))
+    got = state.replace_snapshot(df, ["s"])
+    assert sorted((r.s, r.batch_seq, str(r.m)) for r in got.collect()) == [(1, 2, "None"), (1, 2, "{'b': '2'}"), (2, 1, "{}")]
 
 
 def test_service_with_text_port_is_rejected(rows):
@@ -196,10 +204,13 @@ def test_service_with_text_port_is_rejected(rows):
 
 
 def test_check_paths_wants_exact_names(spark, rows, tmp_path):
-    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "b" / "a").mkdir(parents=True)
     (tmp_path / "a" / "x.jar").write_text("1")
+    (tmp_path / "a" / "b" / "a" / "y.jar").write_text("1")
     files = storage_check.list_files(spark, str(tmp_path))
-    assert [r.object for r in files.collect()] == ["a/x.jar"]
+    assert {r.object for r in files.collect()} == {"a/x.jar", "a/b/a/y.jar"}
+    below = storage_check.list_files(spark, f"file://{tmp_path}/a/")
+    assert {r.object for r in below.collect()} == {"x.jar", "b/a/y.jar"}
     refs = rows("path STRING", ("/a/x.jar",), ("a/x",), ("a",), ("A/x.jar",))
     assert {r.path for r in storage_check.check_paths(refs, files).filter("exists").collect()} == {"/a/x.jar"}
 
