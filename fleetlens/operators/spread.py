@@ -56,12 +56,17 @@ def _on(left, right, keys):
     return cond
 
 
-def hot_keys(df, keys, rows=HOT_ROWS, order=None):
-    """The keys with more than `rows` rows, at most HOT_TOP of them: `_hot_<key>`, `_rows`, `_lo`, `_hi`."""
+def hot_keys(df, keys, rows=HOT_ROWS, order=None, inner=False):
+    """The keys with more than `rows` rows, at most HOT_TOP of them: `_hot_<key>`, `_rows`, `_lo`, `_hi`.
+
+    `_lo` and `_hi` are the ends of the order range; with inner=True without the outer 0.1 % of the rows on each side.
+    """
     aggs = [F.count(F.lit(1)).alias("_rows")]
     if order is not None:
         number = order_number(df, order)
-        aggs += [F.min(number).alias("_lo"), F.max(number).alias("_hi")]
+        low = F.percentile_approx(number, F.lit(0.001)) if inner else F.min(number)
+        high = F.percentile_approx(number, F.lit(0.999)) if inner else F.max(number)
+        aggs += [low.alias("_lo"), high.alias("_hi")]
     # the keys break ties: a plan that asks for the hot keys several times has to get the same ones
     return (
         df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys])
@@ -72,21 +77,35 @@ def hot_keys(df, keys, rows=HOT_ROWS, order=None):
     )
 
 
-def _with_hot(df, keys, hot):
+def _with_hot(df, keys, hot, how="left"):
     hot = F.broadcast(hot)
-    return df.join(hot, _on(df, hot, keys), "left").drop(*[f"_hot_{k}" for k in keys])
+    return df.join(hot, _on(df, hot, keys), how).drop(*[f"_hot_{k}" for k in keys])
+
+
+def _bucket(df, keys, order, rows, hot, how="left"):
+    """Add `_bucket`: 0 for the rows of other keys, and for a key of `hot` the part of its order range."""
+    x = _with_hot(df, keys, hot, how)
+    n = F.ceil(F.col("_rows") / F.lit(rows)) * 4
+    number, low, high = order_number(df, order), F.col("_lo"), F.col("_hi")
+    found = F.when(high > low, F.width_bucket(number, low, high, n)).when(number > high, 2).when(number == high, 1)
+    return x.withColumn("_bucket", F.coalesce(found, F.lit(0)).cast("bigint")).drop("_rows", "_lo", "_hi")
 
 
-def cut(df, keys, order, rows):
+def cut(df, keys, order, rows, only_hot=False):
     """Add `_slice`: 0 for ordinary keys, and for hot keys a number that grows with the order column.
 
-    The slice depends only on the row's key and order value, so equal order values share a slice.
+    A slice that is still crowded, as when a few far-off order values stretch the range of a key, is cut once more by
+    the inner range of its own rows. The slice depends only on the row's key and order value, so equal order values share a
+    slice. With only_hot the rows of ordinary keys are left out.
     """
-    x = _with_hot(df, keys, hot_keys(df, keys, rows, order))
-    n = F.ceil(F.col("_rows") / F.lit(rows)) * 4
-    bucket = F.width_bucket(order_number(df, order), F.col("_lo"), F.col("_hi"), n)
-    sliced = F.when(F.col("_rows").isNotNull() & (F.col("_hi") > F.col("_lo")), bucket)
-    return x.withColumn("_slice", F.coalesce(sliced, F.lit(0)).cast("bigint")).drop("_rows", "_lo", "_hi")
+    hot = hot_keys(df, keys, rows, order)
+    crowded = hot_keys(_bucket(df, keys, order, rows, hot, "inner"), [*keys, "_bucket"], rows, order, inner=True)
+    x = _bucket(df, keys, order, rows, hot, "inner" if only_hot else "left")
+    coarse = x.withColumnRenamed("_bucket", "_coarse")
+    crowded = crowded.withColumnRenamed("_hot__bucket", "_hot__coarse")
+    fine = _bucket(coarse, [*keys, "_coarse"], order, rows, crowded)
+    # fewer than 2^31 parts per slice
+    return fine.withColumn("_slice", F.col("_coarse") * F.lit(2**31) + F.col("_bucket")).drop("_coarse", "_bucket")
 
 
 def with_previous(df, keys, order, cols, name="_prev", rows=None):
@@ -102,7 +121,7 @@ def with_previous(df, keys, order, cols, name="_prev", rows=None):
     x = cut(df, keys, order[0], rows)
     kept = list(dict.fromkeys([*order, *cols]))
     tails = (
-        x.filter(F.col("_slice") > 0)
+        cut(df, keys, order[0], rows, only_hot=True)
         .groupBy(*keys, "_slice")
         .agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("_tail"))
     )
@@ -127,7 +146,7 @@ def with_rank(df, keys, order, name="_rank", rows=None):
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     # one extra row per slice of a hot key brings the number of rows before the slice
     starts = (
-        x.filter(F.col("_slice") > 0)
+        cut(df, keys, order[0], rows, only_hot=True)
         .groupBy(*keys, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_count"), F.lit(0).alias("_row"))
@@ -151,7 +170,7 @@ def _newest_slices(df, keys, order, n, rows):
         Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     enough = (
-        x.filter(F.col("_slice") > 0)
+        cut(df, keys, order[0], rows, only_hot=True)
         .groupBy(*keys, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_total", F.sum("_n").over(newest_first))

@@ -47,6 +47,37 @@ def test_only_changes_with_gaps_nulls_and_times(spark):
     assert {(r.k, r.sec) for r in got.collect()} == {("a", 0), ("a", 900), ("a", 100_000), ("b", 5)}
 
 
+@pytest.mark.parametrize("far", [[], [0], [0, 10**12]])
+def test_slices_stay_small_with_far_off_values(spark, far):
+    data = [(1, v) for v in far] + [(1, 10**9 + i) for i in range(4000)] + [(2, i) for i in range(5)]
+    df = spark.createDataFrame(data, "k INT, seq BIGINT")
+    rows = spread.cut(df, ["k"], "seq", 200).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.k, r._slice] += 1
+    assert len(rows) == len(data) and sizes[2, 0] == 5
+    assert max(n for (k, _), n in sizes.items() if k == 1) <= 200
+    ordered = [r._slice for r in sorted(rows, key=lambda r: r.seq) if r.k == 1]
+    assert ordered == sorted(ordered)
+    hot = spread.cut(df, ["k"], "seq", 200, only_hot=True)
+    assert {(r.seq, r._slice) for r in hot.collect()} == {(r.seq, r._slice) for r in rows if r.k == 1}
+
+
+def test_operators_on_far_off_values(spark):
+    rnd = random.Random(4)
+    seqs = sorted([0, 5, 10**12, *rnd.sample(range(10**9, 10**9 + 10**6), 1500)])
+    data = [(1, seq, rnd.randint(0, 2)) for seq in seqs] + [(2, 1, 1), (2, 2, 1)]
+    df = spark.createDataFrame(data, "k INT, seq BIGINT, v INT").repartition(5)
+    by_key = {k: [r for r in data if r[0] == k] for k in (1, 2)}
+    want = {r for rows in by_key.values() for i, r in enumerate(rows) if i == 0 or rows[i - 1][2] != r[2]}
+    got = changes.only_changes(df, ["k"], ["seq"], ["v"], rows=100)
+    assert {tuple(r) for r in got.select("k", "seq", "v").collect()} == want
+    got = changes.tail(df, ["k"], ["seq"], 150, rows=100)
+    assert {r.seq for r in got.filter("k = 1").collect()} == set(seqs[-150:])
+    got = spread.with_rank(df, ["k"], ["seq"], "n", rows=100)
+    assert [r.n for r in got.filter("k = 1").orderBy("seq").collect()] == list(range(1, len(seqs) + 1))
+
+
 def test_order_column_must_be_sliceable(spark):
     with pytest.raises(TypeError):
         spread.cut(spark.createDataFrame([("a", "b")], "k STRING, o STRING"), ["k"], "o", 1)
