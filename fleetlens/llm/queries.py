@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import block_naming, decontaminate
+from fleetlens.llm import block_naming, decontaminate, language_id, licenses, mixing, simhash, warc
 from fleetlens.llm.common import read_table
+from fleetlens.session import run_dir
 
 UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 LOWER = "'abcdefghijklmnopqrstuvwxyz'"
@@ -39,6 +40,42 @@ FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
 
+def op2_warc(spark, sf_dir):
+    """Pages written as WARC records, and what the archives say when they are read back."""
+    path = run_dir(spark, "warc")
+    warc.write_warc(read_table(spark, sf_dir, "pages"), path)
+    records = warc.read_records(spark, path)
+    return records.select(
+        F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").try_cast("long").alias("refers_to"), "intact",
+    )
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS keep FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to, true AS intact
+FROM p LEFT JOIN g ON p.h = g.h
+"""
+
+
+def op3_language_id(spark, sf_dir):
+    """Language of each document."""
+    return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark, sf_dir):
+    """How much of each document the mix takes."""
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark, sf_dir):
+    """Fingerprint and component of each document."""
+    return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op9_block_naming(spark, sf_dir):
     """Which copy of each text stays."""
     return block_naming.exact_dedup(read_table(spark, sf_dir, "documents"))
@@ -50,8 +87,18 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t
 """
 
+def op10_licenses(spark, sf_dir):
+    """License labels of each document."""
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("detections")
+
+
 #: name -> (query, SQL or None)
 CASES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
+    "op2_warc": (op2_warc, OP2_SQL),
+    "op3_language_id": (op3_language_id, None),
+    "op7_mix_sources": (op7_mix_sources, None),
+    "op8_simhash": (op8_simhash, None),
     "op9_block_naming": (op9_block_naming, OP9_SQL),
+    "op10_licenses": (op10_licenses, None),
 }
