@@ -2,7 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import block_naming, decontaminate, language_id, licenses, mixing, simhash, warc
+from fleetlens.llm import (
+    block_naming,
+    decontaminate,
+    language_id,
+    licenses,
+    mixing,
+    paragraphs,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from fleetlens.llm.common import read_table
 from fleetlens.session import run_dir
 
@@ -66,6 +77,21 @@ def op3_language_id(spark, sf_dir):
     return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
 
 
+def op4_paragraph_minhash(spark, sf_dir):
+    """Paragraphs of each document that stand elsewhere too."""
+    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity_chain(spark, sf_dir):
+    """Probability of each category for each document."""
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op6_suffix_dedup(spark, sf_dir):
+    """Bytes of each document that stand in a string of 200 bytes found elsewhere too."""
+    return suffix_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark, sf_dir):
     """How much of each document the mix takes."""
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
@@ -97,6 +123,9 @@ CASES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op2_warc": (op2_warc, OP2_SQL),
     "op3_language_id": (op3_language_id, None),
+    "op4_paragraph_minhash": (op4_paragraph_minhash, None),
+    "op5_toxicity_chain": (op5_toxicity_chain, None),
+    "op6_suffix_dedup": (op6_suffix_dedup, None),
     "op7_mix_sources": (op7_mix_sources, None),
     "op8_simhash": (op8_simhash, None),
     "op9_block_naming": (op9_block_naming, OP9_SQL),
