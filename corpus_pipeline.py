@@ -1,11 +1,17 @@
 """Corpus pipeline: language, exact copies, near copies, test items, mixing. Each stage works on what the last one kept."""
 
-from fleetlens.llm import block_naming, decontaminate
+from fleetlens.llm import block_naming, decontaminate, language_id, mixing, simhash
 from fleetlens.llm.common import read_table, written
 
+#: no SQL says the same as stages 1, 3 and 5; tests/llm compares all of them with brute force
 ORACLE_SQL = None
 
 
+def language_stage(spark, docs, sf_dir):
+    """Documents without a letter, or whose text fits no language profile, go. Profiles are learned from `docs`."""
+    return language_id.keep_identified(docs)
+
+
 def exact_dedup_stage(spark, docs, sf_dir):
     """Of equal texts (A-Z lower-cased) the document with the largest id stays.
 
@@ -15,14 +21,29 @@ def exact_dedup_stage(spark, docs, sf_dir):
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
+def near_dedup_stage(spark, docs, sf_dir):
+    """Of each group of near copies the document with the smallest id stays (see above for repeated ids)."""
+    groups = simhash.simhash_groups(docs)
+    kept = groups.where(groups["doc_id"].eqNullSafe(groups["component_id"])).select("doc_id")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
 def decontamination_stage(spark, docs, sf_dir):
     """Passages of test items are cut out; documents that consist of them for the most part go."""
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def mixing_stage(spark, docs, sf_dir):
+    """How many words of each document the mix of the sources takes."""
+    return mixing.mix_sources(docs)
+
+
 STAGES = [
+    ("language_id", language_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
     ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
 ]
 
 

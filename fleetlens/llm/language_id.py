@@ -16,8 +16,8 @@ from fleetlens.llm.common import text_bytes
 DIMENSIONS = 1024
 SEED = 11
 UNKNOWN = "und"
-# cosine below which the pipeline rejects a text
-MIN_SCORE = 0.05
+# cosine below which a text is rejected: only what fits no profile at all; short clean texts come down to 0.05
+MIN_SCORE = 0.02
 
 _SYMBOLS = 128
 _TRIGRAMS = _SYMBOLS**3

@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain.
 
-The categories are predicted one after the other by linear models over the words of a text. Each model also gets the
+The categories are predicted one after the other by linear models over the words of a text and their beginnings. Each model also gets the
 probabilities of the categories before it; for training these come from models that haven't seen the row (out of fold).
 """
 
@@ -18,16 +18,20 @@ CATEGORIES = ("quality", "toxic")
 TRAIN_ROWS = 8000
 FOLDS = 4
 BUCKETS = 1 << 18
-LEAST_ROWS = 3  # rows of the sample in which a bucket must occur to get a weight
-ROUNDS, RATE, DECAY = 80, 0.2, 2e-4
+PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes of a word that count as a feature too, for words of open vocabulary
+# a bucket gets a weight if it is in so many rows of the sample and its chi-square with the category is so large; the rest
+# of the words could only learn the noise of the labels by heart
+LEAST_ROWS, LEAST_CHI2 = 8, 20.0
+ROUNDS, RATE, DECAY = 120, 0.2, 2e-4
 THRESHOLD = 0.5
 
 
 def word_buckets(data):
-    """Sorted distinct hash buckets of the words of a text in UTF-8."""
+    """Sorted distinct hash buckets of the words of a text in UTF-8 and of how they begin."""
     found = np.zeros(0, np.int64)
     for words in pieces(data, ALNUM):
         own = set(words)
+        own.update([w[:n] + b"-" for n in PREFIXES for w in own if len(w) > n])
         own = np.fromiter((crc32(w) for w in own), np.int64, len(own)) % BUCKETS
         found = np.unique(own) if not found.size else np.union1d(found, own)
     return found
@@ -42,11 +46,10 @@ class Linear:
     @classmethod
     def fit(cls, columns, lengths, extras, target):
         """`columns`: the buckets of all rows, one row after the other; `extras`: rows of numbers."""
-        often = np.bincount(columns, minlength=BUCKETS)
-        used = np.flatnonzero(often >= LEAST_ROWS)
+        row = np.repeat(np.arange(lengths.size), lengths)
+        used = np.flatnonzero(_telling(columns, row, target))
         place = np.full(BUCKETS, -1)
         place[used] = np.arange(used.size)
-        row = np.repeat(np.arange(lengths.size), lengths)
         column = place[columns]
         row, column = row[column >= 0], column[column >= 0]
         n, d, k = lengths.size, used.size, extras.shape[1]
@@ -71,6 +74,14 @@ class Linear:
         return _sigmoid(np.bincount(row, self.weights[columns], lengths.size) + extras @ self.extra + self.bias)
 
 
+def _telling(columns, row, target):
+    """Which buckets say enough about the target."""
+    n, often = max(1, target.size), np.bincount(columns, minlength=BUCKETS)
+    surplus = np.bincount(columns, target[row], BUCKETS) - often * target.sum() / n
+    spread = often * (1 - often / n) * target.sum() / n * (1 - target.sum() / n)
+    return (often >= LEAST_ROWS) & (surplus**2 > LEAST_CHI2 * spread)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
