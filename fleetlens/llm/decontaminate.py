@@ -200,7 +200,7 @@ def benchmark_hits(docs, benchmark, id_col="doc_id", text_col="text", item_col="
                 for data, (old_spans, old_items) in zip(text_bytes(batch.column("text")), before, strict=True):
                     n, new, names = automaton.scan(data or b"")
                     n_words.append(n)
-                    new = _merge([*((x["first"], x["last"]) for x in old_spans), *new]) if old_spans else new
+                    new = _merge([*([x["first"], x["last"]] for x in old_spans), *new]) if old_spans else new
                     spans.append([{"first": a, "last": b} for a, b in new])
                     items.append(sorted(names.union(old_items)))
                 yield pa.RecordBatch.from_arrays(
