@@ -224,7 +224,7 @@ def scan(data):
         carry = words[open_from:]
         total += open_from
         words = following
-    return total, base, resolve(found)
+    return total, sorted(base, key=lambda b: (b[1], b[0])), resolve(found)
 
 
 _SCHEMA = (
