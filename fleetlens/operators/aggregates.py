@@ -3,15 +3,17 @@
 from pyspark.sql import functions as F
 
 from fleetlens.functions.keys import CLUSTER
-from fleetlens.operators.spread import with_parts
 from fleetlens.schemas import JOB_STATES
 
 
-def keys_by_cluster(df, cluster=tuple(CLUSTER), key="job_id", part_rows=None):
-    """Sorted set of keys per cluster. Large clusters come as several parts (`part` of `parts`)."""
-    distinct = df.select(*cluster, key).distinct()
-    parts = with_parts(distinct, list(cluster), [key], part_rows)
-    return parts.groupBy(*cluster, "part", "parts").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+def keys_by_cluster(df, cluster=tuple(CLUSTER), key="job_id"):
+    """The distinct keys of each cluster, one row each, so that a large cluster is not gathered in one place."""
+    return df.select(*cluster, key).distinct()
+
+
+def key_counts(df, cluster=tuple(CLUSTER), key="job_id", name="keys"):
+    """Number of distinct keys of each cluster; the keys are made distinct before they are counted by cluster."""
+    return keys_by_cluster(df, cluster, key).groupBy(*cluster).agg(F.count(key).alias(name))
 
 
 def merge_maps(df, keys=tuple(CLUSTER), col="data", source="name"):
@@ -33,5 +35,6 @@ def task_counts(tasks, keys, col="state", states=("CREATED", "SCHEDULED", "DEPLO
 
 
 def random_member(df, group, key, seed):
-    """One member per group, chosen by a seeded hash of its key: repeatable, and one pass with map-side combine."""
-    return df.groupBy(*group).agg(F.min_by(key, F.xxhash64(key, F.lit(seed))).alias(key))
+    """One member per group, chosen by the MD5 of its key and the seed: repeatable, and one pass with map-side combine."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
+    return df.groupBy(*group).agg(F.min_by(key, F.struct(digest, F.col(key))).alias(key))

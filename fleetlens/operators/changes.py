@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators.spread import is_small, newest_rows, with_previous
+from fleetlens.operators.spread import newest_rows, with_previous
 from fleetlens.session import reliable_checkpoint
 
 
@@ -29,11 +29,9 @@ def only_changes(df, keys, order, cols, rows=None):
 def only_set_changes(df, keys, order, cols, rows=None):
     """Snapshots (keys, order) whose set of rows differs from the snapshot before.
 
-    For a large table the fingerprints, one row per snapshot, are checkpointed, as they are looked at several times.
+    The fingerprints, one row per snapshot, are checkpointed, as they are looked at several times.
     """
-    prints = set_fingerprint(df, [*keys, *order], cols)
-    if not is_small(df):
-        prints = reliable_checkpoint(prints)
+    prints = reliable_checkpoint(set_fingerprint(df, [*keys, *order], cols))
     return only_changes(prints, keys, order, ["hash1", "hash2", "members"], rows=rows)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.config import classify_clusters
 from fleetlens.functions.keys import CLUSTER, JOB
-from fleetlens.operators.spread import with_parts
 
 
 def tracked_state(tracked, state, keys=tuple(CLUSTER)):
@@ -76,17 +75,35 @@ def require_found(df, col="found_in"):
 OBJECT_KINDS = ["deployment", "service", "pod", "config_map"]
 
 
-def assemble_snapshot(objects, keys=tuple(CLUSTER), item="name", part_rows=None):
-    """Names (or structs) of all objects of each cluster, one array per kind. `objects` has keys, kind and item.
+def assemble_snapshot(objects, keys=tuple(CLUSTER), item="name"):
+    """The objects of each cluster as rows (keys, kind, item). `objects` has keys, kind and item (a name or a struct).
 
-    All kinds go through one grouping. A cluster with more than `part_rows` objects comes as several parts, so that
-    no task holds an unbounded array; a cluster without any object has no row.
+    Rows, not one array per kind: the form is the same for a cluster of any size, and nothing is gathered.
     """
-    parts = with_parts(objects.filter(F.col("kind").isin(*OBJECT_KINDS)), list(keys), [item], part_rows)
-    lists = [
-        F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col(item)))).alias(k) for k in OBJECT_KINDS
+    return objects.filter(F.col("kind").isin(*OBJECT_KINDS)).select(*keys, "kind", item)
+
+
+def snapshot_counts(objects, keys=tuple(CLUSTER)):
+    """Number of objects of each kind, one row per cluster with any object."""
+    return objects.filter(F.col("kind").isin(*OBJECT_KINDS)).groupBy(*keys).agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in OBJECT_KINDS]
+    )
+
+
+def full_snapshot(tables, keys=tuple(CLUSTER), name="name"):
+    """All objects of all kinds with their details: keys, kind, name, `detail` (the other columns as JSON).
+
+    `tables` maps a kind to its rows, which have the keys and the name.
+    """
+    parts = [
+        df.select(*keys, F.lit(kind).alias("kind"), F.col(name).alias("name"),
+                  F.to_json(F.struct(*[c for c in df.columns if c not in (*keys, name)])).alias("detail"))
+        for kind, df in tables.items() if kind in OBJECT_KINDS
     ]
-    return parts.groupBy(*keys, "part", "parts").agg(*lists)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def fetch_many(state, wanted, keys, order=None):

@@ -7,13 +7,11 @@ from pyspark.sql import Window
 
 from fleetlens.functions.columns import all_of, enum_ordinal
 from fleetlens.functions.keys import CLUSTER, JOB
+from fleetlens.operators.spread import hashable
 from fleetlens.schemas import JOB_STATES
 from fleetlens.session import reliable_checkpoint
 
 DEFAULT_PAGE_SIZE = 10
-# Largest page end that is served by a top-n, for which every task hands that many rows to the driver; deeper pages go
-# through the ranked index.
-TOP_N_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -159,23 +157,23 @@ def list_all(jobs):
     return canonical_order(jobs, "job")
 
 
-def page(df, req, orders, index_cols=None, keys=tuple(JOB), top_n=TOP_N_ROWS):
-    """One page of a total order. Shallow pages are a top-n; deep ones never pass their offset through one task.
+def page(df, req, orders, top_n=1_000):
+    """One page of a total order. Pages that end within `top_n` rows are a top-n, in which each task hands on that many
+    rows; deeper ones are ranked, so that their offset never passes through one task.
 
-    `index_cols` (keys and sort columns) keep the index of a deep page narrow; by default it holds all columns.
+    Both give the same rows. `orders` needs to name neither all columns nor unique ones: what ties in them is ordered by a
+    hash of the row, so that only rows that are equal can change places.
     """
     req = req.safe()
+    total = [*orders, F.xxhash64(*hashable(df))]
     if req.offset + req.size <= top_n:
-        return df.orderBy(*orders).offset(req.offset).limit(req.size)
-    if index_cols is None:
-        return _deep_page(df, req, orders)
-    wanted = _deep_page(df.select(*index_cols), req, orders).select(*keys)
-    return df.join(wanted, list(keys), "left_semi").orderBy(*orders)
+        return df.orderBy(*total).offset(req.offset).limit(req.size)
+    return _ranked_page(df, req, total)
 
 
-def _deep_page(df, req, orders):
+def _ranked_page(df, req, orders):
     """The rows are range-partitioned and checkpointed once and counted per partition; only the partitions that the
-    page touches are ranked. This runs one job for the checkpoint."""
+    page touches are ranked. This runs the job of the checkpoint when the page is asked for."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     index = reliable_checkpoint(df.repartitionByRange(n, *orders).withColumn("_part", F.spark_partition_id()))
     counts = index.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -191,6 +189,18 @@ def _deep_page(df, req, orders):
     return out.orderBy("_rank").select(*df.columns)
 
 
+def with_place(df, orders, name="place"):
+    """Add the place (from 1) of each row in a total order, by the row counts of a range-partitioned checkpoint."""
+    total = [*orders, F.xxhash64(*hashable(df))]
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    index = reliable_checkpoint(df.repartitionByRange(n, *total).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = index.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*total))
+    return index.join(F.broadcast(starts), "_part").withColumn(name, place.cast("bigint")).drop("_part", "_start")
+
+
 def page_envelope(df, req):
     """Totals of a paged query as one row."""
     req = req.safe()
@@ -214,8 +224,7 @@ def select_all(jobs, flt, orders=()):
 def select_page(jobs, flt, req):
     """(rows of the page, envelope) of a filtered and sorted query."""
     hits = select_jobs(jobs, flt)
-    rows = page(hits, req, order_columns(req.orders), [*JOB, "job_name", "state", "start_ts"])
-    return rows, page_envelope(hits, req)
+    return page(hits, req, order_columns(req.orders)), page_envelope(hits, req)
 
 
 def states_of(jobs, cluster_id, namespace, job_id=None):

@@ -1,40 +1,21 @@
 """Splitting of hot groups.
 
-One key may hold a large share of all rows, so nothing here puts a whole group into one task. The heaviest keys are
-found with a pre-aggregated count; at most `HOT_TOP` of them are broadcast, so that side has a fixed size. A key that
-is not among them holds less than 1/HOT_TOP of the rows. Results never depend on which keys are split.
+One key may hold a large share of all rows, so nothing here puts a whole group into one task. Whether a key is hot is
+decided by its counted rows alone: one job counts the rows per key (combined map-side, keys only) when an operator is
+built. Without a hot key the plain window or join is used. With one, the rows of the hot keys are range-partitioned once
+by key and order, with splitters from a sample, and written; each slice is worked on by itself, and what a slice has to
+know of the ones before it is one row per slice. Results never depend on which keys are split. There is no limit on the
+number of hot keys: at most total rows / `rows` keys can be hot, and the join with them has no hint.
 """
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-HOT_TOP = 10_000
-HOT_ROWS = 1_000_000
-PART_ROWS = 100_000
-# Up to this n, "the last n rows per key" are cut to n rows per map task by the optimizer's group limit; the rows of a
-# hot key that are left fit into one task.
-GROUP_LIMIT_ROWS = 100
-# A table below this size is a single task's work, so there is nothing to split.
-SMALL_BYTES = 16 * 1024 * 1024
-
-_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
-
 
-def order_number(df, col):
-    """The order column as a double that grows with it."""
-    dtype = df.schema[col].dataType
-    if isinstance(dtype, _NUMBERS):
-        return F.col(col).cast("double")
-    if isinstance(dtype, _TIMES):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    raise TypeError(f"order column {col} must be a number or a time, not {dtype.simpleString()}")
+from fleetlens.session import run_dir
 
-
-def is_small(df):
-    """Does the optimizer's size estimate (file sizes, for scans) stay below SMALL_BYTES? Unknown sizes are large."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+HOT_ROWS = 1_000_000
 
 
 def hashable(df):
@@ -42,13 +23,6 @@ def hashable(df):
     return [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
 
 
-def _limit(df, rows, default=HOT_ROWS):
-    """Rows from which on a key is hot. None means: the default, and no splitting at all for a small table."""
-    if rows is not None:
-        return rows
-    return None if is_small(df) else default
-
-
 def _on(left, right, keys):
     cond = F.lit(True)
     for k in keys:
@@ -56,75 +30,57 @@ def _on(left, right, keys):
     return cond
 
 
-def hot_keys(df, keys, rows=HOT_ROWS, order=None, inner=False):
-    """The keys with more than `rows` rows, at most HOT_TOP of them: `_hot_<key>`, `_rows`, `_lo`, `_hi`.
+def hot_keys(df, keys, rows=HOT_ROWS):
+    """The keys with more than `rows` rows: `_hot_<key>` and `_rows`."""
+    counts = df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") > rows)
 
-    `_lo` and `_hi` are the ends of the order range; with inner=True without the outer 0.1 % of the rows on each side.
-    """
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    if order is not None:
-        number = order_number(df, order)
-        low = F.percentile_approx(number, F.lit(0.001)) if inner else F.min(number)
-        high = F.percentile_approx(number, F.lit(0.999)) if inner else F.max(number)
-        aggs += [low.alias("_lo"), high.alias("_hi")]
-    # the keys break ties: a plan that asks for the hot keys several times has to get the same ones
-    return (
-        df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-        .agg(*aggs)
-        .filter(F.col("_rows") > rows)
-        .orderBy(F.desc("_rows"), *[f"_hot_{k}" for k in keys])
-        .limit(HOT_TOP)
-    )
 
+def _written(df, name):
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def _with_hot(df, keys, hot, how="left"):
-    hot = F.broadcast(hot)
-    return df.join(hot, _on(df, hot, keys), how).drop(*[f"_hot_{k}" for k in keys])
 
+def _hot_table(df, keys, rows):
+    """The hot keys as a table in the shared folder, or None if there are none."""
+    hot = hot_keys(df, keys, HOT_ROWS if rows is None else rows)
+    return None if hot.isEmpty() else _written(hot, "hot-keys")
 
-def _bucket(df, keys, order, rows, hot, how="left"):
-    """Add `_bucket`: 0 for the rows of other keys, and for a key of `hot` the part of its order range."""
-    x = _with_hot(df, keys, hot, how)
-    n = F.ceil(F.col("_rows") / F.lit(rows)) * 4
-    number, low, high = order_number(df, order), F.col("_lo"), F.col("_hi")
-    found = F.when(high > low, F.width_bucket(number, low, high, n)).when(number > high, 2).when(number == high, 1)
-    return x.withColumn("_bucket", F.coalesce(found, F.lit(0)).cast("bigint")).drop("_rows", "_lo", "_hi")
 
+def cut(df, keys, order, rows, hot):
+    """The rows of hot keys with `_tie` and `_slice`, written to the shared folder.
 
-def cut(df, keys, order, rows, only_hot=False):
-    """Add `_slice`: 0 for ordinary keys, and for hot keys a number that grows with the order column.
-
-    A slice that is still crowded, as when a few far-off order values stretch the range of a key, is cut once more by
-    the inner range of its own rows. The slice depends only on the row's key and order value, so equal order values share a
-    slice. With only_hot the rows of ordinary keys are left out.
+    The number of the slice grows with the order of the rows of a key. Slices are of about equal size; only rows that
+    are equal in all hashable columns can't be told apart and stay together.
     """
-    hot = hot_keys(df, keys, rows, order)
-    crowded = hot_keys(_bucket(df, keys, order, rows, hot, "inner"), [*keys, "_bucket"], rows, order, inner=True)
-    x = _bucket(df, keys, order, rows, hot, "inner" if only_hot else "left")
-    coarse = x.withColumnRenamed("_bucket", "_coarse")
-    crowded = crowded.withColumnRenamed("_hot__bucket", "_hot__coarse")
-    fine = _bucket(coarse, [*keys, "_coarse"], order, rows, crowded)
-    # fewer than 2^31 parts per slice
-    return fine.withColumn("_slice", F.col("_coarse") * F.lit(2**31) + F.col("_bucket")).drop("_coarse", "_bucket")
+    total = hot.agg(F.sum("_rows")).first()[0]
+    # for a small `rows` no more slices than a shuffle has partitions anyway
+    usual = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * total / HOT_ROWS))
+    slices = max(2, min(usual, math.ceil(2 * total / (rows or HOT_ROWS))))
+    x = df.join(hot, _on(df, hot, keys)).drop(*[f"_hot_{k}" for k in keys], "_rows")
+    x = x.withColumn("_tie", F.xxhash64(*hashable(df)))
+    x = x.repartitionByRange(slices, *keys, *order, "_tie")
+    return _written(x.withColumn("_slice", F.spark_partition_id()), "slices")
+
+
+def _ordinary(df, keys, hot):
+    return df.join(hot, _on(df, hot, keys), "left_anti")
 
 
 def with_previous(df, keys, order, cols, name="_prev", rows=None):
     """Add a struct with `cols` of the previous row of the same key (null for the first row).
 
-    A hot key is cut into slices by its order column. The last row of each slice is carried over to the next slice
-    as an extra row, so that all slices are worked on in parallel and the data is shuffled once.
+    The last row of each slice of a hot key is carried over to its next slice as an extra row.
     """
-    rows = _limit(df, rows)
+    hot = _hot_table(df, keys, rows)
     packed = F.struct(*cols)
-    if rows is None:
-        return df.withColumn(name, F.lag(packed).over(Window.partitionBy(*keys).orderBy(*order)))
-    x = cut(df, keys, order[0], rows)
-    kept = list(dict.fromkeys([*order, *cols]))
-    tails = (
-        cut(df, keys, order[0], rows, only_hot=True)
-        .groupBy(*keys, "_slice")
-        .agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("_tail"))
-    )
+    plain = lambda x: x.withColumn(name, F.lag(packed).over(Window.partitionBy(*keys).orderBy(*order)))
+    if hot is None:
+        return plain(df)
+    x = cut(df, keys, order, rows, hot)
+    kept = list(dict.fromkeys([*order, *cols, "_tie"]))
+    tails = x.groupBy(*keys, "_slice").agg(F.max_by(F.struct(*kept), F.struct(*order, "_tie")).alias("_tail"))
     after = F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice"))
     carried = (
         tails.withColumn("_slice", after)
@@ -133,94 +89,64 @@ def with_previous(df, keys, order, cols, name="_prev", rows=None):
                 F.lit(True).alias("_carried"))
     )
     both = x.withColumn("_carried", F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    return both.withColumn(name, F.lag(packed).over(w)).filter(~F.col("_carried")).drop("_carried", "_slice")
+    # a carried row comes before all rows of the slice, also before those that are equal to it
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order, "_tie", F.desc("_carried"))
+    split = both.withColumn(name, F.lag(packed).over(w)).filter(~F.col("_carried")).drop("_carried", "_slice", "_tie")
+    return plain(_ordinary(df, keys, hot)).unionByName(split)
 
 
 def with_rank(df, keys, order, name="_rank", rows=None):
     """Add the row number within the key. A hot key is numbered slice by slice, each from where the last one ended."""
-    rows = _limit(df, rows)
-    if rows is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    x = cut(df, keys, order[0], rows)
+    hot = _hot_table(df, keys, rows)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
+    if hot is None:
+        return df.withColumn(name, number)
+    return _ordinary(df, keys, hot).withColumn(name, number).unionByName(_ranked_slices(df, keys, order, name, rows, hot))
+
+
+def _ranked_slices(df, keys, order, name, rows, hot):
+    x = cut(df, keys, order, rows, hot)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # one extra row per slice of a hot key brings the number of rows before the slice
+    # one extra row per slice brings the number of rows before the slice
     starts = (
-        cut(df, keys, order[0], rows, only_hot=True)
-        .groupBy(*keys, "_slice")
+        x.groupBy(*keys, "_slice")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_count"), F.lit(0).alias("_row"))
     )
     both = x.withColumns({"_count": F.lit(1).cast("bigint"), "_row": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_slice").orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(name, F.sum("_count").over(w)).filter("_row = 1").drop("_count", "_row", "_slice")
+    w = Window.partitionBy(*keys, "_slice").orderBy("_row", *order, "_tie")
+    w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = both.withColumn(name, F.sum("_count").over(w)).filter("_row = 1")
+    return ranked.drop("_count", "_row", "_slice", "_tie")
 
 
 def newest_rows(df, keys, order, n, rows=None):
-    """The last n rows per key. For hot keys only the newest slices that hold n rows are looked at."""
-    rows = None if rows is None and n <= GROUP_LIMIT_ROWS else _limit(df, rows)
-    x = df if rows is None else _newest_slices(df, keys, order, n, rows)
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return x.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
-
-
-def _newest_slices(df, keys, order, n, rows):
-    x = cut(df, keys, order[0], rows)
-    newest_first = (
-        Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    enough = (
-        cut(df, keys, order[0], rows, only_hot=True)
-        .groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_total", F.sum("_n").over(newest_first))
-        .filter(F.col("_total") >= n)
-        .groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys])
-        .agg(F.max("_slice").alias("_from"))
-    )
-    x = _with_hot(x, keys, enough).filter(F.col("_from").isNull() | (F.col("_slice") >= F.col("_from")))
-    return x.drop("_from", "_slice")
-
-
-def with_parts(df, group, spread, part_rows=None):
-    """Add `part` and `parts`: a group is split by hash into as many parts of `part_rows` as its size asks for."""
-    part_rows = _limit(df, part_rows, PART_ROWS)
-    if part_rows is None:
-        return df.withColumns({"parts": F.lit(1).cast("bigint"), "part": F.lit(0).cast("bigint")})
-    x = _with_hot(df, group, hot_keys(df, group, part_rows))
-    parts = F.coalesce(F.ceil(F.col("_rows") / F.lit(part_rows)), F.lit(1)).cast("bigint")
-    part = F.pmod(F.xxhash64(*spread), F.col("parts"))
-    return x.withColumn("parts", parts).withColumn("part", part).drop("_rows")
-
-
-def spread_join(big, small, keys, spread, how="inner", rows=None, salts=64):
+    """The last n rows per key. Hot keys are ranked slice by slice, so that n may be of any size."""
+    newest_first = [F.desc(c) for c in order]
+    hot = _hot_table(df, keys, rows)
+    w = Window.partitionBy(*keys).orderBy(*newest_first)
+    last = lambda x: x.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+    if hot is None:
+        return last(df)
+    split = _ranked_slices(df, keys, newest_first, "_rank", rows, hot).filter(F.col("_rank") <= n).drop("_rank")
+    return last(_ordinary(df, keys, hot)).unionByName(split)
+
+
+def spread_join(big, small, keys, spread, how="inner", rows=None):
     """Join on keys of which some are hot in `big` while `small` holds few rows per key.
 
-    Rows of hot keys get a salt from the `spread` columns; only the rows of those keys in `small` are repeated once
-    per salt. All other keys are joined as usual. Null keys never match, as in any equi join.
+    A hot key gets one salt for each `rows` of its rows in `big`, dealt out by the `spread` columns, and its rows in `small`
+    are repeated once per salt. All other keys are joined as usual. Null keys never match, as in any equi join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    rows = _limit(big, rows)
-    if rows is None:
+    rows = HOT_ROWS if rows is None else rows
+    hot = _hot_table(big.filter(F.col(keys[0]).isNotNull()), keys, rows)
+    if hot is None:
         return big.join(small, list(keys), how)
-    hot = hot_keys(big.filter(F.col(keys[0]).isNotNull()), keys, rows)
-    left = _with_hot(big, keys, hot).withColumn(
-        "_salt", F.when(F.col("_rows").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0))
-    )
-    every = F.when(F.col("_rows").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = _with_hot(small, keys, hot).withColumn("_salt", F.explode(every.cast("array<bigint>")))
-    left = left.withColumn("_salt", F.col("_salt").cast("bigint")).drop("_rows")
-    return left.join(right.drop("_rows"), [*keys, "_salt"], how).drop("_salt")
-
-
-def salted_join(big, small, keys, spread, how="left", salts=32):
-    """Join with a side of one row per key whose keys may each hold many rows of `big`, such as resets per scope.
-
-    Every row of the narrow side is repeated per salt, so no count of the keys is needed beforehand.
-    """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"cannot salt a {how} join")
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("bigint"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    salts = F.coalesce(F.ceil(F.col("_rows") / F.lit(rows)), F.lit(1)).cast("bigint")
+    salted = lambda df: df.join(hot, _on(df, hot, keys), "left").withColumn("_salts", salts).drop(
+        *[f"_hot_{k}" for k in keys], "_rows")
+    left = salted(big).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.col("_salts"))).drop("_salts")
+    right = salted(small).withColumn("_salt", F.explode(F.expr("sequence(0L, _salts - 1)"))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

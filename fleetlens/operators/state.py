@@ -6,7 +6,7 @@ result over all rows. The streaming forms rely on that.
 
 from pyspark.sql import functions as F
 
-from fleetlens.operators.spread import hashable, salted_join, spread_join, with_rank
+from fleetlens.operators.spread import spread_join, with_rank
 
 
 def _rest(df, keys):
@@ -37,7 +37,8 @@ def live_members(ops, keys, order, op="op", scope=(), add="add", remove="remove"
 def _after_reset(rows, resets, scope, keys, seq):
     """Rows newer than the last reset of their scope. `resets` has one row per scope with `_cleared`."""
     if scope:
-        joined = salted_join(rows, resets, list(scope), keys, "left")
+        # one row per scope: adaptive execution makes it a broadcast if it is small and splits hot scopes if not
+        joined = rows.join(resets, list(scope), "left")
         return joined.filter(F.col("_cleared").isNull() | (seq > F.col("_cleared")))
     newest = resets.select("_cleared").scalar()
     return rows.withColumn("_cleared", newest).filter(F.col("_cleared").isNull() | (seq > F.col("_cleared")))
@@ -61,10 +62,13 @@ def materialize_changelog(events, scope, key, seq="seq", op="op", reset="Reseted
     return live.filter(F.col(op) != deleted).drop("_cleared")
 
 
-def replace_snapshot(rows, scope, seq="batch_seq", spread=None):
-    """Rows of the newest full snapshot of each scope. A large snapshot is spread by `spread` (default: all columns)."""
+def replace_snapshot(rows, scope, seq="batch_seq"):
+    """Rows of the newest full snapshot of each scope.
+
+    The newest number of each scope, one row, meets the rows in a semi-join, whose large side adaptive execution splits.
+    """
     newest = rows.groupBy(*scope).agg(F.max(seq).alias(seq))
-    return salted_join(rows, newest, [*scope, seq], spread or hashable(rows), "left_semi").select(*rows.columns)
+    return rows.join(newest, [*scope, seq], "left_semi").select(*rows.columns)
 
 
 def reconcile(state, listing, keys):
@@ -86,8 +90,8 @@ def reconcile_and_upsert(listings, records, scope, key, seq="seq", rows=None):
     listed = spread_join(listed, since, [*scope, *key], [seq], "inner", rows).filter(F.col(seq) > F.col("_since"))
     listed = listed.groupBy(*scope, *key).agg(F.count_distinct(seq).alias("_seen"))
     # a record belongs to the poll with its own number
-    at = salted_join(last, numbered, [*scope, seq], key, "left")
-    at = salted_join(at, newest, list(scope), key, "left").join(listed, [*scope, *key], "left")
+    at = last.join(numbered, [*scope, seq], "left")
+    at = at.join(newest, list(scope), "left").join(listed, [*scope, *key], "left")
     missed = F.col("_polls") - F.col("_poll") - F.coalesce("_seen", F.lit(0))
     return at.filter(missed == 0).select(*records.columns)
 

@@ -13,6 +13,11 @@ FLAGSHIP = JobFilter(name_contains="job-3", states=frozenset(["FINISHED"]))
 ORDERS = (("startTs", "desc"), ("jobName", "asc"))
 
 
+def placed(df):
+    """Add `place`, the place of each row in the order in which the rows of `df` come out."""
+    return query.with_place(df.withColumn("_id", F.monotonically_increasing_id()), ["_id"]).drop("_id")
+
+
 @case("f1_select_jobs", f"""WITH {JOBS} SELECT {COLS} FROM jobs
   WHERE contains(job_name, 'job-3') AND state IN ('FINISHED', 'RUNNING') AND namespace IN ('1-URGENT', '5-LOW')
     AND (cluster_id, namespace) IN (('c1', '1-URGENT'), ('c2', '5-LOW'), ('c3', '5-LOW'))
@@ -82,22 +87,25 @@ def q1(t):
     return query.select_page(jobs(t), FLAGSHIP, PageRequest(2, 20, ORDERS))[0]
 
 
-@case("q1_select_page_deep", f"""WITH {JOBS} SELECT {COLS} FROM jobs
-  ORDER BY {STATE_ORDER} DESC, start_ts, cluster_id, namespace, job_id LIMIT 500 OFFSET 1000""")
+@case("q1_select_page_deep", f"""WITH {JOBS}, p AS (SELECT {COLS},
+    row_number() OVER (ORDER BY {STATE_ORDER} DESC, start_ts, cluster_id, namespace, job_id) - 1000 AS place FROM jobs)
+  SELECT * FROM p WHERE place BETWEEN 1 AND 500""")
 def _(t):
     orders = query.order_columns((("jobState", "desc"), ("startTs", "asc")))
-    cols = [*K.JOB, "state", "start_ts"]
-    return query.page(jobs(t), PageRequest(3, 500), orders, cols, top_n=100)
+    return placed(query.page(jobs(t), PageRequest(3, 500), orders))
 
 
-@case("q2_select_all", f"WITH {JOBS} SELECT {COLS} FROM jobs WHERE state = 'RESTARTING'")
+@case("q2_select_all", f"""WITH {JOBS} SELECT {COLS},
+    row_number() OVER (ORDER BY start_ts DESC, job_name, cluster_id, namespace, job_id) AS place
+  FROM jobs WHERE state = 'RESTARTING'""")
 def _(t):
-    return query.select_all(jobs(t), JobFilter(states=frozenset(["RESTARTING"])), ORDERS)
+    return placed(query.select_all(jobs(t), JobFilter(states=frozenset(["RESTARTING"])), ORDERS))
 
 
-@case("q3s_sort_by", f"WITH {JOBS} SELECT {COLS} FROM jobs")
+@case("q3s_sort_by", f"""WITH {JOBS} SELECT {COLS},
+    row_number() OVER (ORDER BY {STATE_ORDER} DESC, job_name, cluster_id, namespace, job_id) AS place FROM jobs""")
 def _(t):
-    return query.sort_by(jobs(t), (("jobState", "desc"), ("jobName", "asc")))
+    return placed(query.sort_by(jobs(t), (("jobState", "desc"), ("jobName", "asc"))))
 
 
 @case("q4_page_envelope", f"""WITH {JOBS}, n AS (
@@ -115,14 +123,16 @@ def _(t):
     return query.page(jobs(t), PageRequest(0, -5), query.order_columns(()))
 
 
-@case("q6_canonical_order", f"""WITH {JOBS} SELECT DISTINCT cluster_id, namespace FROM jobs""")
+@case("q6_canonical_order", f"""WITH {JOBS}, d AS (SELECT DISTINCT cluster_id, namespace FROM jobs)
+  SELECT *, row_number() OVER (ORDER BY namespace, cluster_id) AS place FROM d""")
 def _(t):
-    return query.canonical_order(jobs(t).select("cluster_id", "namespace").distinct(), "k8s_ref")
+    return placed(query.canonical_order(jobs(t).select("cluster_id", "namespace").distinct(), "k8s_ref"))
 
 
-@case("q7_list_all", f"WITH {JOBS} SELECT {COLS} FROM jobs")
+@case("q7_list_all", f"""WITH {JOBS} SELECT {COLS},
+  row_number() OVER (ORDER BY cluster_id, namespace, job_id) AS place FROM jobs""")
 def _(t):
-    return query.list_all(jobs(t))
+    return placed(query.list_all(jobs(t)))
 
 
 @case("q8_states_of", f"WITH {JOBS} SELECT job_id, state FROM jobs WHERE cluster_id = 'c3' AND namespace = '5-LOW'")
@@ -225,33 +235,58 @@ def _(t):
     return joins.lookup_with_fallback(_requests(t), _endpoints(t), source, ["cluster"], ["host", "port"])
 
 
-@case("j8_assemble_snapshot", """WITH o AS (
+OBJECTS = """o AS (
     SELECT concat('c', o_custkey % 200) AS cluster_id, concat('d-', o_orderkey) AS name, 'deployment' AS kind FROM orders
       WHERE o_orderstatus = 'F'
     UNION ALL SELECT concat('c', s_suppkey), s_name, 'service' FROM supplier
     UNION ALL SELECT concat('c', o_custkey % 200), concat('p-', o_orderkey), 'pod' FROM orders WHERE o_orderstatus = 'O'
-    UNION ALL SELECT concat('c', p_partkey % 150), concat(p_name, '-', p_partkey), 'config_map' FROM part)
-  SELECT cluster_id,
-    coalesce(string_agg(name, ',' ORDER BY name) FILTER (kind = 'deployment'), '') AS deployment,
-    coalesce(string_agg(name, ',' ORDER BY name) FILTER (kind = 'service'), '') AS service,
-    coalesce(string_agg(name, ',' ORDER BY name) FILTER (kind = 'pod'), '') AS pod,
-    coalesce(string_agg(name, ',' ORDER BY name) FILTER (kind = 'config_map'), '') AS config_map
-  FROM o GROUP BY cluster_id""")
-def _(t):
-    def kind(df, cluster, name, kind):
-        return df.select(text("c", cluster).alias("cluster_id"), name.alias("name"), F.lit(kind).alias("kind"))
-
-    col = F.col
-    objects = (
-        kind(t.orders.filter("o_orderstatus = 'F'"), col("o_custkey") % 200, text("d-", col("o_orderkey")), "deployment")
-        .unionByName(kind(t.supplier, col("s_suppkey"), col("s_name"), "service"))
-        .unionByName(
-            kind(t.orders.filter("o_orderstatus = 'O'"), col("o_custkey") % 200, text("p-", col("o_orderkey")), "pod"))
-        .unionByName(kind(t.part, col("p_partkey") % 150,
-                          F.concat("p_name", F.lit("-"), col("p_partkey").cast("string")), "config_map"))
-    )
-    snap = joins.assemble_snapshot(objects, ["cluster_id"])
-    return snap.select("cluster_id", *[F.array_join(k, ",").alias(k) for k in joins.OBJECT_KINDS])
+    UNION ALL SELECT concat('c', p_partkey % 150), concat(p_name, '-', p_partkey), 'config_map' FROM part)"""
+
+
+def cluster_objects(t):
+    """Rows of each kind with cluster_id, name and some details."""
+    orders = t.orders.withColumn("cluster_id", text("c", F.col("o_custkey") % 200))
+    pick = lambda letter, status: orders.filter(F.col("o_orderstatus") == status).select(
+        "cluster_id", text(letter, F.col("o_orderkey")).alias("name"), "o_orderpriority", "o_custkey")
+    return {
+        "deployment": pick("d-", "F"),
+        "service": t.supplier.select(text("c", F.col("s_suppkey")).alias("cluster_id"), F.col("s_name").alias("name"),
+                                     F.col("s_nationkey")),
+        "pod": pick("p-", "O"),
+        "config_map": t.part.select(
+            text("c", F.col("p_partkey") % 150).alias("cluster_id"),
+            F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("name"), "p_size"),
+    }
+
+
+def named_objects(t):
+    rows = [df.select("cluster_id", "name", F.lit(kind).alias("kind")) for kind, df in cluster_objects(t).items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+@case("j8_assemble_snapshot", f"WITH {OBJECTS} SELECT cluster_id, kind, name FROM o")
+def _(t):
+    return joins.assemble_snapshot(named_objects(t), ["cluster_id"])
+
+
+@case("j8_snapshot_counts", f"""WITH {OBJECTS} SELECT cluster_id, count(*) FILTER (kind = 'deployment') AS deployment,
+    count(*) FILTER (kind = 'service') AS service, count(*) FILTER (kind = 'pod') AS pod,
+    count(*) FILTER (kind = 'config_map') AS config_map FROM o GROUP BY 1""")
+def _(t):
+    return joins.snapshot_counts(named_objects(t), ["cluster_id"])
+
+
+@case("j8_full_snapshot", """SELECT concat('c', o_custkey % 200) AS cluster_id,
+    CASE o_orderstatus WHEN 'F' THEN 'deployment' ELSE 'pod' END AS kind,
+    concat(CASE o_orderstatus WHEN 'F' THEN 'd-' ELSE 'p-' END, o_orderkey) AS name,
+    CAST(to_json({'o_orderpriority': o_orderpriority, 'o_custkey': o_custkey}) AS VARCHAR) AS detail
+    FROM orders WHERE o_orderstatus IN ('F', 'O')
+  UNION ALL SELECT concat('c', s_suppkey), 'service', s_name,
+    CAST(to_json({'s_nationkey': s_nationkey}) AS VARCHAR) FROM supplier
+  UNION ALL SELECT concat('c', p_partkey % 150), 'config_map', concat(p_name, '-', p_partkey),
+    CAST(to_json({'p_size': p_size}) AS VARCHAR) FROM part""")
+def _(t):
+    return joins.full_snapshot(cluster_objects(t), ["cluster_id"])
 
 
 @case("j9_fetch_many", f"""WITH {JOBS} SELECT {COLS} FROM jobs
@@ -288,12 +323,14 @@ def _(t):
     return changes.first_of(t.events.select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
 
 
-@case("a5_keys_by_cluster", f"""WITH {JOBS} SELECT cluster_id, namespace,
-  string_agg(CAST(job_id AS VARCHAR), ',' ORDER BY job_id) AS job_ids FROM jobs GROUP BY 1, 2""")
+@case("a5_keys_by_cluster", f"WITH {JOBS} SELECT DISTINCT cluster_id, namespace, job_id FROM jobs")
+def _(t):
+    return aggregates.keys_by_cluster(jobs(t))
+
+
+@case("a5_key_counts", f"WITH {JOBS} SELECT cluster_id, namespace, count(DISTINCT job_id) AS keys FROM jobs GROUP BY 1, 2")
 def _(t):
-    sets = aggregates.keys_by_cluster(jobs(t))
-    ids = F.transform("keys", lambda x: x.cast("string"))
-    return sets.select("cluster_id", "namespace", F.array_join(ids, ",").alias("job_ids"))
+    return aggregates.key_counts(jobs(t))
 
 
 @case("a10_state_counts", f"""WITH {JOBS} SELECT cluster_id, namespace,
@@ -313,7 +350,8 @@ def _(t):
     return aggregates.task_counts(tasks, ["job_id"], states=("RUNNING", "FINISHED"))
 
 
-@case("a11_random_member")
+@case("a11_random_member", f"""WITH {JOBS} SELECT cluster_id, namespace,
+    arg_min(job_id, md5(concat(CAST(job_id AS VARCHAR), '#42'))) AS job_id FROM jobs GROUP BY 1, 2""")
 def _(t):
     return aggregates.random_member(jobs(t), ["cluster_id", "namespace"], "job_id", 42)
 
@@ -325,8 +363,9 @@ def _(t):
     return picked.join(found, K.JOB, "left").drop("job_id")
 
 
-@case("w3_page", f"""WITH {JOBS} SELECT {COLS} FROM jobs WHERE namespace = '3-MEDIUM'
-  ORDER BY job_name DESC, start_ts DESC, cluster_id, namespace, job_id LIMIT 25 OFFSET 50""")
+@case("w3_page", f"""WITH {JOBS}, p AS (SELECT {COLS},
+    row_number() OVER (ORDER BY job_name DESC, start_ts DESC, cluster_id, namespace, job_id) - 50 AS place FROM jobs)
+  SELECT * FROM p WHERE place BETWEEN 1 AND 25""")
 def _(t):
     orders = query.order_columns((("jobName", "desc"), ("startTs", "desc")))
-    return query.page(jobs(t).filter("namespace = '3-MEDIUM'"), PageRequest(3, 25), orders)
+    return placed(query.page(jobs(t), PageRequest(3, 25), orders))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fleetlens.operators import changes, joins, query, spread, state, watch
-from fleetlens.operators.aggregates import keys_by_cluster
+from fleetlens.operators.aggregates import key_counts, keys_by_cluster
 from fleetlens.operators.query import PageRequest
 
 FEW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -47,20 +47,46 @@ def test_only_changes_with_gaps_nulls_and_times(spark):
     assert {(r.k, r.sec) for r in got.collect()} == {("a", 0), ("a", 900), ("a", 100_000), ("b", 5)}
 
 
+def cut(df, keys, order, rows):
+    return spread.cut(df, keys, order, rows, spread.hot_keys(df, keys, rows))
+
+
 @pytest.mark.parametrize("far", [[], [0], [0, 10**12]])
 def test_slices_stay_small_with_far_off_values(spark, far):
     data = [(1, v) for v in far] + [(1, 10**9 + i) for i in range(4000)] + [(2, i) for i in range(5)]
     df = spark.createDataFrame(data, "k INT, seq BIGINT")
-    rows = spread.cut(df, ["k"], "seq", 200).collect()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    rows = cut(df, ["k"], ["seq"], 200).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     sizes = defaultdict(int)
     for r in rows:
-        sizes[r.k, r._slice] += 1
-    assert len(rows) == len(data) and sizes[2, 0] == 5
-    assert max(n for (k, _), n in sizes.items() if k == 1) <= 200
-    ordered = [r._slice for r in sorted(rows, key=lambda r: r.seq) if r.k == 1]
+        sizes[r._slice] += 1
+    assert len(rows) == len(data) - 5 and len(sizes) >= 15 and max(sizes.values()) <= 600
+    ordered = [r._slice for r in sorted(rows, key=lambda r: r.seq)]
     assert ordered == sorted(ordered)
-    hot = spread.cut(df, ["k"], "seq", 200, only_hot=True)
-    assert {(r.seq, r._slice) for r in hot.collect()} == {(r.seq, r._slice) for r in rows if r.k == 1}
+
+
+def test_rows_that_tie_in_the_first_order_column_are_split(spark):
+    df = spark.range(3000).selectExpr("1 AS k", "7 AS seq", "id AS then", "id % 3 AS v")
+    assert len({r._slice for r in cut(df, ["k"], ["seq"], 100).collect()}) > 1
+    got = changes.only_changes(df, ["k"], ["seq", "then"], ["v"], rows=100)
+    assert got.count() == 3000
+    same = changes.only_changes(df.withColumn("v", F.lit(1)), ["k"], ["seq", "then"], ["v"], rows=100)
+    assert [r.then for r in same.collect()] == [0]
+
+
+def test_many_rows_of_one_key_in_a_small_file_are_split(spark, tmp_path):
+    spark.range(20_000).selectExpr("1 AS k", "id AS seq").write.parquet(f"{tmp_path}/one")
+    df = spark.read.parquet(f"{tmp_path}/one")
+    hot = spread.hot_keys(df, ["k"], 10_000).collect()
+    assert [(r._hot_k, r._rows) for r in hot] == [(1, 20_000)]
+    assert "_slice" in plan(spread.with_previous(df, ["k"], ["seq"], ["seq"], rows=10_000))
+    assert "_slice" not in plan(spread.with_previous(df, ["k"], ["seq"], ["seq"], rows=30_000))
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_operators_on_far_off_values(spark):
@@ -78,9 +104,12 @@ def test_operators_on_far_off_values(spark):
     assert [r.n for r in got.filter("k = 1").orderBy("seq").collect()] == list(range(1, len(seqs) + 1))
 
 
-def test_order_column_must_be_sliceable(spark):
-    with pytest.raises(TypeError):
-        spread.cut(spark.createDataFrame([("a", "b")], "k STRING, o STRING"), ["k"], "o", 1)
+@pytest.mark.parametrize("rows", [2, None])
+def test_text_order_columns(spark, rows):
+    table = [("a", f"{i:03}", i // 3) for i in range(30)] + [("b", None, 1), ("b", "x", 1)]
+    df = spark.createDataFrame(table, "k STRING, at STRING, v INT").repartition(3)
+    got = changes.only_changes(df, ["k"], ["at"], ["v"], rows=rows)
+    assert {(r.k, r["at"]) for r in got.collect()} == {("a", f"{i:03}") for i in range(0, 30, 3)} | {("b", None)}
 
 
 @FEW
@@ -114,28 +143,28 @@ def test_spread_join_equals_join(spark, how):
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     want = sorted(map(key, big.join(small, "k", how).collect()))
     columns = big.join(small, "k", how).columns
-    for got in (spread.spread_join(big, small, ["k"], ["seq"], how, rows=10, salts=5),
-                spread.salted_join(big, small, ["k"], ["seq"], how, salts=5)):
+    for rows in (10, 50, None):
+        got = spread.spread_join(big, small, ["k"], ["seq"], how, rows=rows)
         assert sorted(map(key, got.select(*columns).collect())) == want
 
 
-def test_parts_keep_all_members(spark):
-    data = [("big", i % 50) for i in range(100)] + [("small", 1)]
+def test_keys_and_counts_are_rows(spark):
+    data = [("big", i % 50) for i in range(100)] + [("small", 1), (None, 3), ("none", None)]
     df = spark.createDataFrame(data, "cluster_id STRING, job_id INT").withColumn("namespace", F.lit("n"))
-    got = keys_by_cluster(df, part_rows=7).collect()
-    big = [r for r in got if r.cluster_id == "big"]
-    assert {r.parts for r in big} == {8} and len(big) > 1
-    assert sorted(x for r in big for x in r["keys"]) == list(range(50))
-    assert [(r.part, r.parts, r["keys"]) for r in got if r.cluster_id == "small"] == [(0, 1, [1])]
+    got = [(r.cluster_id, r.job_id) for r in keys_by_cluster(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(data)
+    assert {r.cluster_id: r["keys"] for r in key_counts(df).collect()} == {"big": 50, "small": 1, None: 1, "none": 0}
 
 
-def test_snapshot_parts(spark):
+def test_snapshot_rows(spark):
     data = [("c", "pod", f"p{i}") for i in range(30)] + [("c", "service", "s"), ("d", "other", "x"), ("e", "config_map", "m")]
     df = spark.createDataFrame(data, "cluster_id STRING, kind STRING, name STRING")
-    got = joins.assemble_snapshot(df, ["cluster_id"], part_rows=10).collect()
-    assert sorted(n for r in got if r.cluster_id == "c" for n in r.pod) == sorted(f"p{i}" for i in range(30))
-    assert {r.cluster_id for r in got} == {"c", "e"}
-    assert [(r.deployment, r.config_map) for r in got if r.cluster_id == "e"] == [([], ["m"])]
+    got = {tuple(r) for r in joins.assemble_snapshot(df, ["cluster_id"]).collect()}
+    assert got == {r for r in data if r[1] != "other"}
+    assert {tuple(r) for r in joins.snapshot_counts(df, ["cluster_id"]).collect()} == {("c", 0, 1, 30, 0), ("e", 0, 0, 0, 1)}
+    pods = df.filter("kind = 'pod'").select("cluster_id", "name", F.lit(1).alias("ready"))
+    full = joins.full_snapshot({"pod": pods, "service": pods.limit(1).select("cluster_id", "name")}, ["cluster_id"])
+    assert {(r.kind, r.detail) for r in full.collect()} == {("pod", '{"ready":1}'), ("service", "{}")}
 
 
 @pytest.mark.parametrize("number,size", [(1, 7), (4, 10), (7, 10), (8, 10), (3, 30)])
@@ -146,9 +175,23 @@ def test_deep_page_equals_page(spark, number, size):
     orders = query.order_columns((("startTs", "desc"), ("jobName", "asc")))
     req = PageRequest(number, size)
     want = [r.job_id for r in query.page(df, req, orders).collect()]
-    cols = ["cluster_id", "namespace", "job_id", "job_name", "start_ts"]
     assert [r.job_id for r in query.page(df, req, orders, top_n=0).collect()] == want
-    assert [r.job_id for r in query.page(df, req, orders, cols, top_n=0).collect()] == want
+
+
+def test_pages_with_null_and_repeated_keys_are_slices_of_one_order(spark):
+    data = [(f"c{i % 3}", None if i % 2 else "n", i % 40, "job", "RUNNING", i % 4, i) for i in range(400)]
+    df = spark.createDataFrame(
+        data, "cluster_id STRING, namespace STRING, job_id INT, job_name STRING, state STRING, start_ts INT, row INT")
+    orders = query.order_columns((("startTs", "desc"), ("jobName", "asc")))
+    places = {r.row: r.place for r in query.with_place(df, orders).collect()}
+    assert sorted(places.values()) == list(range(1, 401))
+    for number in (1, 9, 10, 11, 16, 17):
+        for top_n in (0, 250, 1000):
+            got = query.page(df, PageRequest(number, 25), orders, top_n=top_n).collect()
+            first = (number - 1) * 25
+            assert [places[r.row] for r in got] == list(range(first + 1, min(first + 25, 400) + 1))
+            size = query.page_envelope(df, PageRequest(number, 25)).first()["size"]
+            assert len(got) == size
 
 
 def test_watch_with_hot_operations(spark):
