@@ -45,19 +45,23 @@ def convert_quantity(quantity, unit, mode="reference"):
     base, and between the families it goes through one k/Ki step of 1.024 (1.5 k is 1536 Mi).
     `exact` uses the true sizes of the decimal and binary units.
 
-    All unit pairs are a constant map, so a row costs one lookup and three multiplications, without branches.
+    The factors of all unit pairs are a constant array, so a row costs the places of its units and one element.
     """
     if mode not in ("reference", "exact"):
         raise ValueError("mode must be reference or exact")
-    one = isinstance(unit, str)
+    targets = [unit] if isinstance(unit, str) else QUANTITY_UNITS
     entries = []
     for u in QUANTITY_UNITS:
-        for t in [unit] if one else QUANTITY_UNITS:
+        for t in targets:
             multiply, divide, scale = _steps(u, t, mode)
-            name = u if one else f"{u}>{t}"
-            entries.append(f"'{name}', named_struct('m', {multiply!r}D, 'd', {divide!r}D, 's', {scale!r}D)")
-    own = quantity["unit"] if one else F.concat_ws(">", quantity["unit"], unit)
-    step = F.try_element_at(F.expr(f"map({', '.join(entries)})"), own)
+            entries.append(f"named_struct('m', {multiply!r}D, 'd', {divide!r}D, 's', {scale!r}D)")
+    units = F.array(*[F.lit(u) for u in QUANTITY_UNITS])
+    place = F.array_position(units, quantity["unit"])
+    if len(targets) > 1:
+        target = F.array_position(units, unit)
+        place = F.when(target > 0, (place - 1) * len(targets) + target)
+    # an unknown unit has place 0 or less
+    step = F.get(F.expr(f"array({', '.join(entries)})"), (place - 1).cast("int"))
     return quantity["value"] * step["m"] / step["d"] * step["s"]
 
 

@@ -11,8 +11,15 @@ def set_fingerprint(df, group, cols):
 
     Leave the ingest time out of `cols`. Rows are reduced to their hashes before the shuffle.
     """
-    hashed = df.select(*group, F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2")).distinct()
-    return hashed.groupBy(*group).agg(
+    return fingerprint_of(row_hashes(df, group, cols), group)
+
+
+def row_hashes(df, group, cols):
+    return df.select(*group, F.xxhash64(*cols).alias("_h1"), F.hash(*cols).alias("_h2"))
+
+
+def fingerprint_of(hashed, group):
+    return hashed.distinct().groupBy(*group).agg(
         F.bit_xor("_h1").alias("hash1"), F.bit_xor("_h2").alias("hash2"), F.count(F.lit(1)).alias("members")
     )
 
@@ -31,8 +38,12 @@ def only_set_changes(df, keys, order, cols, rows=None):
 
     The fingerprints, one row per snapshot, are checkpointed, as they are looked at several times.
     """
-    prints = reliable_checkpoint(set_fingerprint(df, [*keys, *order], cols))
-    return only_changes(prints, keys, order, ["hash1", "hash2", "members"], rows=rows)
+    return changed_prints(set_fingerprint(df, [*keys, *order], cols), keys, order, rows)
+
+
+def changed_prints(prints, keys, order, rows=None):
+    """Fingerprints that differ from the one before of their keys."""
+    return only_changes(reliable_checkpoint(prints), keys, order, ["hash1", "hash2", "members"], rows=rows)
 
 
 def first_of_error_runs(df, keys, order, is_error, message, rows=None):

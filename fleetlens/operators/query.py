@@ -104,13 +104,19 @@ def remove_where(df, predicate):
     return df.filter(~F.coalesce(predicate, F.lit(False)))
 
 
+def with_broken_rules(df, rules):
+    """All rows, with the names of the rules that they break: `rules` maps a name to a condition that good rows meet.
+
+    One read serves both sides when the result is written partitioned by `size(broken_rules) = 0`.
+    """
+    broken = F.array(*[F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()])
+    return df.withColumn("broken_rules", F.array_compact(broken))
+
+
 def quarantine(df, rules):
-    """(good, bad): `rules` maps a name to a condition that good rows meet. Bad rows list the broken rules."""
-    broken = F.filter(
-        F.array(*[F.when(~F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in rules.items()]),
-        lambda x: x.isNotNull(),
-    )
-    return df.filter(all_of(rules.values())), df.withColumn("broken_rules", broken).filter(F.size("broken_rules") > 0)
+    """(good, bad) as two frames; each reads the input, so use `with_broken_rules` where both are wanted."""
+    bad = with_broken_rules(df, rules).filter(F.size("broken_rules") > 0)
+    return df.filter(all_of(rules.values())), bad
 
 
 _SORT_FIELDS = {

@@ -32,6 +32,47 @@ def unreadable(df, schema, payload="payload"):
     return df.filter(F.col(payload).isNotNull() & bad)
 
 
+def checked_items(df, schema, items, cols, keys=tuple(CLUSTER), payload="payload", more=(), rules=None):
+    """One row per element of the array `items` of the payload, and `broken_rules`; nothing is lost.
+
+    `cols` maps output names to columns over `i`, the element; `rules` maps a rule to a condition over the output. A
+    payload that can't be read gives one row with the rule `payload` and its text in `bad_payload`; one without items
+    gives none. Payloads are parsed once.
+    """
+    p = parsed(df, f"{schema}, _corrupt_record STRING", payload)
+    broken = F.col(payload).isNotNull() & (F.col("_p").isNull() | F.col("_p._corrupt_record").isNotNull())
+    p = p.withColumn("_broken", broken)
+    rows = p.select(*keys, *more, "_broken", F.when(F.col("_broken"), F.col(payload)).alias("bad_payload"),
+                    F.explode_outer(items).alias("i"))
+    rows = rows.filter(F.col("_broken") | F.col("i").isNotNull())
+    rows = rows.select(*keys, *[c.alias(n) for n, c in cols.items()], *more, "_broken", "bad_payload")
+    found = [F.when(F.col("_broken"), F.lit("payload"))]
+    found += [F.when(~F.col("_broken") & ~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in (rules or {}).items()]
+    return rows.withColumn("broken_rules", F.array_compact(F.array(*found))).drop("_broken")
+
+
+def _known_state(col="state"):
+    return F.col(col).isin(*S.JOB_STATES)
+
+
+def checked_job_overview(df, keys=tuple(CLUSTER), payload="payload", ts="ts"):
+    """`payload_job_overview` with `broken_rules`: unreadable payloads and unknown job states stay, marked."""
+    cols = {"job_id": F.col("i.jid"), "job_name": F.col("i.name"), "state": F.col("i.state"),
+            "start_ts": F.col("i.`start-time`"), "end_ts": F.col("i.`end-time`"), "tasks": F.col("i.tasks")}
+    return checked_items(df, S.JOB_OVERVIEW, "_p.jobs", cols, keys, payload, [ts], {"state": _known_state()})
+
+
+def checked_job_status(df, keys=tuple(CLUSTER), payload="payload"):
+    """`payload_job_status` with `broken_rules`."""
+    cols = {"job_id": F.col("i.id"), "state": F.col("i.status")}
+    return checked_items(df, S.JOB_STATUS, "_p.jobs", cols, keys, payload, (), {"state": _known_state()})
+
+
+def checked_member_ids(df, keys=tuple(CLUSTER), payload="payload"):
+    """`payload_member_ids` with `broken_rules`."""
+    return checked_items(df, S.MEMBER_IDS, "_p.taskmanagers.id", {"tid": F.col("i")}, keys, payload)
+
+
 def payload_job_overview(df, keys=tuple(CLUSTER), payload="payload", ts="ts"):
     """One row per job with its nested task counts."""
     j = parsed(df, S.JOB_OVERVIEW, payload).select(*keys, ts, F.explode("_p.jobs").alias("j"))

@@ -34,12 +34,15 @@ class BatchTable:
         ids = [int(n.split("=")[1]) for n in names if n.startswith(f"{BATCH}=")]
         return sorted(i for i in ids if fs.exists(hadoop.Path(f"{self.path}/{kind}/{BATCH}={i}/_SUCCESS")))
 
-    def write(self, df, batch_id, partition_by=(), kind="delta"):
+    def write(self, df, batch_id, partition_by=(), kind="delta", sort=()):
         # the reader gives the schema, so columns are put into its order and types here
         rows = df.select(*[F.col(f.name).cast(f.dataType) for f in self._fields()])
         if partition_by:
             # few files per folder; adaptive execution splits a large folder over several tasks
             rows = rows.hint("rebalance", *[F.col(c) for c in partition_by])
+        if sort:
+            # so that row groups cover few keys and a filter on a key skips most of them
+            rows = rows.sortWithinPartitions(*sort)
         rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/{kind}/{BATCH}={batch_id}")
 
     def _fields(self):
@@ -62,8 +65,22 @@ class BatchTable:
         return scan.parquet(*[f"{root}/{BATCH}={i}" for i in ids]).select(*self._fields().names)
 
     def compact(self, batch_id, reduce):
-        """Fold all batches up to and including this one into a base with `reduce`."""
+        """Fold all batches up to and including this one into a base with `reduce`.
+
+        What the base before this one had replaced is deleted: a reader that began before this call still finds the
+        batches that it has listed.
+        """
+        before = self._committed("base")[-1:]
         self.write(reduce(self.read(before=batch_id + 1)), batch_id, kind="base")
+        if before and before[0] < batch_id:
+            self._delete("delta", lambda i: i <= before[0])
+            self._delete("base", lambda i: i < before[0])
+
+    def _delete(self, kind, where):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for i in filter(where, self._committed(kind)):
+            folder = path(f"{self.path}/{kind}/{BATCH}={i}")
+            folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 # The history table, one row per job and ingest time.
@@ -80,14 +97,21 @@ def flatten_tasks(df):
     return df.withColumns({f"task_{s}": F.col(f"tasks.{s}") for s in TASK_STATES}).drop("tasks")
 
 
+def newest_by_key(df, keys, order):
+    """Newest row per key; rows that tie in the order are told apart by a hash, so that every run takes the same one."""
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    return latest_per_key(tied, list(keys), [*order, "_tie"]).drop("_tie").select(*df.columns)
+
+
 def history_table(spark, path, schema=HISTORY):
     return BatchTable(spark, path, f"{schema}, day DATE")
 
 
 def write_history(df, table, batch_id):
     """Append overviews; the key includes the ingest time. Partitioned by day, so that time ranges prune folders."""
-    rows = flatten_tasks(df).dropDuplicates([*JOB, "ts"])
-    table.write(rows.withColumn("day", F.to_date(F.timestamp_millis("ts"))), batch_id, ["day"])
+    rows = newest_by_key(flatten_tasks(df), [*JOB, "ts"], ())
+    rows = rows.withColumn("day", F.to_date(F.timestamp_millis("ts")))
+    table.write(rows, batch_id, ["day"], sort=["day", *JOB, "ts"])
 
 
 def history_of(history, cluster_id, namespace, job_id):
@@ -95,7 +119,7 @@ def history_of(history, cluster_id, namespace, job_id):
     rows = history.filter(
         (F.col("cluster_id") == cluster_id) & (F.col("namespace") == namespace) & (F.col("job_id") == job_id)
     )
-    return rows.dropDuplicates([*JOB, "ts"]).orderBy(F.desc("ts"))
+    return newest_by_key(rows, [*JOB, "ts"], ()).orderBy(F.desc("ts"))
 
 
 def current_table(spark, path, schema=HISTORY):
@@ -104,7 +128,7 @@ def current_table(spark, path, schema=HISTORY):
 
 def write_current(df, table, batch_id, keys=tuple(JOB), order=("ts",)):
     """Upsert: only the newest row per key of this batch is written."""
-    rows = latest_per_key(flatten_tasks(df), list(keys), list(order))
+    rows = newest_by_key(flatten_tasks(df), keys, order)
     table.write(rows.withColumn("deleted", F.lit(False)), batch_id)
 
 
@@ -117,12 +141,12 @@ def write_deletes(keys_df, table, batch_id, keys=tuple(JOB), order="ts"):
 
 def read_current(table, keys=tuple(JOB), order=("ts",), before=None):
     """Current rows: the newest row per key, without deleted ones. A delete wins a tie."""
-    last = latest_per_key(table.read(before), list(keys), [*order, "deleted"])
+    last = newest_by_key(table.read(before), keys, [*order, "deleted"])
     return last.filter(~F.col("deleted")).drop("deleted")
 
 
 def compact_current(table, batch_id, keys=tuple(JOB), order=("ts",)):
-    table.compact(batch_id, lambda df: latest_per_key(df, list(keys), [*order, "deleted"]))
+    table.compact(batch_id, lambda df: newest_by_key(df, keys, [*order, "deleted"]))
 
 
 def delete_keys(df, gone, keys=tuple(JOB)):

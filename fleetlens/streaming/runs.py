@@ -33,19 +33,26 @@ def _schema(df, cols=None):
     return df.select(*cols).schema if cols else df.schema
 
 
+def _put(table, rows, i, reduce):
+    """Write a reduced batch; every now and then fold the batches into one with the same rule."""
+    table.write(rows, i)
+    if i and i % COMPACT_EVERY == 0:
+        table.compact(i, reduce)
+
+
 def stream_latest(stream, table_path, checkpoint, keys, order, **options):
     """Last row per key. View: `latest_per_key` over the table."""
     table = tables.BatchTable(stream.sparkSession, table_path, stream.schema)
     reduce = lambda df: state.latest_per_key(df, keys, order)
-    query = run(stream, checkpoint, lambda b, i: table.write(reduce(b), i), **options)
+    query = run(stream, checkpoint, lambda b, i: _put(table, reduce(b), i, reduce), **options)
     return query, lambda: reduce(table.read())
 
 
 def stream_changelog(stream, table_path, checkpoint, scope, key, seq="seq", op="op", **options):
     """Keyed view of a changelog. Deletes and resets stay as marker rows, so that late events revive nothing."""
     table = tables.BatchTable(stream.sparkSession, table_path, stream.schema)
-    each = lambda b, i: table.write(state.reduce_changelog(b, scope, key, seq, op), i)
-    query = run(stream, checkpoint, each, **options)
+    reduce = lambda df: state.reduce_changelog(df, scope, key, seq, op)
+    query = run(stream, checkpoint, lambda b, i: _put(table, reduce(b), i, reduce), **options)
     return query, lambda: state.materialize_changelog(table.read(), scope, key, seq, op)
 
 
@@ -62,7 +69,7 @@ def stream_members(stream, table_path, checkpoint, keys, order, scope=(), **opti
             *[F.desc(c) for c in order]).limit(1)
         return last.unionByName(clears.select(*last.columns)).drop("_add")
 
-    query = run(stream, checkpoint, lambda b, i: table.write(reduce(b), i), **options)
+    query = run(stream, checkpoint, lambda b, i: _put(table, reduce(b), i, reduce), **options)
     return query, lambda: state.live_members(table.read(), keys, order, scope=scope)
 
 
@@ -70,8 +77,8 @@ def stream_snapshots(stream, table_path, checkpoint, scope, seq="batch_seq", col
     """Newest full snapshot per scope; with `cols` a narrow index of it."""
     narrow = stream.select(*cols) if cols else stream
     table = tables.BatchTable(stream.sparkSession, table_path, narrow.schema)
-    each = lambda b, i: table.write(state.replace_snapshot(b, scope, seq), i)
-    query = run(narrow, checkpoint, each, **options)
+    reduce = lambda df: state.replace_snapshot(df, scope, seq)
+    query = run(narrow, checkpoint, lambda b, i: _put(table, reduce(b), i, reduce), **options)
     return query, lambda: state.replace_snapshot(table.read(), scope, seq)
 
 
@@ -85,17 +92,20 @@ def stream_reconciled(listings, records, path, checkpoint, scope, key, seq="seq"
     spark = listings.sparkSession
     polls = tables.BatchTable(spark, f"{path}/polls", listings.schema)
     held = tables.BatchTable(spark, f"{path}/records", records.schema)
-    one = run(listings, f"{checkpoint}/polls", lambda b, i: polls.write(b.distinct(), i), **options)
+    distinct = lambda b: b.distinct()
+    one = run(listings, f"{checkpoint}/polls", lambda b, i: _put(polls, distinct(b), i, distinct), **options)
     reduce = lambda b: state.latest_per_key(b, [*scope, *key], [seq])
-    two = run(records, f"{checkpoint}/records", lambda b, i: held.write(reduce(b), i), **options)
+    two = run(records, f"{checkpoint}/records", lambda b, i: _put(held, reduce(b), i, reduce), **options)
     return (one, two), lambda: state.reconcile_and_upsert(polls.read(), held.read(), scope, key, seq)
 
 
 def stream_gated(stream, tracking, table_path, checkpoint, keys, seq, **options):
-    """Rows of tracked clusters. `tracking` is called per micro-batch and gives the Start / Stop rows."""
+    """Rows of tracked clusters. `tracking` gives the Start / Stop rows when the view is asked for.
+
+    All rows are kept, as a Start may come later than the rows that it covers.
+    """
     table = tables.BatchTable(stream.sparkSession, table_path, stream.schema)
-    each = lambda b, i: table.write(state.gate_by_tracking(b, tracking(), keys, seq), i)
-    query = run(stream, checkpoint, each, **options)
+    query = run(stream, checkpoint, lambda b, i: _put(table, b, i, lambda df: df), **options)
     return query, lambda: state.gate_by_tracking(table.read(), tracking(), keys, seq)
 
 
@@ -115,6 +125,8 @@ def stream_both(stream, current_path, history_path, checkpoint, **options):
         tables.write_current(rows, current, i)
         tables.write_history(rows, history, i)
         rows.unpersist()
+        if i and i % COMPACT_EVERY == 0:
+            tables.compact_current(current, i)
 
     query = run(stream, checkpoint, each, **options)
     return query, lambda: tables.read_current(current), lambda: history.read().dropDuplicates([*JOB, "ts"])
@@ -137,7 +149,8 @@ def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where
 
     def each(b, i):
         b = prepare(b).persist()
-        carried = reduce(last.read(before=i)).join(b.select(*keys).distinct(), list(keys), "left_semi")
+        # only the carried rows of the keys of this batch are reduced
+        carried = reduce(last.read(before=i).join(b.select(*keys).distinct(), list(keys), "left_semi"))
         newest = carried.select(*keys, F.struct(*order).alias("_carried"))
         fresh = spread_join(b, newest, list(keys), order, "left", rows)
         fresh = fresh.filter(F.col("_carried").isNull() | (F.struct(*order) > F.col("_carried"))).drop("_carried")
@@ -157,10 +170,15 @@ def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where
 
 
 def stream_set_changes(stream, path, checkpoint, keys, order, cols, **options):
-    """Snapshots whose set of rows differs from the snapshot before. A snapshot must come in one micro-batch."""
-    prints = lambda b: changes.set_fingerprint(b, [*keys, *order], cols)
-    compared = ["hash1", "hash2", "members"]
-    return stream_changes(stream, path, checkpoint, keys, order, compared, prepare=prints, **options)
+    """Snapshots whose set of rows differs from the snapshot before. A snapshot may come in several micro-batches.
+
+    The table holds the distinct row hashes of each snapshot; the view makes their fingerprints and compares them.
+    """
+    hashed = changes.row_hashes(stream, [*keys, *order], cols)
+    table = tables.BatchTable(stream.sparkSession, path, hashed.schema)
+    distinct = lambda df: df.distinct()
+    query = run(hashed, checkpoint, lambda b, i: _put(table, distinct(b), i, distinct), **options)
+    return query, lambda: changes.changed_prints(changes.fingerprint_of(table.read(), [*keys, *order]), keys, order)
 
 
 def stream_upserts(stream, table_path, checkpoint, schema, keys, combine, put, updates, insert=True, **options):
@@ -174,7 +192,7 @@ def stream_upserts(stream, table_path, checkpoint, schema, keys, combine, put, u
 
     def each(b, i):
         merged = b.groupBy(*keys).agg(*combine).persist()
-        old = reduce(table.read(before=i)).drop("_batch").join(merged.select(*keys), list(keys), "left_semi")
+        old = reduce(table.read(before=i).join(merged.select(*keys), list(keys), "left_semi")).drop("_batch")
         if insert:
             touched = state.upsert(old, merged, keys, put, updates)
         else:
@@ -200,9 +218,9 @@ def stream_usage(pods, readings, path, checkpoint, scope, key, seq="seq", op="op
         last = state.reduce_changelog(b, scope, key, seq, op)
         return last.unionByName(deletes.select(*last.columns)).distinct()
 
-    one = run(pods, f"{checkpoint}/pods", lambda b, i: held.write(reduce(b), i), **options)
+    one = run(pods, f"{checkpoint}/pods", lambda b, i: _put(held, reduce(b), i, reduce), **options)
     newest = lambda b: state.latest_per_key(b, [*scope, *key], [seq])
-    two = run(readings, f"{checkpoint}/usage", lambda b, i: used.write(newest(b), i), **options)
+    two = run(readings, f"{checkpoint}/usage", lambda b, i: _put(used, newest(b), i, newest), **options)
     return (one, two), lambda: usage_by_live_pods(held.read(), used.read(), scope, key, seq, op)
 
 
@@ -212,26 +230,30 @@ def stream_first_errors(stream, path, checkpoint, keys, order, is_error, message
 
 
 def stream_watch(stream, table_path, checkpoint, keys, ts, is_start, is_done, timeout, rows=None, **options):
-    """Async operations until complete or timed out. Kept per batch: first start, first completion after a known
-    start, and the newest event time. Starts must come in or before the batch of their completion."""
+    """Async operations until complete or timed out. Kept per batch: first starts, completions, and the newest event
+    time. Of an operation whose start is known, only the first completion from then on is kept; the completions of one
+    whose start comes later are all kept, until a compaction knows the start."""
     spark = stream.sparkSession
     schema = stream.select(*keys, ts, F.lit("").alias("kind")).schema
     table = tables.BatchTable(spark, table_path, schema)
 
     def each(b, i):
-        first = lambda df: df.groupBy(*keys).agg(F.min(ts).alias(ts))
-        starts = first(b.filter(is_start))
-        known = first(table.read(before=i).filter("kind = 'start'").select(*keys, ts).unionByName(starts))
-        done = b.filter(is_done).select(*keys, F.col(ts).alias("_done"))
-        hit = spread_join(done, known, keys, ["_done"], "inner", rows).filter(F.col("_done") >= F.col(ts))
-        done = hit.groupBy(*keys).agg(F.min("_done").alias(ts))
-        tick = b.agg(F.max(ts).alias(ts)).select(*[F.lit(None).alias(k) for k in keys], ts)
-        table.write(
-            starts.withColumn("kind", F.lit("start"))
-            .unionByName(done.withColumn("kind", F.lit("done")))
-            .unionByName(tick.withColumn("kind", F.lit("tick"))),
-            i,
-        )
+        kinds = F.when(is_start, "start").when(is_done, "done")
+        own = b.select(*keys, ts, kinds.alias("kind")).filter("kind IS NOT NULL")
+        both = b.filter(is_start & is_done).select(*keys, ts, F.lit("done").alias("kind"))
+        tick = b.agg(F.max(ts).alias(ts)).select(*[F.lit(None).alias(k) for k in keys], ts, F.lit("tick").alias("kind"))
+        _put(table, reduce(own.unionByName(both)).unionByName(tick), i, reduce)
+
+    def reduce(df):
+        starts = df.filter("kind = 'start'").groupBy(*keys).agg(F.min(ts).alias(ts))
+        done = df.filter("kind = 'done'").select(*keys, F.col(ts).alias("_done")).distinct()
+        done = spread_join(done, starts.withColumnRenamed(ts, "_start"), keys, ["_done"], "left", rows)
+        late = done.filter(F.col("_done") >= F.col("_start")).groupBy(*keys).agg(F.min("_done").alias(ts))
+        early = done.filter(F.col("_start").isNull()).select(*keys, F.col("_done").alias(ts))
+        tick = df.filter("kind = 'tick'").groupBy("kind").agg(F.max(ts).alias(ts))
+        tick = tick.select(*[F.lit(None).alias(k) for k in keys], ts, "kind")
+        marked = lambda x, name: x.withColumn("kind", F.lit(name))
+        return marked(starts, "start").unionByName(marked(late.unionByName(early), "done")).unionByName(tick)
 
     query = run(stream, checkpoint, each, **options)
     kind = F.col("kind")
