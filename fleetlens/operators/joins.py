@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.config import classify_clusters
 from fleetlens.functions.keys import CLUSTER, JOB
+from fleetlens.operators.changes import only_changes
 
 
 def tracked_state(tracked, state, keys=tuple(CLUSTER)):
@@ -128,3 +129,11 @@ def cluster_overview(overviews, configs, keys=tuple(CLUSTER), marker=("deploy.so
     """Overview rows joined with the config of the same cluster, with exec mode and managed flag."""
     return classify_clusters(overviews.join(configs.select(*keys, col), list(keys)), marker, col).drop(col)
 
+
+def overview_changes(overviews, configs, keys=tuple(CLUSTER), order=("ts",), marker=("deploy.source", "fleet"),
+                     col="config", rows=None):
+    """`cluster_overview` of several polls, only where a cluster differs from its poll before."""
+    joined = cluster_overview(overviews, configs, keys, marker, col)
+    cols = [c for c in joined.columns if c not in (*keys, *order)]
+    return only_changes(joined, list(keys), list(order), cols, rows)
+

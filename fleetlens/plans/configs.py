@@ -6,6 +6,7 @@ from fleetlens.functions import config as G
 from fleetlens.operators import aggregates, joins
 from fleetlens.plans.registry import case
 from fleetlens.plans.roles import text
+from fleetlens.sources import payloads
 
 
 def _configs(t):
@@ -44,6 +45,22 @@ def _(t):
     return joins.cluster_overview(overviews, _configs(t), ["p_partkey"])
 
 
+@case("j12_overview_changes", f"""WITH {CLASSES}, x AS (SELECT user_id % 50 + 1 AS k, event_id, length(event_type) AS members,
+    exec_mode, managed, lag(length(event_type)) OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS p
+    FROM events JOIN classes ON user_id % 50 + 1 = p_partkey)
+  SELECT concat('c', k) AS cluster_id, event_id AS ts, CAST(members AS INTEGER) AS members, exec_mode, managed FROM x
+  WHERE p IS DISTINCT FROM members""")
+def _(t):
+    keyed = lambda df, key: df.withColumns({"cluster_id": text("c", key), "namespace": F.lit("ns")})
+    polls = keyed(t.events, F.col("user_id") % 50 + 1).withColumn("ts", F.col("event_id"))
+    polls = polls.withColumn("payload", F.to_json(F.struct(F.length("event_type").alias("taskmanagers"))))
+    entry = lambda k: F.struct(k.alias("key"), F.col("config")[k].alias("value"))
+    configs = keyed(_configs(t), F.col("p_partkey")).withColumn(
+        "payload", F.to_json(F.transform(F.map_keys("config"), entry)))
+    changed = joins.overview_changes(payloads.payload_cluster_overview(polls), payloads.payload_kv_config(configs))
+    return changed.select("cluster_id", "ts", "members", "exec_mode", "managed")
+
+
 @case("p27_version_rollup", """WITH v AS (SELECT concat('1.', c_nationkey, '.', c_custkey % 4) AS version FROM customer
     UNION ALL SELECT 'v2' FROM customer WHERE c_acctbal < 0)
   SELECT CASE WHEN version = 'v2' THEN 'v2' ELSE concat(split_part(version, '.', 1), '.', split_part(version, '.', 2))

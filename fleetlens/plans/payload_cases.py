@@ -43,6 +43,54 @@ def _(t):
     return rows.select("cluster_id", "job_id", "job_name", "state", "start_ts", "end_ts", *tasks)
 
 
+def checked_payloads(t):
+    """Job payloads of which each tenth is cut off; running and finished jobs have known states, the others don't."""
+    state = F.when(F.col("o_orderstatus") == "O", "RUNNING").when(F.col("o_orderstatus") == "F", "FINISHED").otherwise("P")
+    items = [F.col("o_orderkey").cast("string").alias("jid"), state.alias("state")]
+    rows = _keyed(_batch(t.orders, "o_orderkey", 8, items, "o_orderkey"))
+    whole = F.to_json(F.struct(F.col("items").alias("jobs")))
+    return rows.withColumn("payload", F.when(F.col("batch") % 10 == 3, F.left(whole, F.lit(20))).otherwise(whole)).drop("items")
+
+
+CHECKED = """b AS (SELECT o_orderkey // 8 AS batch, CAST(o_orderkey AS VARCHAR) AS job_id,
+    CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'FINISHED' ELSE 'P' END AS state FROM orders),
+  checked AS (SELECT concat('c', batch) AS cluster_id, job_id, state, CASE state WHEN 'P' THEN 'state' ELSE '' END AS broken
+    FROM b WHERE batch % 10 <> 3 UNION ALL SELECT DISTINCT concat('c', batch), NULL, NULL, 'payload' FROM b WHERE batch % 10 = 3)"""
+
+
+@case("s1_unreadable", f"WITH {CHECKED} SELECT cluster_id, job_id FROM checked WHERE broken = 'payload'")
+def _(t):
+    rows = payloads.checked_job_overview(checked_payloads(t))
+    return rows.filter(F.array_contains("broken_rules", "payload")).select("cluster_id", "job_id")
+
+
+@case("s1_unknown_state", f"WITH {CHECKED} SELECT * FROM checked")
+def _(t):
+    rows = payloads.checked_job_overview(checked_payloads(t))
+    return rows.select("cluster_id", "job_id", "state", F.array_join("broken_rules", ",").alias("broken"))
+
+
+@case("s2_checked_job_status", f"""WITH {CHECKED} SELECT cluster_id, CASE broken WHEN 'payload' THEN 'payload' ELSE 'state' END
+    AS broken, count(*) AS n FROM checked GROUP BY 1, 2""")
+def _(t):
+    known = F.expr("transform(items, i -> named_struct('id', i.jid, 'status', i.state))")
+    items = [F.col("o_orderkey").cast("string").alias("jid"), F.lit("x").alias("state")]
+    rows = _keyed(_batch(t.orders, "o_orderkey", 8, items, "o_orderkey")).withColumn("items", known)
+    whole = F.to_json(F.struct(F.col("items").alias("jobs")))
+    rows = rows.withColumn("payload", F.when(F.col("batch") % 10 == 3, F.left(whole, F.lit(20))).otherwise(whole))
+    found = payloads.checked_job_status(rows)
+    return found.groupBy("cluster_id", F.array_join("broken_rules", ",").alias("broken")).agg(F.count("*").alias("n"))
+
+
+@case("s12_unknown_kind", """SELECT p_partkey AS seq, CASE p_partkey % 5 WHEN 3 THEN 'config_map' END AS kind
+  FROM part WHERE p_partkey % 5 >= 3""")
+def _(t):
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("deployment", "service", "pod", "config_map", None)]),
+                         (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = t.part.select(F.col("p_partkey").alias("seq"), kinds.alias("kind"), F.lit("{}").alias("object"))
+    return objects.unknown_kinds(rows).select("seq", "kind")
+
+
 @case("s2_payload_job_status", """SELECT concat('c', o_orderkey // 8) AS cluster_id, CAST(o_orderkey AS VARCHAR) AS job_id,
   o_orderstatus AS state FROM orders""")
 def _(t):

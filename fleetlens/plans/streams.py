@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from fleetlens.plans import states
-from fleetlens.plans.payload_cases import _job_payloads
+from fleetlens.plans.payload_cases import CHECKED, _job_payloads, checked_payloads
 from fleetlens.plans.registry import case
 from fleetlens.plans.roles import CHANGELOG, changelog, epoch_ms, set_ops, text
 from fleetlens.session import run_dir
 from fleetlens.sources import logs, tables
-from fleetlens.sources.payloads import payload_job_overview
+from fleetlens.sources.payloads import payload_job_overview, read_payloads
 from fleetlens.streaming import runs
 
 
@@ -162,6 +162,23 @@ def _(t):
     return view.select("cluster_id", "seq", "dns", "cluster_ip_rest")
 
 
+@case("t9_ingest_overviews", f"""WITH {CHECKED}, good AS (SELECT * FROM checked WHERE broken = '')
+  SELECT 'current' AS side, cluster_id, job_id, state, '' AS broken FROM good
+  UNION ALL SELECT 'history', cluster_id, job_id, state, '' FROM good
+  UNION ALL SELECT 'rejected', cluster_id, job_id, state, broken FROM checked WHERE broken <> ''""")
+def _(t):
+    table, checkpoint = _dirs(t, "ingest")
+    schema = "cluster_id STRING, namespace STRING, payload STRING, ts BIGINT"
+    landed = checked_payloads(t).select("cluster_id", "namespace", "payload", F.col("ts").cast("bigint").alias("ts"))
+    landed.repartition(4, "cluster_id").write.parquet(f"{table}/landed")
+    stream = read_payloads(t.spark, f"{table}/landed", schema, "parquet", stream=True, maxFilesPerTrigger=1)
+    _, current, history, rejected = runs.ingest_overviews(stream, table, checkpoint)
+    cols = ["cluster_id", "job_id", "state"]
+    side = lambda df, name, broken: df.select(F.lit(name).alias("side"), *cols, broken.alias("broken"))
+    return side(current(), "current", F.lit("")).unionByName(side(history(), "history", F.lit(""))).unionByName(
+        side(rejected(), "rejected", F.array_join("broken_rules", ",")))
+
+
 @case("t9_collect_both", """WITH h AS (SELECT user_id % 50 AS cluster, concat('j', user_id) AS job_id, event_type AS state,
     epoch_us(ts) // 1000 AS ts FROM events)
   SELECT 'history' AS side, concat('c', cluster) AS cluster_id, job_id, state, ts FROM h

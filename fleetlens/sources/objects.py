@@ -192,6 +192,11 @@ def workload_rows(objects):
     return {k: read(objects.filter(F.col("kind") == k)) for k, read in readers.items()}
 
 
+def unknown_kinds(objects, kinds=("deployment", "service", "pod")):
+    """The rows that `workload_rows` has no reader for, null kinds included."""
+    return objects.filter(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)))
+
+
 def config_map_data(wanted, config_maps, keys=("namespace", "name")):
     """Data of the wanted config maps; a missing object or missing data gives an empty map."""
     data = F.from_json(F.get_json_object("object", "$.data"), "map<string,string>")

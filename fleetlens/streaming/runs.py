@@ -12,7 +12,7 @@ from fleetlens.functions.keys import CLUSTER, JOB
 from fleetlens.operators import changes, state, watch
 from fleetlens.operators.spread import spread_join
 from fleetlens.operators.usage import usage_by_live_pods
-from fleetlens.sources import tables
+from fleetlens.sources import payloads, tables
 from fleetlens.sources.objects import endpoint_table
 
 # Batches between two compactions of a table that is read while streaming.
@@ -132,6 +132,31 @@ def stream_both(stream, current_path, history_path, checkpoint, **options):
     return query, lambda: tables.read_current(current), lambda: history.read().dropDuplicates([*JOB, "ts"])
 
 
+def ingest_overviews(payload_stream, path, checkpoint, **options):
+    """Landed job payloads into current, history and rejected rows, one parse and one read per micro-batch.
+
+    Gives (query, current, history, rejected). Unreadable payloads and unknown states are rejected with the rules that
+    they break; the index of jobs is a projection of the current rows.
+    """
+    spark = payload_stream.sparkSession
+    checked = payloads.checked_job_overview(payload_stream)
+    current, history = tables.current_table(spark, f"{path}/current"), tables.history_table(spark, f"{path}/history")
+    rejected = tables.BatchTable(spark, f"{path}/rejected", checked.drop("tasks").schema)
+
+    def each(b, i):
+        rows = b.persist()
+        good = rows.filter(F.size("broken_rules") == 0).drop("broken_rules", "bad_payload")
+        tables.write_current(good, current, i)
+        tables.write_history(good, history, i)
+        rejected.write(rows.filter(F.size("broken_rules") > 0).drop("tasks"), i)
+        rows.unpersist()
+        if i and i % COMPACT_EVERY == 0:
+            tables.compact_current(current, i)
+
+    query = run(checked, checkpoint, each, **options)
+    return query, lambda: tables.read_current(current), lambda: tables.newest_by_key(history.read(), [*JOB, "ts"], ()), rejected.read
+
+
 def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where=None, prepare=None, **options):
     """Rows that differ from the row before of their key, over all micro-batches; with `where` among those rows only.
     `prepare` turns each micro-batch into the rows to compare.
