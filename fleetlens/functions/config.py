@@ -224,12 +224,14 @@ def remove_forbidden(config, keys=tuple(FORBIDDEN_CONFIG_KEYS)):
 def last_entries_map(entries, key="key", value="value"):
     """Map from an array of structs. For a repeated key the last entry wins, whatever the session's policy."""
     names = F.transform(entries, lambda e: e[key])
-    unique = F.array_distinct(names)
-    values = F.transform(
-        unique, lambda k: F.element_at(F.filter(entries, lambda e: e[key] == k), -1)[value]
-    )
+    placed = F.transform(entries, lambda e, i: F.struct(e[key].alias("k"), i.alias("i"), e[value].alias("v")))
+    # sorted by key and place, the last entry of a key is the one whose follower has another key
+    ordered = F.array_sort(placed, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(a["i"] - b["i"]))
+    last = F.filter(F.arrays_zip(ordered.alias("e"), F.slice(ordered, 2, F.greatest(F.lit(1), F.size(ordered))).alias("n")),
+                    lambda x: x["n"].isNull() | (x["n"]["k"] != x["e"]["k"]))
+    unique = F.map_from_arrays(F.transform(last, lambda x: x["e"]["k"]), F.transform(last, lambda x: x["e"]["v"]))
     plain = F.map_from_arrays(names, F.transform(entries, lambda e: e[value]))
-    return F.when(F.size(unique) == F.size(names), plain).otherwise(F.map_from_arrays(unique, values))
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), plain).otherwise(unique)
 
 
 def config_audit(defs, forbidden=tuple(FORBIDDEN_CONFIG_KEYS), protected=tuple(PROTECTED_CONFIG_KEYS),

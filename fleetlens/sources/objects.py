@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens import schemas as S
+from fleetlens.functions.config import last_entries_map
 from fleetlens.functions.columns import decode_enum
 from fleetlens.functions.keys import CLUSTER
 from fleetlens.functions.quantity import parse_quantity
@@ -93,9 +94,12 @@ def _base(labels):
     }
 
 
-def _rows(df, schema, labels, cols, extra_rules=None):
-    """(good, bad): bad rows lack a required field."""
-    typed = parsed(df, schema, "object", "_o").withColumns({**_base(labels(F.col("_o"))), **cols})
+def _rows(df, schema, labels, cols, extra_rules=None, helpers=None):
+    """(good, bad): bad rows lack a required field. `helpers` are columns that `cols` uses many times, made once per row."""
+    typed = parsed(df, schema, "object", "_o")
+    for name, col in (helpers or {}).items():
+        typed = typed.select("*", F.explode_outer(F.array(col)).alias(name))
+    typed = typed.withColumns({**_base(labels(F.col("_o"))), **cols}).drop(*(helpers or {}))
     rules = {c: F.col(c).isNotNull() for c in ("cluster_id", "namespace", "name", "component", "create_time")}
     good, bad = quarantine(typed, rules | (extra_rules or {}))
     return good.drop("_o", "object"), bad.drop("_o")
@@ -145,13 +149,14 @@ def deployment_rows(df):
 def pod_rows(df):
     """(pods, rejected) from pod objects, with the resources of each container looked up by name in the same row."""
     o = F.col("_o")
-    specs = F.coalesce(o["spec"]["containers"], F.array().cast(_pod_type("spec", "containers")))
+    specs = F.filter(
+        F.coalesce(o["spec"]["containers"], F.array().cast(_pod_type("spec", "containers"))), lambda s: s["name"].isNotNull())
     statuses = F.coalesce(o["status"]["containerStatuses"], F.array().cast(_pod_type("status", "containerStatuses")))
     paired = F.transform(
         statuses,
         lambda c: F.struct(
             c.alias("c"),
-            F.try_element_at(F.filter(specs, lambda s: s["name"] == c["name"]), F.lit(-1))["resources"].alias("r"),
+            F.try_element_at(F.col("_specs"), c["name"]).alias("r"),
             resolve_container_state(c["state"]).alias("s"),
         ),
     )
@@ -178,7 +183,8 @@ def pod_rows(df):
         "start_time": _epoch(o["status"]["startTime"]),
         "has_parts": o["spec"].isNotNull() & o["status"].isNotNull(),
     }
-    good, bad = _rows(df, S.POD_OBJECT, lambda x: x["metadata"]["labels"], cols, {"parts": F.col("has_parts")})
+    good, bad = _rows(df, S.POD_OBJECT, lambda x: x["metadata"]["labels"], cols, {"parts": F.col("has_parts")},
+                      {"_specs": last_entries_map(specs, "name", "resources")})
     return good.drop("has_parts"), bad.drop("has_parts")
 
 
