@@ -1,5 +1,7 @@
 """Corpus pipeline: language, exact copies, near copies, test items, mixing. Each stage works on what the last one kept."""
 
+from pyspark.sql import functions as F
+
 from fleetlens.llm import block_naming, decontaminate, language_id, mixing, simhash
 from fleetlens.llm.common import read_table, written
 
@@ -12,20 +14,30 @@ def language_stage(spark, docs, sf_dir):
     return language_id.keep_identified(docs)
 
 
-def exact_dedup_stage(spark, docs, sf_dir):
-    """Of equal texts (A-Z lower-cased) the document with the largest id stays.
+def _numbered_rows(docs, name):
+    """The stage's input as a table with `_row`, a number of its own for each row, as ids may be null or repeat."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
 
-    Rows that repeat the id that stays are one document and stay together.
-    """
-    kept = block_naming.exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+def _rows_left(rows, kept):
+    return rows.join(kept, "_row", "left_semi").drop("_row")
+
+
+def exact_dedup_stage(spark, docs, sf_dir):
+    """Of equal texts (A-Z lower-cased) one row stays, the one with the largest id; a null id is smaller than any other."""
+    rows = _numbered_rows(docs, "exact-rows")
+    keyed = rows.select(F.struct("doc_id", "_row").alias("key"), "text")
+    kept = block_naming.exact_dedup(keyed, id_col="key").where("kept").select("doc_id._row")
+    return _rows_left(rows, kept)
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Of each group of near copies the document with the smallest id stays (see above for repeated ids)."""
-    groups = simhash.simhash_groups(docs)
-    kept = groups.where(groups["doc_id"].eqNullSafe(groups["component_id"])).select("doc_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of each group of near copies one row stays, the one with the smallest id; a null id comes after all others."""
+    rows = _numbered_rows(docs, "near-rows")
+    keyed = rows.select(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_row").alias("key"), "text")
+    groups = simhash.simhash_groups(keyed, id_col="key")
+    kept = groups.where(F.col("doc_id._row") == F.col("component_id._row")).select("doc_id._row")
+    return _rows_left(rows, kept)
 
 
 def decontamination_stage(spark, docs, sf_dir):

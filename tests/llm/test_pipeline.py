@@ -1,5 +1,7 @@
 """The pipeline stage by stage on small documents, each against brute force on its own input."""
 
+import random
+
 import pytest
 from helpers import alnum_words, ascii_lower, components
 from test_decontaminate import brute as benchmark_brute
@@ -101,3 +103,20 @@ def test_run_and_registration(spark, stages):
     names = [*CASES, "pipeline"]
     assert len(names) == 11 and set(names) <= set(entry.queries())
     assert set(entry.oracle_sql()) & set(names) == {"op1_decontaminate", "op2_warc", "op9_block_naming"}
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "x1"]) + str(rng.randint(0, 99)) for _ in range(200))
+             for _ in range(6)]
+    a, b, c, d, e, f = texts
+    planted = [(None, a), (None, a), (None, a.upper()), (None, b), (5, b), (5, b), (5, c), (7, c), (None, d), (9, e), (9, f)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in planted],
+                                  "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = sorted([("None", a.lower()), ("5", b), ("7", c), ("None", d), ("9", e), ("9", f)])
+    got = corpus_pipeline.exact_dedup_stage(spark, frame, "")
+    assert got.columns == COLUMNS and sorted((str(r["doc_id"]), r["text"].lower()) for r in got.collect()) == want
+    want = sorted([("None", a.lower()), ("5", b), ("5", c), ("None", d), ("9", e), ("9", f)])
+    # here upper and lower case make no difference either, and the smallest id stays
+    got = corpus_pipeline.near_dedup_stage(spark, frame, "")
+    assert got.columns == COLUMNS and sorted((str(r["doc_id"]), r["text"].lower()) for r in got.collect()) == want
