@@ -247,42 +247,105 @@ def decontaminate(docs, benchmark, text_col="text", chars_col="n_chars", item_co
 
     Cutting is repeated until nothing is hit, as what is left may join to a new hit. All columns stay, in their order;
     `chars_col`, if there is one, gets the new length. Documents without a hit stay as they are, null texts included.
+    Coverage is that of the hits of all blocks in the text as it came, so `block_words` doesn't change the result.
     """
-    schema = docs.schema
     context = docs.sparkSession.sparkContext
-    out, later = docs, False
-    for block in item_blocks(benchmark.select(item_col, item_text_col), window, block_words):
-        sent = context.broadcast(block)  # at most about 2 * block_words words
-        if later:
-            out = written(out, "decontaminated")
-        later = True
+    read = lambda: item_blocks(benchmark.select(item_col, item_text_col), window, block_words)
+    blocks = read()
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is None:
+        return _cut_one_block(docs, context.broadcast(first), text_col, chars_col, window, max_coverage)
+    done, rest, most = None, docs, max_coverage
+    while True:
+        rest = _spanned(rest, read(), text_col, window)
+        clean = rest.where(F.size(_HITS) == 0).drop(_HITS)
+        done = clean if done is None else done.unionByName(clean)
+        rest = rest.where(F.size(_HITS) > 0)
+        if rest.isEmpty():
+            return done
+        rest = written(_cut_spans(rest, text_col, chars_col, most), "decontaminated")
+        most = None  # only the text as it came counts for coverage
+
+
+_HITS = "_hit_spans"
+
+
+def _spanned(docs, blocks, text_col, window):
+    """`docs` with the merged hit spans of all blocks as a column, written."""
+    out = docs.withColumn(_HITS, F.array().cast(_SPANS))
+    for block in blocks:
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # at most about 2 * block_words words
 
-        def cleaned(batches, sent=sent):
+        def found(batches, sent=sent):
             automaton = Automaton(sent.value, window)
             for batch in batches:
-                keep, texts, changed = [], {}, False
-                for i, data in enumerate(text_bytes(batch.column(text_col))):
-                    n, spans, _ = automaton.scan(data or b"")
-                    hit = sum(b - a + 1 for a, b in spans)
-                    changed = changed or hit > 0
-                    if n and hit / n > max_coverage:
+                at, spans = batch.schema.get_field_index(_HITS), []
+                for data, old in zip(text_bytes(batch.column(text_col)), batch.column(at).to_pylist(), strict=True):
+                    _, new, _ = automaton.scan(data or b"")
+                    merged = _merge([*([x["first"], x["last"]] for x in old), *new])
+                    spans.append([{"first": a, "last": b} for a, b in merged])
+                yield batch.set_column(at, batch.schema.field(at), pa.array(spans, batch.schema.field(at).type))
+
+        out = written(out.mapInArrow(found, out.schema), "hit-spans")
+    return out
+
+
+def _cut_spans(rows, text_col, chars_col, max_coverage):
+    """The rows of _spanned without the words of their spans; those with over `max_coverage` (if given) hit words go."""
+    schema = rows.drop(_HITS).schema
+
+    def cut(batches):
+        for batch in batches:
+            keep, texts = [], {}
+            spans = batch.column(_HITS).to_pylist()
+            for i, data in enumerate(text_bytes(batch.column(text_col))):
+                own = [(x["first"], x["last"]) for x in spans[i]]
+                if max_coverage is not None:
+                    n = sum(map(len, pieces(data, ALNUM)))
+                    if sum(b - a + 1 for a, b in own) / n > max_coverage:
                         continue
-                    while spans:
-                        data = cut_words(data, spans)
-                        _, spans, _ = automaton.scan(data)
-                        texts[i] = data
-                    keep.append(i)
-                if not changed:
-                    yield batch
+                texts[i] = cut_words(data, own)
+                keep.append(i)
+            yield _with_texts(batch, texts, text_col, chars_col).select(schema.names).take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(cut, schema)
+
+
+def _with_texts(batch, texts, text_col, chars_col):
+    """The batch with new texts (row -> UTF-8) and their lengths."""
+    for column, value in ((text_col, lambda s: s), (chars_col, len)):
+        at = batch.schema.get_field_index(column)
+        if at >= 0 and texts:
+            new = batch.column(at).to_pylist()
+            for i, data in texts.items():
+                new[i] = value(data.decode("utf-8", "replace"))
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+    return batch
+
+
+def _cut_one_block(docs, sent, text_col, chars_col, window, max_coverage):
+    """decontaminate() for items that fit into one block: each text is cut to its end at once."""
+
+    def cleaned(batches):
+        automaton = Automaton(sent.value, window)
+        for batch in batches:
+            keep, texts, changed = [], {}, False
+            for i, data in enumerate(text_bytes(batch.column(text_col))):
+                n, spans, _ = automaton.scan(data or b"")
+                hit = sum(b - a + 1 for a, b in spans)
+                changed = changed or hit > 0
+                if n and hit / n > max_coverage:
                     continue
-                for column, value in ((text_col, lambda s: s), (chars_col, len)):
-                    at = batch.schema.get_field_index(column)
-                    if at >= 0 and texts:
-                        new = batch.column(at).to_pylist()
-                        for i, data in texts.items():
-                            new[i] = value(data.decode("utf-8", "replace"))
-                        batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
-                yield batch.take(pa.array(keep, pa.int64()))
-
-        out = out.mapInArrow(cleaned, schema)
-    return out
+                while spans:
+                    data = cut_words(data, spans)
+                    _, spans, _ = automaton.scan(data)
+                    texts[i] = data
+                keep.append(i)
+            if not changed:
+                yield batch
+                continue
+            yield _with_texts(batch, texts, text_col, chars_col).take(pa.array(keep, pa.int64()))
+
+    return docs.mapInArrow(cleaned, docs.schema)

@@ -94,6 +94,26 @@ def test_cutting_leaves_no_hit_and_clean_documents_alone(spark, docs, doc_rows):
     assert gone and not {r[0] for r in gone if r[0] is not None} & {r["doc_id"] for r in left.collect()}
 
 
+def test_block_size_changes_no_decision(spark):
+    word = lambda name, n: [f"{name}{i}" for i in range(n)]
+    a, b, c, filler = word("a", 40), word("b", 40), word("c", 12), word("f", 60)
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))], "item_id long, text string")
+    rows = [
+        (1, " ".join([*a, *filler[:20], *b]), 7),  # 40% of one block and 40% of another: goes
+        (2, " ".join([*filler, *c[:6], *b[:12], *c[6:]]), 7),  # cutting b joins an item of another block
+        (3, " ".join([*filler, *b[:6], *a[:12], *b[6:12]]), 7),
+        (4, " ".join(filler), 7), (5, None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    one = collected(decontaminate(docs, items))
+    assert [r[0] for r in one] == [2, 3, 4, 5]
+    plain = [("1", a), ("2", b), ("3", c)]
+    assert not any(brute(alnum_words(r[1]), plain)[0] for r in one)
+    for block_words in (20, 45):
+        left = decontaminate(docs, items, block_words=block_words)
+        assert left.columns == docs.columns and collected(left) == one
+
+
 def test_cut_words():
     assert cut_words("Ein, zwei! drei; vier".encode(), [[1, 2]]) == b"Ein, ; vier"
     assert cut_words(b"a b c", [[0, 0], [2, 2]]) == b" b "
