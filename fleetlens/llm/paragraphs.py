@@ -20,7 +20,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MOST_BANDS = 12
-# paragraphs with fewer words stay: headings, license lines and the like repeat without being copied
+# default for the fewest words of a line that is compared; 1 compares every line, as op4 does
 MIN_WORDS = 20
 BLOCK_ROWS = 1024
 SEED = 5
@@ -89,27 +89,31 @@ class Signer:
         return out.view(np.int64)
 
 
-_PARTS = "array<struct<no: int, key: long, bands: array<long>>>"
-_PARTS_ARROW = pa.list_(pa.struct([("no", pa.int32()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+_PARTS = "array<struct<no: int, words: long, key: long, bands: array<long>>>"
+_PARTS_ARROW = pa.list_(
+    pa.struct([("no", pa.int32()), ("words", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
+)
 
 
 def _signed_parts(batches, bands, rows, min_words):
-    """Per document the number of paragraphs, and number, key and bands of those that are compared.
+    """Per document the number of paragraphs and words, and number, words, key and bands of the lines that are compared.
 
-    Bands are left out where the task has met the paragraph before, so that a frequent one comes a few times per task.
+    Bands are left out where the task has met the paragraph before, so that a frequent one comes a few times per task,
+    and for lines of less than a shingle, which are near only to equal ones, and these share the key.
     """
     signer, seen = Signer(bands, rows), set()
     for batch in batches:
-        counts, parts, waiting, size = [], [], [], 0
+        counts, totals, parts, waiting, size = [], [], [], [], 0
         for data in text_bytes(batch.column("text")):
-            n, own = 0, []
+            n, total, own = 0, 0, []
             for n, words in enumerate(paragraphs(data or b""), 1):
+                total += len(words)
                 if len(words) < min_words:
                     continue
                 key = int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
-                part = {"no": n - 1, "key": key, "bands": None}
+                part = {"no": n - 1, "words": len(words), "key": key, "bands": None}
                 own.append(part)
-                if key not in seen:
+                if len(words) >= SHINGLE_WORDS and key not in seen:
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(key)
@@ -119,11 +123,13 @@ def _signed_parts(batches, bands, rows, min_words):
                         _put_bands(signer, waiting)
                         size = 0
             counts.append(n)
+            totals.append(total)
             parts.append(own)
         _put_bands(signer, waiting)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("uid"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(parts, _PARTS_ARROW)],
-            names=["uid", "doc_id", "n_paragraphs", "parts"],
+            [batch.column("uid"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(totals, pa.int64()),
+             pa.array(parts, _PARTS_ARROW)],
+            names=["uid", "doc_id", "n_paragraphs", "n_words", "parts"],
         )
 
 
@@ -252,14 +258,14 @@ def paragraph_links(docs, parts, similarity=SIMILARITY, block_rows=BLOCK_ROWS):
 
 def paragraph_classes(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY, recall=RECALL, min_words=MIN_WORDS,
                       block_rows=BLOCK_ROWS):
-    """(documents, parts): documents have uid, doc_id, n_paragraphs; parts are the repeated paragraphs, one row each with
-    uid, doc_id, no, class_id, class_rows, first_doc_id and `stays`, which is true for the first of each class."""
+    """(documents, parts): documents have uid, doc_id, n_paragraphs, n_words; parts are the repeated paragraphs, one row
+    each with uid, doc_id, no, words, class_id, class_rows, first_doc_id and `stays`, which is true for the first of each class."""
     bands, rows = tune_bands(similarity, recall)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     table = own.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
         lambda batches: _signed_parts(batches, bands, rows, min_words),
-        f"uid long, doc_id {kind}, n_paragraphs long, parts {_PARTS}",
+        f"uid long, doc_id {kind}, n_paragraphs long, n_words long, parts {_PARTS}",
     )
     table = written(table, "paragraph-parts")
     parts = table.select("uid", "doc_id", F.explode("parts").alias("part")).select("uid", "doc_id", "part.*")
@@ -273,22 +279,24 @@ def paragraph_classes(docs, id_col="doc_id", text_col="text", similarity=SIMILAR
     classes = written(classes.where("class_rows > 1"), "paragraph-classes")
     stays = (F.col("first.uid") == F.col("uid")) & (F.col("first.no") == F.col("no"))
     parts = parts.join(classes, "class_id").select(
-        "uid", "doc_id", "no", "class_id", "class_rows", F.col("first.doc_id").alias("first_doc_id"), stays.alias("stays")
+        "uid", "doc_id", "no", "words", "class_id", "class_rows", F.col("first.doc_id").alias("first_doc_id"), stays.alias("stays")
     )
-    return table.select("uid", "doc_id", "n_paragraphs"), parts
+    return table.select("uid", "doc_id", "n_paragraphs", "n_words"), parts
 
 
 def repeated_paragraphs(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY, recall=RECALL, min_words=MIN_WORDS,
                         block_rows=BLOCK_ROWS):
-    """One row per document: doc_id, n_paragraphs, n_repeated, n_removed, repeated, first_doc_ids, class_ids.
+    """One row per document: doc_id, n_paragraphs, n_repeated, n_removed, repeated, first_doc_ids, class_ids, n_words,
+    n_repeated_words.
 
-    `n_repeated` counts the paragraphs that stand elsewhere too, `n_removed` those of them that aren't the first by
+    `n_repeated` counts the paragraphs of at least `min_words` words that stand elsewhere too, `n_repeated_words` their
+    words, which against `n_words` (of the whole text) tells copied text from a few common short lines; `n_removed` those of them that aren't the first by
     (doc_id, place). `first_doc_ids` are the documents of the first ones, `class_ids` the classes. Null and empty texts
     have no paragraphs. Repeated rows are documents of their own; a null id comes first. Other columns are not read.
     """
     table, parts = paragraph_classes(docs, id_col, text_col, similarity, recall, min_words, block_rows)
     own = parts.groupBy("uid").agg(  # of one document
-        F.count("*").alias("n_repeated"), F.count(F.when(~F.col("stays"), 1)).alias("n_removed"),
+        F.count("*").alias("n_repeated"), F.sum("words").alias("n_repeated_words"), F.count(F.when(~F.col("stays"), 1)).alias("n_removed"),
         F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"),
         F.sort_array(F.collect_set("class_id")).alias("class_ids"),
     )
@@ -300,4 +308,5 @@ def repeated_paragraphs(docs, id_col="doc_id", text_col="text", similarity=SIMIL
         F.coalesce("first_doc_ids", F.array().cast(f"array<{table.schema['doc_id'].dataType.simpleString()}>")).alias(
             "first_doc_ids"),
         F.coalesce("class_ids", F.array().cast("array<long>")).alias("class_ids"),
+        "n_words", F.coalesce("n_repeated_words", F.lit(0).cast("long")).alias("n_repeated_words"),
     )

@@ -78,8 +78,8 @@ def op3_language_id(spark, sf_dir):
 
 
 def op4_paragraph_minhash(spark, sf_dir):
-    """Paragraphs of each document that stand elsewhere too."""
-    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+    """Paragraphs of each document that stand elsewhere too, lines of any length."""
+    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op5_toxicity_chain(spark, sf_dir):

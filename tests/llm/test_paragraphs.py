@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import paragraphs as op
 from fleetlens.llm.paragraphs import paragraph_classes, repeated_paragraphs, tune_bands
+from fleetlens.llm.queries import CASES
 
 
 def words_of(line):
@@ -109,3 +110,21 @@ def test_documents(docs, doc_rows, no_docs):
     total = got.agg(F.sum("n_repeated") - F.sum("n_removed")).first()[0]
     assert total == classes
     assert repeated_paragraphs(no_docs).collect() == []
+
+
+def test_op4_compares_lines_of_any_length(spark, doc_rows, tmp_path):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(r[0], r[1]) for r in doc_rows] + [(100, "Short line\n}\nnot here"), (101, "}\nshort LINE"), (102, near),
+                                               (103, "x\n" + near + " fifteen"), (104, "b c d e\nq r s t u v w")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    parts, comp = brute(rows, least=1)
+    size = {c: comp.count(c) for c in comp}
+    repeated, words = [0] * len(rows), [0] * len(rows)
+    for p, c in zip(parts, comp, strict=True):
+        repeated[p[0]] += size[c] > 1
+        words[p[0]] += len(p[3]) * (size[c] > 1)
+    total = [sum(len(words_of(x)) for x in (r[1] or "").split("\n")) for r in rows]
+    got = CASES["op4_paragraph_minhash"][0](spark, str(tmp_path))
+    assert collected(got.select("doc_id", "n_repeated", "n_words", "n_repeated_words")) == sorted(
+        ((r[0], a, b, c) for r, a, b, c in zip(rows, repeated, total, words, strict=True)), key=repr)
+    assert {r["doc_id"]: r["n_repeated"] for r in got.where("doc_id >= 100").collect()} == {100: 2, 101: 2, 102: 1, 103: 1, 104: 0}
