@@ -7,6 +7,10 @@ classes. In each class the first occurrence stays, the others are removed.
 A bucket is not expanded into pairs. First each paragraph of a bucket is compared with the first one. Only where that
 leaves a bucket in several components, the paragraphs of different components are compared too, in blocks of bounded
 size. Equal paragraphs count as one up to the classes.
+
+Passages inside longer lines, or broken over lines in another way, are found by windows of 20 words of the whole text, at
+places that the words choose themselves: the place with the smallest hash of any 13 places that follow each other. Two
+texts that share 32 words in a row choose a common place in them, so their windows there are equal.
 """
 
 import numpy as np
@@ -24,9 +28,13 @@ MOST_BANDS = 12
 MIN_WORDS = 20
 BLOCK_ROWS = 1024
 SEED = 5
+# words of a passage window, and places of which at least one gets a window
+PASSAGE_WORDS = 20
+PLACES = 13
 
 _SEEN = 1 << 16
 _BATCH_SHINGLES = 1 << 17
+_PASSAGE_PIECE = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,12 +62,28 @@ def paragraphs(data):
         at = end + 1
 
 
+def word_hashes(words):
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+
+
+def _rolled(hashes, at, size):
+    """Hash of the `size` words from each place in the array `at` on."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        out = (out ^ hashes[at + i]) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def shingles(words, size=SHINGLE_WORDS):
     """Hashes of the word shingles (uint64, sorted, distinct); fewer words give one shingle."""
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(w) for w in words), np.uint64, len(words))
-    size = min(size, len(words))
-    n = len(words) - size + 1
+    return _shingles(word_hashes(words), size)
+
+
+def _shingles(hashes, size=SHINGLE_WORDS):
+    size = min(size, len(hashes))
+    n = len(hashes) - size + 1
     out = np.zeros(n, np.uint64)
     for i in range(size):
         out = (out ^ hashes[i : i + n]) * _MIX
@@ -67,6 +91,32 @@ def shingles(words, size=SHINGLE_WORDS):
     return np.unique(out)
 
 
+def passages(hashes, words=PASSAGE_WORDS, places=PLACES):
+    """(places, keys as int64, again) of the windows of a text given by its word hashes, in order.
+
+    `again` tells the windows whose words stand in the text once more without overlap.
+    """
+    n = len(hashes) - words + 1  # places where a window fits
+    chosen = []
+    for start in range(0, n, _PASSAGE_PIECE):
+        end = min(n, start + _PASSAGE_PIECE + places - 1)
+        order = _rolled(hashes, np.arange(start, end), SHINGLE_WORDS)
+        if order.size >= places:
+            views = np.lib.stride_tricks.sliding_window_view(order, places)
+            chosen.append(np.unique(start + np.arange(len(views)) + views.argmin(1)))
+        elif start == 0:
+            chosen.append(np.array([order.argmin()]))
+    if not chosen:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    at = np.unique(np.concatenate(chosen))
+    keys = _rolled(hashes, at, words).view(np.int64)
+    _, group = np.unique(keys, return_inverse=True)
+    first, last = np.full(group.max() + 1, n), np.zeros(group.max() + 1, np.int64)
+    np.minimum.at(first, group, at)
+    np.maximum.at(last, group, at)
+    return at, keys, (last - first >= words)[group]
+
+
 class Signer:
     """Band hashes of many shingle sets at a time."""
 
@@ -95,19 +145,33 @@ _PARTS_ARROW = pa.list_(
 )
 
 
+_WINDOWS = "array<struct<place: long, key: long, again: boolean>>"
+_WINDOWS_ARROW = pa.list_(pa.struct([("place", pa.int64()), ("key", pa.int64()), ("again", pa.bool_())]))
+
+
+def _windows_column(found):
+    """Arrow column of the windows of each document of a batch."""
+    offsets = np.cumsum([0, *(len(at) for at, _, _ in found)])
+    joined = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], []]
+    fields = [pa.array(x, f.type) for x, f in zip(joined, _WINDOWS_ARROW.value_type, strict=True)]
+    values = pa.StructArray.from_arrays(fields, fields=list(_WINDOWS_ARROW.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values).cast(_WINDOWS_ARROW)
+
+
 def _signed_parts(batches, bands, rows, min_words):
-    """Per document the number of paragraphs and words, and number, words, key and bands of the lines that are compared.
+    """Per document the number of paragraphs and words, number, words, key and bands of the lines that are compared, and
+    the windows of the text.
 
     Bands are left out where the task has met the paragraph before, so that a frequent one comes a few times per task,
     and for lines of less than a shingle, which are near only to equal ones, and these share the key.
     """
     signer, seen = Signer(bands, rows), set()
     for batch in batches:
-        counts, totals, parts, waiting, size = [], [], [], [], 0
+        counts, totals, parts, windows, waiting, size = [], [], [], [], [], 0
         for data in text_bytes(batch.column("text")):
-            n, total, own = 0, 0, []
+            n, hashes, own = 0, [], []
             for n, words in enumerate(paragraphs(data or b""), 1):
-                total += len(words)
+                hashes.append(word_hashes(words))
                 if len(words) < min_words:
                     continue
                 key = int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
@@ -117,19 +181,21 @@ def _signed_parts(batches, bands, rows, min_words):
                     if len(seen) >= _SEEN:
                         seen.clear()
                     seen.add(key)
-                    waiting.append((part, shingles(words)))
+                    waiting.append((part, _shingles(hashes[-1])))
                     size += waiting[-1][1].size
                     if size > _BATCH_SHINGLES:
                         _put_bands(signer, waiting)
                         size = 0
             counts.append(n)
-            totals.append(total)
+            hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+            totals.append(hashes.size)
+            windows.append(passages(hashes))
             parts.append(own)
         _put_bands(signer, waiting)
         yield pa.RecordBatch.from_arrays(
             [batch.column("uid"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(totals, pa.int64()),
-             pa.array(parts, _PARTS_ARROW)],
-            names=["uid", "doc_id", "n_paragraphs", "n_words", "parts"],
+             pa.array(parts, _PARTS_ARROW), _windows_column(windows)],
+            names=["uid", "doc_id", "n_paragraphs", "n_words", "parts", "windows"],
         )
 
 
@@ -258,14 +324,14 @@ def paragraph_links(docs, parts, similarity=SIMILARITY, block_rows=BLOCK_ROWS):
 
 def paragraph_classes(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY, recall=RECALL, min_words=MIN_WORDS,
                       block_rows=BLOCK_ROWS):
-    """(documents, parts): documents have uid, doc_id, n_paragraphs, n_words; parts are the repeated paragraphs, one row
+    """(documents, parts): documents have uid, doc_id, n_paragraphs, n_words, windows; parts are the repeated paragraphs, one row
     each with uid, doc_id, no, words, class_id, class_rows, first_doc_id and `stays`, which is true for the first of each class."""
     bands, rows = tune_bands(similarity, recall)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     table = own.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
         lambda batches: _signed_parts(batches, bands, rows, min_words),
-        f"uid long, doc_id {kind}, n_paragraphs long, n_words long, parts {_PARTS}",
+        f"uid long, doc_id {kind}, n_paragraphs long, n_words long, parts {_PARTS}, windows {_WINDOWS}",
     )
     table = written(table, "paragraph-parts")
     parts = table.select("uid", "doc_id", F.explode("parts").alias("part")).select("uid", "doc_id", "part.*")
@@ -281,32 +347,58 @@ def paragraph_classes(docs, id_col="doc_id", text_col="text", similarity=SIMILAR
     parts = parts.join(classes, "class_id").select(
         "uid", "doc_id", "no", "words", "class_id", "class_rows", F.col("first.doc_id").alias("first_doc_id"), stays.alias("stays")
     )
-    return table.select("uid", "doc_id", "n_paragraphs", "n_words"), parts
+    return table.drop("parts"), parts
+
+
+def shared_passages(table):
+    """One row per document with repeated windows: uid, n_passage_words (words that stand in such a window),
+    passage_doc_ids (the first document of each), passage_ids (keys of the windows)."""
+    rows = table.select("uid", "doc_id", F.explode("windows").alias("window")).select("uid", "doc_id", "window.*")
+    found = rows.groupBy("key").agg(
+        F.min("uid").alias("least"), F.max("uid").alias("most"), F.max(F.col("again").cast("int")).alias("again")
+    )
+    found = written(found.where("least <> most OR again = 1").select("key"), "passage-keys")
+    rows = written(rows.select("uid", "doc_id", "place", "key").join(found, "key"), "passages")
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id")).alias("first"))
+    rows = rows.join(written(first, "passage-firsts"), "key")
+    own = rows.groupBy("uid").agg(  # of one document
+        F.sort_array(F.collect_list("place")).alias("places"), F.collect_set("first.doc_id").alias("passage_doc_ids"),
+        F.collect_set("key").alias("passage_ids"),
+    )
+    n = F.expr(
+        f"aggregate(places, struct(0L AS n, 0L AS end), (s, p) -> struct(s.n + p + {PASSAGE_WORDS} - greatest(s.end, p) AS n,"
+        f" p + {PASSAGE_WORDS} AS end), s -> s.n)"
+    )
+    return own.select("uid", n.alias("n_passage_words"), "passage_doc_ids", "passage_ids")
 
 
 def repeated_paragraphs(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY, recall=RECALL, min_words=MIN_WORDS,
                         block_rows=BLOCK_ROWS):
     """One row per document: doc_id, n_paragraphs, n_repeated, n_removed, repeated, first_doc_ids, class_ids, n_words,
-    n_repeated_words.
+    n_repeated_words, n_passage_words.
 
     `n_repeated` counts the paragraphs of at least `min_words` words that stand elsewhere too, `n_repeated_words` their
-    words, which against `n_words` (of the whole text) tells copied text from a few common short lines; `n_removed` those of them that aren't the first by
-    (doc_id, place). `first_doc_ids` are the documents of the first ones, `class_ids` the classes. Null and empty texts
-    have no paragraphs. Repeated rows are documents of their own; a null id comes first. Other columns are not read.
+    words, which against `n_words` (of the whole text) tells copied text from a few common short lines; `n_removed` those
+    of them that aren't the first by (doc_id, place). `n_passage_words` counts the words in windows that stand elsewhere
+    too, wherever lines end; every 32 words in a row that two documents share have such a window. `repeated` tells whether
+    there is a repeated paragraph or window. `first_doc_ids` are the documents of the first ones, `class_ids` the classes
+    (of a window its key). Null and empty texts have no paragraphs. Repeated rows are documents of their own; a null id
+    comes first and is left out of `first_doc_ids`. Other columns are not read.
     """
     table, parts = paragraph_classes(docs, id_col, text_col, similarity, recall, min_words, block_rows)
     own = parts.groupBy("uid").agg(  # of one document
-        F.count("*").alias("n_repeated"), F.sum("words").alias("n_repeated_words"), F.count(F.when(~F.col("stays"), 1)).alias("n_removed"),
-        F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"),
-        F.sort_array(F.collect_set("class_id")).alias("class_ids"),
+        F.count("*").alias("n_repeated"), F.sum("words").alias("n_repeated_words"),
+        F.count(F.when(~F.col("stays"), 1)).alias("n_removed"),
+        F.collect_set("first_doc_id").alias("first_doc_ids"), F.collect_set("class_id").alias("class_ids"),
     )
-    rows = table.join(own, "uid", "left")
-    n_repeated = F.coalesce("n_repeated", F.lit(0).cast("long"))
+    rows = table.drop("windows").join(own, "uid", "left").join(shared_passages(table), "uid", "left")
+    count = lambda name: F.coalesce(name, F.lit(0).cast("long"))
+    both = lambda a, b, kind: F.sort_array(
+        F.array_union(*[F.coalesce(x, F.array().cast(f"array<{kind}>")) for x in (a, b)]))
     return rows.select(
-        "doc_id", "n_paragraphs", n_repeated.alias("n_repeated"),
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), (n_repeated > 0).alias("repeated"),
-        F.coalesce("first_doc_ids", F.array().cast(f"array<{table.schema['doc_id'].dataType.simpleString()}>")).alias(
-            "first_doc_ids"),
-        F.coalesce("class_ids", F.array().cast("array<long>")).alias("class_ids"),
-        "n_words", F.coalesce("n_repeated_words", F.lit(0).cast("long")).alias("n_repeated_words"),
+        "doc_id", "n_paragraphs", count("n_repeated").alias("n_repeated"), count("n_removed").alias("n_removed"),
+        ((count("n_repeated") > 0) | (count("n_passage_words") > 0)).alias("repeated"),
+        both("first_doc_ids", "passage_doc_ids", table.schema["doc_id"].dataType.simpleString()).alias("first_doc_ids"),
+        both("class_ids", "passage_ids", "long").alias("class_ids"),
+        "n_words", count("n_repeated_words").alias("n_repeated_words"), count("n_passage_words").alias("n_passage_words"),
     )

@@ -128,3 +128,38 @@ def test_op4_compares_lines_of_any_length(spark, doc_rows, tmp_path):
     assert collected(got.select("doc_id", "n_repeated", "n_words", "n_repeated_words")) == sorted(
         ((r[0], a, b, c) for r, a, b, c in zip(rows, repeated, total, words, strict=True)), key=repr)
     assert {r["doc_id"]: r["n_repeated"] for r in got.where("doc_id >= 100").collect()} == {100: 2, 101: 2, 102: 1, 103: 1, 104: 0}
+
+
+def test_windows_of_shared_runs_are_equal():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+    for n in range(200):
+        run = [word() for _ in range(32)] if n % 5 else [word()] * 32
+        a, b = ([word() for _ in range(rng.randint(0, 60))] + run + [word() for _ in range(rng.randint(0, 60))] for _ in "ab")
+        keys = [set(op.passages(op.word_hashes([w.encode() for w in x]))[1].tolist()) for x in (a, b)]
+        assert keys[0] & keys[1]
+    # the same places whatever the pieces
+    long = op.word_hashes([word().encode() for _ in range(5000)])
+    whole = op.passages(long)[0].tolist()
+    size, op._PASSAGE_PIECE = op._PASSAGE_PIECE, 100
+    try:
+        assert op.passages(long)[0].tolist() == whole
+    finally:
+        op._PASSAGE_PIECE = size
+
+
+def test_passages_are_found_inside_lines_and_over_line_breaks(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    words = lambda n: [word() for _ in range(n)]
+    shared, other, twice = words(55), words(54), words(40)
+    broken = other[:17] + ["\n"] + other[17:35] + ["\n"] + other[35:]
+    rows = [(1, " ".join(words(40) + shared + words(30))), (2, " ".join(words(60) + shared + words(50))),
+            (3, " ".join(words(25) + broken + words(25))), (4, " ".join(words(35) + other + ["\n"] + words(5))),
+            (5, " ".join(words(200))), (6, " ".join(words(9) + twice + words(30) + twice + words(9))), (7, None)]
+    got = {r["doc_id"]: r for r in repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["first_doc_ids"] for i, r in got.items()} == {1: [1], 2: [1], 3: [3], 4: [3], 5: [], 6: [6], 7: []}
+    assert set(got[1]["class_ids"]) & set(got[2]["class_ids"]) and set(got[3]["class_ids"]) & set(got[4]["class_ids"])
+    for i, most in ((1, 55), (2, 55), (3, 54), (4, 54), (6, 80)):
+        assert got[i]["repeated"] and got[i]["n_repeated"] == 0 and 20 <= got[i]["n_passage_words"] <= most
+    assert not got[5]["repeated"] and got[5]["n_passage_words"] == got[7]["n_passage_words"] == 0
