@@ -19,6 +19,7 @@ REVISIT_BYTES = 1000
 DATE = "1970-01-01T00:00:00Z"
 
 _END = "\r\n\r\n"
+_MARK = _END.encode()
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNKS = (
     "record_id string, chunk_no int, record_type string, refers_to string, url string, data binary, "
@@ -118,44 +119,67 @@ def write_warc(pages, path, id_col="page_id", url_col="url", payload_col="html",
 
 
 class _Reader:
-    """Puts the pieces between record ends together again; holds one chunk at most."""
+    """Cuts the bytes of one archive into records by their Content-Length; holds one chunk at most.
 
-    def __init__(self):
-        self.head, self.digest, self.origin, self.total = None, None, None, 0
+    A line end may stand inside a block, or overlap with the end of a block, so that the lines say nothing about records:
+    each one goes back into the bytes with the line end that followed it.
+    """
 
-    def _open(self, value):
-        lines = value.decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record starts with {value[:40]!r}")
-        self.head = dict(x.split(": ", 1) for x in lines[1:])
-        self.need, self.got, self.block = int(self.head["Content-Length"]), 0, []
+    def __init__(self):
+        self.rest, self.head, self.open, self.origin = bytearray(), None, False, None
 
     def add(self, value):
-        """A chunk row when `value` completes a record."""
+        """Chunk rows of the records that end in `value` and the line end after it."""
+        if self.head is None and self.rest:
+            raise ValueError("a record end where a record should start")
+        self.rest += value
+        self.rest += _MARK
+        rows = []
+        while (row := self._next()) is not None:
+            rows.append(row)
+        return rows
+
+    def end(self):
+        """The archive must end with a whole record. The line end after its last bytes may be one that `add` made up."""
+        if self.head is not None or self.open or self.rest not in (b"", _MARK):
+            raise ValueError(f"the archive ends inside record {(self.head or self.origin or {}).get('WARC-Record-ID')}")
+
+    def _next(self):
         if self.head is None:
-            return self._open(value)
-        self.got += len(value) + 4 * bool(self.block)
-        self.block.append(value)
-        if self.got < self.need:
+            at = self.rest.find(_MARK)
+            if at < 1:
+                return None
+            lines = self.rest[:at].decode("utf-8").split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no WARC record starts with {bytes(self.rest[:40])!r}")
+            self.head = dict(x.split(": ", 1) for x in lines[1:])
+            del self.rest[: at + len(_MARK)]
+        need = int(self.head["Content-Length"])
+        if len(self.rest) < need + len(_MARK):
             return None
-        if self.got > self.need:
+        block, mark = bytes(self.rest[:need]), self.rest[need : need + len(_MARK)]
+        if mark != _MARK:
             raise ValueError(f"record {self.head['WARC-Record-ID']} is longer than it says")
-        head, block, self.head = self.head, self.block, None
+        del self.rest[: need + len(_MARK)]
+        head, self.head = self.head, None
         return self._close(head, block)
 
     def _close(self, head, block):
-        end, kind = _END.encode(), head["WARC-Type"]
-        fits = head["WARC-Block-Digest"] == f"sha1:{_sha1(end.join(block)).hexdigest()}"
+        kind = head["WARC-Type"]
+        fits = head["WARC-Block-Digest"] == f"sha1:{_sha1(block).hexdigest()}"
+        http, data = b"", block
+        if (kind == "continuation") != self.open:
+            raise ValueError(f"record {head['WARC-Record-ID']} comes where {'a segment' if self.open else 'a record'} should")
         if kind != "continuation":
             self.origin, self.digest, self.total, self.intact = head, _sha1(b""), 0, True
-            http, block = block[0], block[1:]
+            http, _, data = block.partition(_MARK)
         elif head["WARC-Segment-Origin-ID"] != self.origin["WARC-Record-ID"]:
             raise ValueError(f"segment {head['WARC-Record-ID']} doesn't follow its first one")
-        data = end.join(block)
         self.digest.update(data)
         self.total += len(data)
         number = int(head.get("WARC-Segment-Number", 1))
         last = "WARC-Segment-Number" not in head or "WARC-Segment-Total-Length" in head
+        self.open = not last
         so_far, refers = self.digest.hexdigest(), None
         if kind == "revisit":
             so_far = self.origin["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -173,15 +197,24 @@ def _name(uri):
 
 
 def _chunks(batches, with_data, schema):
-    reader = _Reader()
+    """Chunk rows of the archives of a task, whose lines come file by file."""
+    reader, own = None, None
     for batch in batches:
-        rows = [row for value in batch.column(0) if (row := reader.add(value.as_py()))]
+        rows = []
+        for value, file in zip(batch.column("value"), batch.column("file").to_pylist(), strict=True):
+            if file != own:
+                if reader is not None:
+                    reader.end()
+                reader, own = _Reader(), file
+            rows += reader.add(value.as_py())
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
         if not with_data:
             columns[schema.get_field_index("data")] = [None] * len(rows)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
         )
+    if reader is not None:
+        reader.end()
 
 
 def read_chunks(spark, path, with_data=True):
@@ -189,14 +222,17 @@ def read_chunks(spark, path, with_data=True):
 
     `bytes_so_far` and `sha1_so_far` cover the payload up to this chunk; in the row with `last` they cover all of it.
     `intact` tells whether block and payload digests fit so far. A revisit has one row without data and the figures of
-    the payload it refers to. A compressed file is never split, so its records are read in order by one task.
+    the payload it refers to. A compressed file is never split, so its records are read in order by one task. Records are
+    cut by their Content-Length, so payloads may hold or end in any bytes. A file that ends inside a record or a segmented
+    payload, or whose records don't have the length they say, raises an error; an empty file has no records.
     """
     schema = pa.schema([
         ("record_id", pa.string()), ("chunk_no", pa.int32()), ("record_type", pa.string()), ("refers_to", pa.string()),
         ("url", pa.string()), ("data", pa.binary()), ("bytes_so_far", pa.int64()), ("sha1_so_far", pa.string()),
         ("last", pa.bool_()), ("intact", pa.bool_()),
     ])
-    lines = spark.read.option("lineSep", _END).text(path).select(F.col("value").cast("binary"))
+    lines = spark.read.option("lineSep", _END).text(path).select(
+        F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file"))
     return lines.mapInArrow(lambda batches: _chunks(batches, with_data, schema), _CHUNKS)
 
 
