@@ -23,14 +23,21 @@ def local_session(cpus="8", app="fleetlens", shuffle_partitions="8"):
     )
 
 
+#: folder of each application without one of its own (application id -> path)
+_OWN_DIRS = {}
+
+
 def shared_dir(spark):
-    """The cluster's shared folder. Only a session without one (tests) gets a folder of its own."""
+    """The cluster's shared folder. Only a local session without one (tests) gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        # a setting of the core can't be set in a running session, so the folder is remembered here
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        path = tempfile.mkdtemp(prefix="fleetlens-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if context.applicationId not in _OWN_DIRS:
+            _OWN_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="fleetlens-")
+        path = _OWN_DIRS[context.applicationId]
     return path.rstrip("/")
 
 
