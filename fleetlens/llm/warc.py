@@ -152,9 +152,13 @@ class _Reader:
             lines = self.rest[:at].decode("utf-8").split("\r\n")
             if not lines[0].startswith("WARC/"):
                 raise ValueError(f"no WARC record starts with {bytes(self.rest[:40])!r}")
-            self.head = dict(x.split(": ", 1) for x in lines[1:])
+            try:
+                self.head = dict(x.split(": ", 1) for x in lines[1:])
+                self.need = int(self.head["Content-Length"])
+            except (KeyError, ValueError) as error:
+                raise ValueError(f"the archive ends inside a record head, or one is damaged: {lines[:3]!r}") from error
             del self.rest[: at + len(_MARK)]
-        need = int(self.head["Content-Length"])
+        need = self.need
         if len(self.rest) < need + len(_MARK):
             return None
         block, mark = bytes(self.rest[:need]), self.rest[need : need + len(_MARK)]

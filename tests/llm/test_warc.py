@@ -62,11 +62,9 @@ def test_files_are_warc(spark, tmp_path):
 
 
 def test_damage_is_seen(spark, tmp_path):
-    pages = spark.createDataFrame([(1, "http://a/1", "abcdef" * 300)], "page_id long, url string, html string")
-    write_warc(pages, f"{tmp_path}/w")
-    source = next(Path(tmp_path, "w").glob("*.gz"))
+    raw = _archive(spark, tmp_path, [(1, "http://a/1", "abcdef" * 300)])
     Path(tmp_path, "broken").mkdir()
-    Path(tmp_path, "broken", "part.txt.gz").write_bytes(gzip.compress(gzip.decompress(source.read_bytes()).replace(b"abcdefa", b"abcdefX", 1)))
+    Path(tmp_path, "broken", "part.txt.gz").write_bytes(gzip.compress(raw.replace(b"abcdefa", b"abcdefX", 1)))
     assert [r["intact"] for r in read_records(spark, f"{tmp_path}/broken").collect()] == [False]
 
 
