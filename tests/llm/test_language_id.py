@@ -79,6 +79,29 @@ def test_keeping(prose_docs, no_docs, docs):
     assert identify_languages(no_docs).collect() == [] and keep_identified(no_docs).collect() == []
     unlabelled = docs.withColumn("lang", docs["lang"].substr(100, 1)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang")
     assert {r["lang_pred"] for r in identify_languages(unlabelled).collect()} == {"und"}
+    # without any label there is nothing to reject by: all texts with a letter stay
+    lettered = [r for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert keep_identified(unlabelled).count() == len(lettered)
+    assert keep_identified(unlabelled, languages=["aa"]).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2, 50])
+def test_scores_do_not_depend_on_batches(prose_docs, parts, monkeypatch):
+    want = collected(identify_languages(prose_docs))
+    assert collected(identify_languages(prose_docs.repartition(parts))) == want
+
+
+def test_every_letter_has_a_vector_of_its_own():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("漢字仮名交文日本語書") for _ in range(60)), "".join(rng.choice("한국어문장을쓴다말") for _ in range(60)), "mixed ж漢é text"]
+    joined = np.concatenate([p for t in texts for p in trigram_pieces(t.encode())])
+    used, at = op.distinct(joined)
+    assert np.array_equal(used[at], joined) and np.array_equal(used, np.unique(joined))
+    vectors = Vectors()
+    letters = np.stack([vectors.letter(int(op._symbol_of()[ord(c)])) for c in "漢字仮名交文日本語書abжé"]).astype(int)
+    near = letters @ letters.T / vectors.dimensions
+    assert np.all(np.diag(near) == 1) and np.abs(near - np.eye(len(letters))).max() < 0.2
+    assert np.array_equal(vectors.of(used), vectors.bind(used))
 
 
 def test_sample_tables(spark):
