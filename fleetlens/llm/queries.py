@@ -1,9 +1,11 @@
 """One query per text operator over the whole sample tables, with its SQL where SQL can say the same."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from fleetlens.llm import (
     block_naming,
+    bpe,
     decontaminate,
     language_id,
     licenses,
@@ -118,6 +120,19 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents")).drop("detections")
 
 
+
+def op13_bpe(spark, sf_dir):
+    """Token ids of each document, and what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = read_table(spark, sf_dir, "documents")
+    rows = bpe.encode(docs, path, public_tokenizers.PATTERN, with_offsets=False).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+    )
+    rows = bpe.decode(rows, path, keep=("n_tokens", "ids_sha256"))
+    return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
+
+
 #: name -> (query, SQL or None)
 CASES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
@@ -130,4 +145,5 @@ CASES = {
     "op8_simhash": (op8_simhash, None),
     "op9_block_naming": (op9_block_naming, OP9_SQL),
     "op10_licenses": (op10_licenses, None),
+    "op13_bpe": (op13_bpe, None),
 }
