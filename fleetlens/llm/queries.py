@@ -7,6 +7,7 @@ from fleetlens.llm import (
     block_naming,
     bpe,
     decontaminate,
+    hard_negatives,
     language_id,
     licenses,
     mixing,
@@ -121,6 +122,30 @@ def op10_licenses(spark, sf_dir):
 
 
 
+def op11_hard_negatives(spark, sf_dir):
+    """Hard negatives of each positive of every hundredth vector."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score, CAST(row_number() OVER
+    (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS INTEGER) AS positive_rank FROM s WHERE same QUALIFY positive_rank <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+    AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score, positive_rank
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def op13_bpe(spark, sf_dir):
     """Token ids of each document, and what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -145,5 +170,6 @@ CASES = {
     "op8_simhash": (op8_simhash, None),
     "op9_block_naming": (op9_block_naming, OP9_SQL),
     "op10_licenses": (op10_licenses, None),
+    "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
     "op13_bpe": (op13_bpe, None),
 }

@@ -102,7 +102,7 @@ def test_run_and_registration(spark, stages):
     assert rows.columns == columns and sorted(map(tuple, rows.collect())) == sorted(map(tuple, after))
     names = [*CASES, "pipeline"]
     assert set(names) <= set(entry.queries())
-    assert set(entry.oracle_sql()) & set(names) == {"op1_decontaminate", "op2_warc", "op9_block_naming"}
+    assert set(entry.oracle_sql()) & set(names) >= {"op1_decontaminate", "op2_warc", "op9_block_naming"}
 
 
 def test_one_row_of_each_group_stays_whatever_the_ids(spark):
