@@ -29,6 +29,12 @@ def written(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark, path):
+    """Delete a folder below the shared one that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def ascii_lower(text):
     """Lower-case A-Z only. The fast way of `lower` is taken where all characters are ASCII, as both are equal there."""
     text = F.coalesce(text, F.lit(""))

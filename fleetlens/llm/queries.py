@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fleetlens.llm import (
     block_naming,
     bpe,
+    collocations,
     decontaminate,
     hard_negatives,
     language_id,
@@ -146,6 +147,35 @@ QUALIFY rank <= 10
 """
 
 
+def op12_collocations(spark, sf_dir):
+    """Phrases of two and three words of each language whose words come together."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), {UPPER}, {LOWER}),
+    '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+pc AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(ps) AS p FROM t)),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pc),
+f AS (SELECT lang, m, s, count(*) AS n FROM (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS s
+    FROM places, (VALUES (1), (2), (3)) AS sizes (m) WHERE i + m - 1 <= len(w)) GROUP BY ALL),
+c AS (SELECT lang, m, s, n AS a, string_split(s, ' ') AS w FROM f WHERE m > 1 AND n >= 10),
+cut AS (SELECT c.lang, c.m, c.s, a, k, x.n AS l, y.n AS r,
+    (1000000::HUGEINT * a * a) // (x.n::HUGEINT * y.n) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.m = k AND x.s = array_to_string(w[1 : k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.m = c.m - k AND y.s = array_to_string(w[k + 1 : c.m], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1),
+gone AS (SELECT DISTINCT b.lang, b.s FROM c JOIN c b ON b.lang = c.lang AND c.m = 3 AND b.m = 2
+    AND b.s IN (array_to_string(c.w[1 : 2], ' '), array_to_string(c.w[2 : 3], ' ')) AND 100 * c.a >= 50 * b.a),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pc GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank, s AS phrase, a, l, r, total.n AS n,
+  CAST(score AS BIGINT) AS score, CAST(m AS INTEGER) AS words, CAST(k AS INTEGER) AS cut
+FROM best JOIN total USING (lang) WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = best.lang AND gone.s = best.s)
+QUALIFY rank <= 2000
+"""
+
+
 def op13_bpe(spark, sf_dir):
     """Token ids of each document, and what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -171,5 +201,6 @@ CASES = {
     "op9_block_naming": (op9_block_naming, OP9_SQL),
     "op10_licenses": (op10_licenses, None),
     "op11_hard_negatives": (op11_hard_negatives, OP11_SQL),
+    "op12_collocations": (op12_collocations, OP12_SQL),
     "op13_bpe": (op13_bpe, None),
 }
