@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.config import classify_clusters
 from fleetlens.functions.keys import CLUSTER, JOB
+from fleetlens.operators.asof import asof_join
 from fleetlens.operators.changes import only_changes
 
 
@@ -125,15 +126,27 @@ def first_job_of_cluster(clusters, jobs, keys=tuple(CLUSTER), orders=("job_id",)
     return out.withColumn("error", F.when(F.col("job_id").isNull(), "EMPTY_JOB_IN_CLUSTER"))
 
 
-def cluster_overview(overviews, configs, keys=tuple(CLUSTER), marker=("deploy.source", "fleet"), col="config"):
-    """Overview rows joined with the config of the same cluster, with exec mode and managed flag."""
-    return classify_clusters(overviews.join(configs.select(*keys, col), list(keys)), marker, col).drop(col)
+def cluster_overview(overviews, configs, keys=tuple(CLUSTER), marker=("deploy.source", "fleet"), col="config",
+                     order=("ts",), ties=(), keep_unconfigured=False, rows=None):
+    """Overview polls with the exec mode and managed flag of the config in force: the last one polled by then.
+
+    `configs` has the polled configs of each cluster over time; without the `order` columns it is one config per cluster (of
+    several the one whose JSON text is largest). A poll before the first config of its cluster has no overview; with
+    `keep_unconfigured` it stays, in mode Unknown and not managed.
+    """
+    if all(c in configs.columns for c in order):
+        joined = asof_join(overviews, configs, list(keys), list(order), [col], ties, "_config", rows)
+    else:
+        one = configs.groupBy(*keys).agg(F.max_by(F.struct(col), F.to_json(col)).alias("_config"))
+        joined = overviews.join(one, list(keys), "left")
+    if not keep_unconfigured:
+        joined = joined.filter(F.col("_config").isNotNull())
+    return classify_clusters(joined.withColumn(col, F.col(f"_config.{col}")), marker, col).drop(col, "_config")
 
 
 def overview_changes(overviews, configs, keys=tuple(CLUSTER), order=("ts",), marker=("deploy.source", "fleet"),
-                     col="config", rows=None):
+                     col="config", ties=(), keep_unconfigured=False, rows=None):
     """`cluster_overview` of several polls, only where a cluster differs from its poll before."""
-    joined = cluster_overview(overviews, configs, keys, marker, col)
+    joined = cluster_overview(overviews, configs, keys, marker, col, order, ties, keep_unconfigured, rows)
     cols = [c for c in joined.columns if c not in (*keys, *order)]
     return only_changes(joined, list(keys), list(order), cols, rows)
-

@@ -42,7 +42,7 @@ def _written(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _hot_table(df, keys, rows):
+def hot_table(df, keys, rows):
     """The hot keys as a table in the shared folder, or None if there are none."""
     hot = hot_keys(df, keys, HOT_ROWS if rows is None else rows)
     return None if hot.isEmpty() else _written(hot, "hot-keys")
@@ -64,7 +64,8 @@ def cut(df, keys, order, rows, hot):
     return _written(x.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def _ordinary(df, keys, hot):
+def ordinary(df, keys, hot):
+    """The rows of all keys that are not hot."""
     return df.join(hot, _on(df, hot, keys), "left_anti")
 
 
@@ -73,7 +74,7 @@ def with_previous(df, keys, order, cols, name="_prev", rows=None):
 
     The last row of each slice of a hot key is carried over to its next slice as an extra row.
     """
-    hot = _hot_table(df, keys, rows)
+    hot = hot_table(df, keys, rows)
     packed = F.struct(*cols)
     plain = lambda x: x.withColumn(name, F.lag(packed).over(Window.partitionBy(*keys).orderBy(*order)))
     if hot is None:
@@ -92,16 +93,16 @@ def with_previous(df, keys, order, cols, name="_prev", rows=None):
     # a carried row comes before all rows of the slice, also before those that are equal to it
     w = Window.partitionBy(*keys, "_slice").orderBy(*order, "_tie", F.desc("_carried"))
     split = both.withColumn(name, F.lag(packed).over(w)).filter(~F.col("_carried")).drop("_carried", "_slice", "_tie")
-    return plain(_ordinary(df, keys, hot)).unionByName(split)
+    return plain(ordinary(df, keys, hot)).unionByName(split)
 
 
 def with_rank(df, keys, order, name="_rank", rows=None):
     """Add the row number within the key. A hot key is numbered slice by slice, each from where the last one ended."""
-    hot = _hot_table(df, keys, rows)
+    hot = hot_table(df, keys, rows)
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")
     if hot is None:
         return df.withColumn(name, number)
-    return _ordinary(df, keys, hot).withColumn(name, number).unionByName(_ranked_slices(df, keys, order, name, rows, hot))
+    return ordinary(df, keys, hot).withColumn(name, number).unionByName(_ranked_slices(df, keys, order, name, rows, hot))
 
 
 def _ranked_slices(df, keys, order, name, rows, hot):
@@ -123,13 +124,13 @@ def _ranked_slices(df, keys, order, name, rows, hot):
 def newest_rows(df, keys, order, n, rows=None):
     """The last n rows per key. Hot keys are ranked slice by slice, so that n may be of any size."""
     newest_first = [F.desc(c) for c in order]
-    hot = _hot_table(df, keys, rows)
+    hot = hot_table(df, keys, rows)
     w = Window.partitionBy(*keys).orderBy(*newest_first)
     last = lambda x: x.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
     if hot is None:
         return last(df)
     split = _ranked_slices(df, keys, newest_first, "_rank", rows, hot).filter(F.col("_rank") <= n).drop("_rank")
-    return last(_ordinary(df, keys, hot)).unionByName(split)
+    return last(ordinary(df, keys, hot)).unionByName(split)
 
 
 def spread_join(big, small, keys, spread, how="inner", rows=None):
@@ -141,7 +142,7 @@ def spread_join(big, small, keys, spread, how="inner", rows=None):
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
     rows = HOT_ROWS if rows is None else rows
-    hot = _hot_table(big.filter(F.col(keys[0]).isNotNull()), keys, rows)
+    hot = hot_table(big.filter(F.col(keys[0]).isNotNull()), keys, rows)
     if hot is None:
         return big.join(small, list(keys), how)
     salts = F.coalesce(F.ceil(F.col("_rows") / F.lit(rows)), F.lit(1)).cast("bigint")

@@ -61,6 +61,46 @@ def _(t):
     return changed.select("cluster_id", "ts", "members", "exec_mode", "managed")
 
 
+# config polls of clusters 0 to 39: some at the time of an overview, several at one time (the last event counts)
+POLLED = """polls AS (SELECT user_id % 50 AS c, event_id AS ts, CAST(length(event_type) AS INTEGER) AS members FROM events),
+  configs AS (SELECT user_id % 50 AS c, event_id - event_id % 7 AS ts, arg_max(event_id % 5, event_id) AS m,
+    arg_max(event_id % 3, event_id) AS o FROM events WHERE user_id % 50 < 40 AND event_type <> 'view' GROUP BY 1, 2),
+  known AS (SELECT concat('c', p.c) AS cluster_id, p.ts, members, CASE WHEN m = 0 THEN 'kubernetes-application'
+      WHEN m = 1 THEN 'kubernetes-session' WHEN m IS NOT NULL THEN 'Unknown' END AS exec_mode, o = 0 AS managed
+    FROM polls p ASOF LEFT JOIN configs ON p.c = configs.c AND p.ts >= configs.ts)"""
+
+
+def _polled(t):
+    """(overview polls, config polls with `seq` for those of one time)."""
+    cluster = [text("c", F.col("user_id") % 50).alias("cluster_id"), F.lit("ns").alias("namespace")]
+    polls = t.events.select(*cluster, F.col("event_id").alias("ts"), F.length("event_type").alias("members"))
+    mode, owner = F.col("event_id") % 5, F.col("event_id") % 3
+    mode = F.when(mode == 0, "kubernetes-application").when(mode == 1, "kubernetes-session").otherwise("other")
+    config = F.create_map(F.lit("exec.mode"), mode, F.lit("deploy.source"), F.when(owner == 0, "fleet").otherwise("x"))
+    configs = t.events.filter("user_id % 50 < 40 AND event_type <> 'view'").select(
+        *cluster, (F.col("event_id") - F.col("event_id") % 7).alias("ts"), F.col("event_id").alias("seq"), config.alias("config"))
+    return polls, configs
+
+
+@case("j12_overview_asof", f"""WITH {POLLED} SELECT cluster_id, ts, members, coalesce(exec_mode, 'Unknown') AS exec_mode,
+  coalesce(managed, false) AS managed FROM known""")
+def _(t):
+    return joins.cluster_overview(*_polled(t), ties=["seq"], keep_unconfigured=True).drop("namespace")
+
+
+@case("j12_overview_asof_hot_keys", f"WITH {POLLED} SELECT * FROM known WHERE exec_mode IS NOT NULL")
+def _(t):
+    # every cluster counts as hot here, so all of them are cut into slices
+    return joins.cluster_overview(*_polled(t), ties=["seq"], rows=20).drop("namespace")
+
+
+@case("j12_overview_asof_changes", f"""WITH {POLLED} SELECT cluster_id, ts, members, exec_mode, managed FROM (
+  SELECT *, lag((members, exec_mode, managed)) OVER (PARTITION BY cluster_id ORDER BY ts) AS prev FROM known
+  WHERE exec_mode IS NOT NULL) WHERE prev IS DISTINCT FROM (members, exec_mode, managed)""")
+def _(t):
+    return joins.overview_changes(*_polled(t), ties=["seq"]).drop("namespace")
+
+
 @case("p27_version_rollup", """WITH v AS (SELECT concat('1.', c_nationkey, '.', c_custkey % 4) AS version FROM customer
     UNION ALL SELECT 'v2' FROM customer WHERE c_acctbal < 0)
   SELECT CASE WHEN version = 'v2' THEN 'v2' ELSE concat(split_part(version, '.', 1), '.', split_part(version, '.', 2))
