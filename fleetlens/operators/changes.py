@@ -24,6 +24,36 @@ def fingerprint_of(hashed, group):
     )
 
 
+# 2**64: sums of hashes wrap here, so that they can be added in any order and grouping
+_WRAP = f"CAST({1 << 64} AS DECIMAL(20, 0))"
+
+
+def multiset_fingerprint(df, group, cols, key=None):
+    """Order-free fingerprint of the rows per group, repeated rows counted: `hash1` and `hash2` (sums of 64-bit hashes that
+    wrap at 2**64) and `members`. Fingerprints of parts of a group add up by `merge_fingerprints`.
+
+    With `key`, rows of a group that repeat the key within `df` count once (polls that were delivered twice).
+    """
+    if key:
+        df = df.dropDuplicates([*group, *key])
+    hashed = df.select(
+        *group, F.xxhash64(*cols).cast("decimal(20,0)").alias("hash1"),
+        F.xxhash64(F.lit("second"), *cols).cast("decimal(20,0)").alias("hash2"), F.lit(1).cast("bigint").alias("members"),
+    )
+    return merge_fingerprints(hashed, group)
+
+
+def merge_fingerprints(prints, group):
+    """One fingerprint per group from those of its parts."""
+    wrapped = lambda c: F.expr(f"CAST(pmod(sum({c}), {_WRAP}) AS DECIMAL(20, 0))").alias(c)
+    return prints.groupBy(*group).agg(wrapped("hash1"), wrapped("hash2"), F.sum("members").alias("members"))
+
+
+def only_multiset_changes(df, keys, order, cols, key=None, rows=None):
+    """Snapshots (keys, order) whose rows, repeated ones counted, differ from those of the snapshot before."""
+    return changed_prints(multiset_fingerprint(df, [*keys, *order], cols, key), keys, order, rows)
+
+
 def only_changes(df, keys, order, cols, rows=None):
     """Rows whose `cols` differ from the previous row of the same key; the first row always counts."""
     same = F.lit(True)

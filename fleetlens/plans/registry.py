@@ -1,5 +1,9 @@
 """Registry of queries and their SQL."""
 
+from pyspark.sql import functions as F
+
+from fleetlens.session import run_dir
+
 CASES = {}
 _SCHEMAS = {}
 
@@ -22,6 +26,13 @@ class Tables:
         schema = getattr(self, name).schema
         return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
 
+    def shuffled_stream(self, name, parts=4):
+        """One table as a stream of `parts` micro-batches, each with rows from all over the table: most rows are late."""
+        table = getattr(self, name)
+        path = f"{run_dir(self.spark, 'landed')}/{name}"
+        table.repartition(parts, F.xxhash64(*table.columns)).write.parquet(path)
+        return self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
 
 def case(name, sql=None):
     """Register a query; `sql` is None where SQL cannot say the same."""

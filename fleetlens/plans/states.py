@@ -307,6 +307,33 @@ def _(t):
     return changes.only_set_changes(rows, ["grp"], ["batch"], ["event_type"]).select("grp", "batch", "members")
 
 
+MULTISETS = """s AS (SELECT user_id % 50 AS grp, event_id // 500 AS batch, count(*) AS members,
+    string_agg(event_type, ',' ORDER BY event_type) AS rows FROM events GROUP BY 1, 2)
+  SELECT grp, batch, members FROM (SELECT *, lag(rows) OVER (PARTITION BY grp ORDER BY batch) AS prev FROM s)
+  WHERE prev IS DISTINCT FROM rows"""
+
+
+def kinds(events):
+    return events.select((F.col("user_id") % 50).alias("grp"), F.floor(F.col("event_id") / 500).alias("batch"), "event_type")
+
+
+@case("w1_only_multiset_changes", f"WITH {MULTISETS}")
+def _(t):
+    return changes.only_multiset_changes(kinds(t.events), ["grp"], ["batch"], ["event_type"]).select("grp", "batch", "members")
+
+
+@case("a9_multiset_fingerprint", """WITH s AS (SELECT user_id % 50 AS grp, event_id // 500 AS batch, count(*) AS members,
+    string_agg(event_type, ',' ORDER BY event_type) AS rows FROM events GROUP BY 1, 2)
+  SELECT grp, batch, members, count(*) OVER (PARTITION BY batch, rows) AS twins FROM s""")
+def _(t):
+    # two parts that were made separately add up to the fingerprint of the whole
+    rows, group = kinds(t.events).withColumn("half", F.xxhash64("event_type", "grp") % 2), ["grp", "batch"]
+    half = lambda h: changes.multiset_fingerprint(rows.filter(F.col("half") == h if h == 0 else F.col("half") != 0), group, ["event_type"])
+    prints = changes.merge_fingerprints(half(0).unionByName(half(1)), group)
+    twins = prints.groupBy("batch", "hash1", "hash2", "members").agg(F.count(F.lit(1)).alias("twins"))
+    return prints.join(twins, ["batch", "hash1", "hash2", "members"]).select("grp", "batch", "members", "twins")
+
+
 @case("a9_set_fingerprint", f"""WITH {SETS} SELECT a.grp, a.batch, a.n AS members,
   (SELECT count(*) FROM s b WHERE b.batch = a.batch AND b.members = a.members) AS twins FROM s a""")
 def _(t):

@@ -232,6 +232,27 @@ def _(t):
     return view.select("grp", "batch", "members")
 
 
+@case("w1_stream_changes_late", f"WITH {states.CHANGED} SELECT user_id, event_id, event_type FROM changed")
+def _(t):
+    rows = t.shuffled_stream("events").select("user_id", "event_id", "event_type")
+    return runs.stream_changes(rows, *_dirs(t, "changes"), ["user_id"], ["event_id"], ["event_type"])[1]()
+
+
+@case("t12_stream_first_errors_late", f"WITH {states.ERRORS} SELECT user_id, event_id, message FROM firsts")
+def _(t):
+    rows = states.outcomes(t.shuffled_stream("events"))
+    return runs.stream_first_errors(
+        rows, *_dirs(t, "errors"), ["user_id"], ["event_id"], F.col("event_type") == "error", "message"
+    )[1]().drop("event_type")
+
+
+@case("w1_stream_multiset_changes", f"WITH {states.MULTISETS}")
+def _(t):
+    rows = states.kinds(t.shuffled_stream("events"))
+    view = runs.stream_multiset_changes(rows, *_dirs(t, "multisets"), ["grp"], ["batch"], ["event_type"])[1]()
+    return view.select("grp", "batch", "members")
+
+
 @case("a8_stream_upserts", """SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id""")
 def _(t):
     combine = [F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.keys import CLUSTER, JOB
 from fleetlens.operators import changes, state, watch
-from fleetlens.operators.spread import spread_join
+from fleetlens.operators.spread import hashable, newest_rows, spread_join
 from fleetlens.operators.usage import usage_by_live_pods
 from fleetlens.sources import payloads, tables
 from fleetlens.sources.objects import endpoint_table
@@ -157,41 +157,76 @@ def ingest_overviews(payload_stream, path, checkpoint, **options):
     return query, lambda: tables.read_current(current), lambda: tables.newest_by_key(history.read(), [*JOB, "ts"], ()), rejected.read
 
 
-def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where=None, prepare=None, **options):
+def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where=None, prepare=None, lateness=None,
+                   **options):
     """Rows that differ from the row before of their key, over all micro-batches; with `where` among those rows only.
-    `prepare` turns each micro-batch into the rows to compare.
+    `prepare` turns each micro-batch into the rows to compare. Gives (query, view, log, late).
 
-    The last row per key is carried in a table. Rows that are not newer than the carried one are late and dropped.
-    Keys must not be null.
+    Late rows are taken in their place: a late row is compared with the row before it, and the row after it with the late
+    one. What that changes is written to the log as rows with `weight` 1 (from now on a change) or -1 (no longer one); the
+    view is the sum of the log. Rows of a key with equal `order` follow each other by a hash of the row.
+
+    All rows are kept to compare with, unless `lateness` (in the unit of the numeric first order column) is given: then a
+    compaction leaves only the last row per key of those that are older than the newest row less `lateness`, and rows that
+    come after it and are older than that bound go to `late`. Keys must not be null.
     """
     source = stream if where is None else stream.filter(where)
     spark = stream.sparkSession
     prepare = prepare or (lambda b: b)
     shape = prepare(spark.createDataFrame([], source.schema))
-    out = tables.BatchTable(spark, f"{path}/out", shape.schema)
-    last = tables.BatchTable(spark, f"{path}/last", _schema(shape, list(dict.fromkeys([*keys, *order, *cols]))))
-    reduce = lambda df: state.latest_per_key(df, keys, order)
+    fields, total = shape.columns, [*keys, *order, "_hash"]
+    told = lambda df: df.withColumn("_hash", F.xxhash64(*hashable(df.select(*fields))))
+    log = tables.BatchTable(spark, f"{path}/out", told(shape).withColumn("weight", F.lit(1)).schema)
+    seen = tables.BatchTable(spark, f"{path}/seen", shape.schema)
+    bounds = tables.BatchTable(spark, f"{path}/bounds", "bound DOUBLE")
+    late = tables.BatchTable(spark, f"{path}/late", shape.schema)
+    at = F.struct(*order)
+
+    def net(df):
+        row = F.any_value(F.struct(*[c for c in fields if c not in total])).alias("_rest")
+        out = df.groupBy(*total).agg(row, F.sum("weight").cast("int").alias("weight")).filter("weight <> 0")
+        return out.select(*[F.col(c) if c in total else F.col(f"_rest.{c}") for c in fields], "_hash", "weight")
+
+    def changed(df, weight):
+        found = changes.only_changes(told(df), keys, [*order, "_hash"], cols, rows).filter("_compared").drop("_compared")
+        return found.withColumn("weight", F.lit(weight))
 
     def each(b, i):
-        b = prepare(b).persist()
-        # only the carried rows of the keys of this batch are reduced
-        carried = reduce(last.read(before=i).join(b.select(*keys).distinct(), list(keys), "left_semi"))
-        newest = carried.select(*keys, F.struct(*order).alias("_carried"))
-        fresh = spread_join(b, newest, list(keys), order, "left", rows)
-        fresh = fresh.filter(F.col("_carried").isNull() | (F.struct(*order) > F.col("_carried"))).drop("_carried")
-        both = fresh.withColumn("_new", F.lit(True)).unionByName(
-            carried.withColumn("_new", F.lit(False)), allowMissingColumns=True
-        ).persist()
-        emitted = changes.only_changes(both, keys, order, cols, rows).filter("_new").drop("_new")
-        out.write(emitted, i)
-        last.write(reduce(both.filter("_new").drop("_new")), i)
-        both.unpersist()
+        b = prepare(b)
+        bound = bounds.read(before=i).agg(F.max("bound")).first()[0]
+        if bound is not None:
+            late.write(b.filter(F.col(order[0]) < bound), i)
+            b = b.filter(F.col(order[0]) >= bound)
+        b = b.persist()
+        low = b.groupBy(*keys).agg(F.min(at).alias("_low"))
+        # of the rows before this batch those that follow its first row of a key, and the one before that
+        old = spread_join(seen.read(before=i), low, list(keys), order, "inner", rows)
+        after = old.filter(at >= F.col("_low")).drop("_low").withColumn("_compared", F.lit(True))
+        before = newest_rows(told(old.filter(at < F.col("_low")).drop("_low")), keys, [*order, "_hash"], 1, rows)
+        known = after.unionByName(before.drop("_hash").withColumn("_compared", F.lit(False))).persist()
+        now = changed(known.unionByName(b.withColumn("_compared", F.lit(True))), 1)
+        log.write(net(now.unionByName(changed(known, -1))), i)
+        seen.write(b, i)
+        known.unpersist()
         b.unpersist()
         if i and i % COMPACT_EVERY == 0:
-            last.compact(i, reduce)
+            log.compact(i, net)
+            seen.compact(i, lambda df: fold(df, i))
+
+    def fold(df, i):
+        if lateness is None:
+            return df
+        newest = df.agg(F.max(order[0])).first()[0]
+        if newest is None:
+            return df
+        bounds.write(spark.createDataFrame([(float(newest - lateness),)], "bound DOUBLE"), i)
+        recent = F.col(order[0]) >= newest - lateness
+        last = newest_rows(told(df.filter(~recent)), keys, [*order, "_hash"], 1, rows).drop("_hash")
+        return df.filter(recent).unionByName(last)
 
     query = run(source, checkpoint, each, **options)
-    return query, out.read
+    deltas = lambda: log.read().drop("_hash")
+    return query, lambda: net(log.read()).filter("weight > 0").select(*fields), deltas, late.read
 
 
 def stream_set_changes(stream, path, checkpoint, keys, order, cols, **options):
@@ -206,6 +241,20 @@ def stream_set_changes(stream, path, checkpoint, keys, order, cols, **options):
     return query, lambda: changes.changed_prints(changes.fingerprint_of(table.read(), [*keys, *order]), keys, order)
 
 
+def stream_multiset_changes(stream, path, checkpoint, keys, order, cols, key=None, **options):
+    """Snapshots whose rows, repeated ones counted, differ from the snapshot before. A snapshot may come in several
+    micro-batches, in any order: its fingerprint is a sum, so the table has one row per snapshot after a compaction.
+
+    With `key`, rows that repeat the key of a snapshot within a micro-batch count once.
+    """
+    group = [*keys, *order]
+    prints = lambda df: changes.multiset_fingerprint(df, group, cols, key)
+    merged = lambda df: changes.merge_fingerprints(df, group)
+    table = tables.BatchTable(stream.sparkSession, path, prints(stream.sparkSession.createDataFrame([], stream.schema)).schema)
+    query = run(stream, checkpoint, lambda b, i: _put(table, prints(b), i, merged), **options)
+    return query, lambda: changes.changed_prints(merged(table.read()), keys, order)
+
+
 def stream_upserts(stream, table_path, checkpoint, schema, keys, combine, put, updates, insert=True, **options):
     """State rows that are inserted (`put`) or updated (`updates`) per key; with insert=False only updated.
 

@@ -113,21 +113,72 @@ def test_snapshots(spark, source, dirs):
     same(view(), state.replace_snapshot(spark.createDataFrame(rows, SCHEMA), ["scope"], "seq"))
 
 
-@pytest.mark.parametrize("rows_per_slice", [4, 1_000_000])
-def test_changes(spark, source, tmp_path, rows_per_slice, monkeypatch):
+@pytest.mark.parametrize("rows_per_slice,shuffled", [(4, False), (1_000_000, False), (4, True), (1_000_000, True)])
+def test_changes(spark, source, tmp_path, rows_per_slice, shuffled, monkeypatch):
     monkeypatch.setattr(runs, "COMPACT_EVERY", 2)
     rows = [r for r in events() if r[1] is not None]
-    source.add(*cut(rows, 5))
-    _, view = runs.stream_changes(
+    batches = rows[:]
+    if shuffled:
+        random.Random(4).shuffle(batches)
+    source.add(*cut(batches, 5))
+    _, view, log, late = runs.stream_changes(
         source.stream(), str(tmp_path / "t"), str(tmp_path / "c"), ["k"], ["seq"], ["v"], rows=rows_per_slice)
     same(view(), changes.only_changes(spark.createDataFrame(rows, SCHEMA), ["k"], ["seq"], ["v"]))
-    assert (tmp_path / "t" / "last" / "base").exists()
-
-
-def test_late_change_is_dropped(spark, source, tmp_path):
-    source.add([(0, 1, 10, "x", 1)], [(0, 1, 5, "x", 2), (0, 1, 10, "x", 3), (0, 1, 11, "x", 1), (0, 1, 12, "x", 4)])
-    _, view = runs.stream_changes(source.stream(), str(tmp_path / "t"), str(tmp_path / "c"), ["k"], ["seq"], ["v"])
-    assert {r.seq for r in view().collect()} == {10, 12}
+    assert (tmp_path / "t" / "seen" / "base").exists() and late().count() == 0
+    assert {r.weight for r in log().collect()} == {1}  # the compaction has summed it up
+
+
+def test_a_late_row_corrects_its_successor(spark, source, tmp_path):
+    dirs = str(tmp_path / "t"), str(tmp_path / "c")
+    source.add([(0, 1, 10, "x", 1), (0, 1, 20, "x", 1), (0, 1, 30, "x", 2)])
+    _, view, _, _ = runs.stream_changes(source.stream(), *dirs, ["k"], ["seq"], ["v"])
+    assert {r.seq for r in view().collect()} == {10, 30}
+    source.add([(0, 1, 25, "x", 2), (0, 1, 5, "x", 1)])
+    _, view, log, _ = runs.stream_changes(source.stream(), *dirs, ["k"], ["seq"], ["v"])
+    assert {r.seq for r in view().collect()} == {5, 25}
+    assert sorted((r.seq, r.weight) for r in log().collect()) == [(5, 1), (10, -1), (10, 1), (25, 1), (30, -1), (30, 1)]
+    # a row that comes once more is no change
+    source.add([(0, 1, 25, "x", 2)])
+    _, view, _, _ = runs.stream_changes(source.stream(), *dirs, ["k"], ["seq"], ["v"])
+    assert {r.seq for r in view().collect()} == {5, 25}
+
+
+def test_rows_beyond_the_lateness_are_set_aside(spark, source, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "COMPACT_EVERY", 1)
+    row = lambda seq, v: (0, 1, seq, "x", v)
+    source.add([row(s, 0) for s in range(10)], [row(100, 1)], [row(95, 2), row(3, 7)], [row(101, 1)])
+    _, view, _, late = runs.stream_changes(
+        source.stream(), str(tmp_path / "t"), str(tmp_path / "c"), ["k"], ["seq"], ["v"], lateness=20)
+    assert {r.seq for r in view().collect()} == {0, 95, 100} and [r.seq for r in late().collect()] == [3]
+    kept = tables.BatchTable(spark, f"{tmp_path}/t/seen", SCHEMA).read()
+    assert {r.seq for r in kept.collect()} == {9, 95, 100, 101}
+
+
+@pytest.mark.parametrize("key", [None, ("k", "op")])
+def test_multiset_changes(spark, source, tmp_path, key, monkeypatch):
+    monkeypatch.setattr(runs, "COMPACT_EVERY", 2)
+    rows = [(s, k, seq // 20, op, v) for s, k, seq, op, v in events() if k]
+    rows += [(s, k, 9, op, v) for s, k, seq, op, v in rows if seq == 5] + [(s, k, 10, op, v) for s, k, seq, op, v in rows if seq == 5]
+    shuffled = rows[:]
+    random.Random(2).shuffle(shuffled)
+    source.add(*(cut(shuffled, 5) if key is None else [rows]))
+    _, view = runs.stream_multiset_changes(
+        source.stream(), str(tmp_path / "t"), str(tmp_path / "c"), ["scope"], ["seq"], ["k", "v"], key)
+    sets, found = {}, {(r.scope, r.seq): r.members for r in view().collect()}
+    for s, k, seq, op, v in {(r[0], r[1], r[2], r[3]): r for r in rows[::-1]}.values() if key else rows:
+        sets.setdefault((s, seq), []).append((k, v))
+    want, before = {}, {}
+    for (s, seq), members in sorted(sets.items()):
+        if before.get(s) != sorted(members):
+            want[s, seq] = len(members)
+        before[s] = sorted(members)
+    if key is None:
+        assert found == want and (0, 10) not in found and len(found) > 4
+        table = tables.BatchTable(spark, str(tmp_path / "t"), "scope INT, seq BIGINT, hash1 DECIMAL(20,0), hash2 DECIMAL(20,0), members BIGINT")
+        table.compact(4, lambda df: changes.merge_fingerprints(df, ["scope", "seq"]))
+        assert table.read().count() == len(sets)
+    else:
+        assert all(want.get(k, n) == n for k, n in found.items())
 
 
 def test_first_errors(spark, source, tmp_path):
