@@ -13,6 +13,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,23 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.common import text_bytes
 
-# characters of texts that are encoded at a time, and after which a long text is cut at the next safe place
-PIECE_CHARS = 1 << 20
+# characters of a text that are taken at a time; a long text is cut at the next safe place after as many
+PIECE_CHARS = 1 << 18
 # rank files go to all tasks, so they are bounded
 MOST_FILE_BYTES = 64 << 20
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}".encode()
 
-# A match never runs over a place between other characters and a white space, as white space only begins a match
-_CUT = re.compile(r"(?<=\S)[ \n]")
+# The characters with the Unicode property White_Space
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Some letters, in any version of Unicode, and the ASCII characters that are neither letters nor white space
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_MARK = "!-@\\[-`{-~"
+# A match holds white space at its beginning or nothing else, and no match runs on from a letter to what is none. So a text
+# can be cut before white space that follows something else, and after a letter before a mark: it is a row of units that
+# are encoded each by itself.
+_UNIT = re.compile(f"[{_SPACE}]*(?:[^{_SPACE}]*?[{_LETTER}](?=[{_MARK}])|[^{_SPACE}]+)|[{_SPACE}]+")
+_CUT = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
+_MOST_UNITS = 1 << 19
 
 
 def byte_characters():
@@ -108,32 +118,91 @@ def text_pieces(text, size=PIECE_CHARS):
     yield at, text[at:]
 
 
-def _encoded(tokenizer, texts, with_offsets, size):
-    """(ids, starts, ends) of each text; the texts are encoded in pieces, about `size` characters at a time."""
-    waiting, chars, own = [], 0, []
-
-    def flush():
-        batch = tokenizer.encode_batch if with_offsets else tokenizer.encode_batch_fast
-        for (doc, at, _), found in zip(waiting, batch([x for _, _, x in waiting], add_special_tokens=False), strict=True):
-            own[doc][0].append(np.array(found.ids, np.int32))
-            if with_offsets:
-                spans = np.array(found.offsets, np.int32).reshape(-1, 2) + np.int32(at)
-                own[doc][1].append(spans[:, 0])
-                own[doc][2].append(spans[:, 1])
-        waiting.clear()
-
-    for doc, data in enumerate(texts):
-        own.append(([], [], []))
-        for at, piece in text_pieces((data or b"").decode("utf-8", "replace"), size):
-            if piece:
-                waiting.append((doc, at, piece))
-                chars += len(piece)
-            if chars >= size:
-                flush()
-                chars = 0
-    flush()
-    none = np.zeros(0, np.int32)
-    return [tuple(np.concatenate(x) if x else none for x in parts) for parts in own]
+class Encoder:
+    """Encodes texts unit by unit; the ids and offsets of the units that came up are kept, in arrays."""
+
+    def __init__(self, tokenizer, with_offsets):
+        self.tokenizer, self.with_offsets = tokenizer, with_offsets
+        self._clear()
+
+    def _clear(self):
+        self.index, self.first, self.count, self.used = {}, np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0
+        self.flat = np.zeros((3 if self.with_offsets else 1, 1 << 12), np.int32)
+
+    def _learn(self, units):
+        """Have the library encode new units, some ten thousand characters at a time."""
+        batch = self.tokenizer.encode_batch if self.with_offsets else self.tokenizer.encode_batch_fast
+        ids, offsets, counts, at = [], [], [], 0
+        while at < len(units):
+            end, chars = at, 0
+            while end < len(units) and (end == at or chars + len(units[end]) <= 1 << 16):
+                chars += len(units[end])
+                end += 1
+            for found in batch(units[at:end], add_special_tokens=False):
+                own = found.ids
+                ids += own
+                counts.append(len(own))
+                if self.with_offsets:
+                    offsets += found.offsets
+            at = end
+        known, counts = len(self.index), np.array(counts, np.int64)
+        self.index.update(zip(units, range(known, known + len(units)), strict=True))
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.flat[0, self.used : self.used + len(ids)] = ids
+        if self.with_offsets:
+            self.flat[1:, self.used : self.used + len(ids)] = np.array(offsets, np.int32).reshape(-1, 2).T
+        self.first, self.count = _room(self.first, len(self.index)), _room(self.count, len(self.index))
+        self.count[known : len(self.index)] = counts
+        self.first[known : len(self.index)] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+
+    def _tokens(self, pieces):
+        """Arrays like those of `encode` for (place, piece) of some texts, whose new units are encoded together."""
+        if len(self.index) > _MOST_UNITS:
+            self._clear()
+        rows = [_UNIT.findall(piece) for _, piece in pieces]
+        new = [u for u in dict.fromkeys(chain.from_iterable(rows)) if u not in self.index]
+        if new:
+            self._learn(new)
+        for (at, _), units in zip(pieces, rows, strict=True):
+            place = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+            count = self.count[place]
+            out = self.flat[:, np.repeat(self.first[place] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            if self.with_offsets:
+                sizes = np.fromiter(map(len, units), np.int64, len(units))
+                out[1:] += np.repeat(at + np.cumsum(sizes) - sizes, count).astype(np.int32)
+            yield out
+
+    def encode(self, texts, size=PIECE_CHARS):
+        """ids (one row), or ids, starts and ends (three rows), of each whole text in UTF-8 or None."""
+        parts, waiting, owners, chars = [], [], [], 0
+
+        def flush():
+            for owner, found in zip(owners, self._tokens(waiting), strict=True):
+                parts[owner].append(found)
+            waiting.clear()
+            owners.clear()
+
+        for data in texts:
+            parts.append([])
+            for piece in text_pieces((data or b"").decode("utf-8", "replace"), size):
+                waiting.append(piece)
+                owners.append(len(parts) - 1)
+                chars += len(piece[1])
+                if chars >= size:
+                    flush()
+                    chars = 0
+        flush()
+        return [np.concatenate(p, axis=1) if len(p) > 1 else p[0] for p in parts]
+
+
+def _room(array, size):
+    """The array with space for `size` entries along its last axis."""
+    if size <= array.shape[-1]:
+        return array
+    out = np.zeros((*array.shape[:-1], max(size, 2 * array.shape[-1])), array.dtype)
+    out[..., : array.shape[-1]] = array
+    return out
 
 
 def _lists(arrays):
@@ -155,9 +224,9 @@ def encode(docs, path, pattern, id_col="doc_id", text_col="text", with_offsets=T
 
     def mapped(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task per core
-        tokenizer = _loaded(source.digest, pattern, source)
+        encoder = Encoder(_loaded(source.digest, pattern, source), with_offsets)
         for batch in batches:
-            found = _encoded(tokenizer, text_bytes(batch.column("text")), with_offsets, piece_chars)
+            found = encoder.encode(text_bytes(batch.column("text")), piece_chars)
             columns = [_lists([f[i] for f in found]) for i in range(3 if with_offsets else 1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *columns], names=["doc_id", "ids", "starts", "ends"][: 1 + len(columns)])
@@ -168,8 +237,8 @@ def encode(docs, path, pattern, id_col="doc_id", text_col="text", with_offsets=T
 
 
 def decode_ids(table, ids):
-    """Bytes of a list of ids; a null or unknown id gives U+FFFD."""
-    return b"".join([(table[i] if i is not None and 0 <= i < len(table) else None) or REPLACEMENT for i in ids])
+    """Bytes of a list of ids; an unknown id gives U+FFFD."""
+    return b"".join([(table[i] if 0 <= i < len(table) else None) or REPLACEMENT for i in ids])
 
 
 def token_texts(table, ids):
@@ -182,9 +251,9 @@ def token_texts(table, ids):
     return texts
 
 
-def decode(rows, path, id_col="doc_id", ids_col="ids", keep=(), by_token=False):
-    """One row per row: doc_id, the columns `keep`, data (the bytes), text (UTF-8; a character cut off by the ends of the
-    ids gives U+FFFD), with `by_token` also token_texts (the text that each id completes).
+def decode(rows, path, id_col="doc_id", ids_col="ids", keep=(), with_text=True, by_token=False):
+    """One row per row: doc_id, the columns `keep`, data (the bytes), with `with_text` also text (UTF-8; a character cut off
+    by the ends of the ids gives U+FFFD), with `by_token` also token_texts (the text that each id completes).
 
     Null ids in the list and such without a token give U+FFFD; a null or empty list gives empty data.
     """
@@ -195,13 +264,17 @@ def decode(rows, path, id_col="doc_id", ids_col="ids", keep=(), by_token=False):
     def mapped(batches):
         table = _token_bytes(source.digest, source)
         for batch in batches:
-            lists = [value.as_py() or [] for value in batch.column("ids")]
-            data = [decode_ids(table, ids) for ids in lists]
-            columns = {name: batch.column(name) for name in ("doc_id", *keep)}
-            columns |= {"data": pa.array(data, pa.binary()), "text": pa.array([x.decode("utf-8", "replace") for x in data], pa.string())}
+            found = batch.column("ids")
+            ids = found.values.cast(pa.int64()).fill_null(-1).to_numpy()
+            ends = found.offsets.to_numpy()
+            lists = [(a, b if there else a) for a, b, there in zip(ends[:-1], ends[1:], found.is_valid().to_pylist(), strict=True)]
+            data = [decode_ids(table, ids[a:b].tolist()) for a, b in lists]
+            columns = {name: batch.column(name) for name in ("doc_id", *keep)} | {"data": pa.array(data, pa.binary())}
+            if with_text:
+                columns["text"] = pa.array([x.decode("utf-8", "replace") for x in data], pa.string())
             if by_token:
-                columns["token_texts"] = pa.array([token_texts(table, ids) for ids in lists], pa.list_(pa.string()))
+                columns["token_texts"] = pa.array([token_texts(table, ids[a:b].tolist()) for a, b in lists], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    own = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *keep))
-    return rows.mapInArrow(mapped, f"{own}, data binary, text string{', token_texts array<string>' if by_token else ''}")
+    kinds |= {"data": "binary"} | ({"text": "string"} if with_text else {}) | ({"token_texts": "array<string>"} if by_token else {})
+    return rows.mapInArrow(mapped, ", ".join(f"`{c}` {k}" for c, k in kinds.items() if c != "ids"))

@@ -184,7 +184,7 @@ def op13_bpe(spark, sf_dir):
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
     )
-    rows = bpe.decode(rows, path, keep=("n_tokens", "ids_sha256"))
+    rows = bpe.decode(rows, path, keep=("n_tokens", "ids_sha256"), with_text=False)
     return rows.select("doc_id", "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
 
 

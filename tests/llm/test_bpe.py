@@ -41,17 +41,25 @@ def test_byte_characters():
     assert len(set(chars)) == 256 and chars[ord("A")] == "A" and chars[0] == "Ā" and chars[ord(" ")] == "Ġ"
 
 
-@pytest.mark.parametrize("size", [1 << 20, 50, 1])
-def test_ids_are_those_of_the_ranks(tokenizer, other, size):
+@pytest.mark.parametrize("size,most", [(1 << 18, 1 << 17), (50, 3), (1, 1 << 17)])
+def test_ids_are_those_of_the_ranks(tokenizer, other, size, most, monkeypatch):
+    monkeypatch.setattr(bpe, "_MOST_UNITS", most)
+    encoder, fast = bpe.Encoder(tokenizer, True), bpe.Encoder(tokenizer, False)
     texts = odd_texts()
-    found = bpe._encoded(tokenizer, [t.encode() for t in texts], True, size)
-    for text, (ids, starts, ends) in zip(texts, found, strict=True):
-        assert ids.tolist() == other.encode_ordinary(text)
-        for i, start, end in zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True):
+    found, plain = (e.encode([t.encode() for t in texts], size) for e in (encoder, fast))
+    for text, own, short in zip(texts, found, plain, strict=True):
+        ids, starts, ends = (x.tolist() for x in own)
+        assert ids == other.encode_ordinary(text) == short[0].tolist()
+        for i, start, end in zip(ids, starts, ends, strict=True):
             assert other.decode_single_token_bytes(i) in text[start:end].encode()
-        assert not len(text) or (starts[0] == 0 and ends[-1] == len(text))
-    fast = bpe._encoded(tokenizer, [t.encode() for t in texts], False, size)
-    assert [f[0].tolist() for f in fast] == [f[0].tolist() for f in found]
+        assert not text or (starts[0] == 0 and ends[-1] == len(text))
+
+
+def test_units_at_every_kind_of_white_space(tokenizer, other):
+    encoder = bpe.Encoder(tokenizer, False)
+    for c in [chr(p) for p in range(0x110000) if chr(p).isspace() or p in (0x180E, 0x200B, 0x2060, 0xFEFF)]:
+        for text in (f"a{c}b", f"a{c}{c}{c}b!", f"!{c}?{c}", f" {c} x{c} \n{c}y", c, c * 4):
+            assert encoder.encode([text.encode()])[0][0].tolist() == other.encode_ordinary(text)
 
 
 def test_pieces_are_cut_before_white_space():
