@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from fleetlens.plans import states
-from fleetlens.plans.payload_cases import CHECKED, _job_payloads, checked_payloads
+from fleetlens.plans.payload_cases import CHECKED, _job_payloads, _metric_payloads, checked_payloads
 from fleetlens.plans.registry import case
 from fleetlens.plans.roles import CHANGELOG, changelog, epoch_ms, set_ops, text
 from fleetlens.session import run_dir
 from fleetlens.sources import logs, tables
 from fleetlens.sources.payloads import payload_job_overview, read_payloads
-from fleetlens.streaming import runs
+from fleetlens.streaming import bounded, runs
 
 
 def _dirs(t, name):
@@ -253,6 +253,58 @@ def _(t):
     return view.select("grp", "batch", "members")
 
 
+def _listed(stream):
+    """(listings, records) of the stream of events."""
+    seen = states.snapshots(stream).select("scope", F.col("user_id").alias("k"), F.col("batch_seq").alias("seq"), "event_type")
+    return seen.filter("event_type <> 'error'").drop("event_type"), seen.filter("event_type = 'purchase'").drop("event_type")
+
+
+@case("t3_stream_folded", f"WITH {states.RECONCILED} SELECT scope, k, seq FROM kept")
+def _(t):
+    # a poll may lie in two files, so it is complete two polls later
+    listings, records = _listed(t.ordered_stream("events", F.col("event_id")))
+    return bounded.stream_reconciled(
+        listings, records, *_dirs(t, "folded"), ["scope"], ["k"], delay=2, compact_every=1)[1]()
+
+
+@case("t3_stream_reconciled_late", f"WITH {states.RECONCILED} SELECT scope, k, seq FROM kept")
+def _(t):
+    listings, records = _listed(t.shuffled_stream("events"))
+    return bounded.stream_reconciled(listings, records, *_dirs(t, "late"), ["scope"], ["k"])[1]()
+
+
+@case("t6_stream_gated_bounded", f"WITH {states.GATED} SELECT user_id, seq, value FROM gated")
+def _(t):
+    marks = states.tracking(t.ordered_stream("events", F.col("event_id")))
+    rows = t.shuffled_stream("events").filter("event_type = 'view'").select("user_id", F.col("event_id").alias("seq"), "value")
+    return bounded.stream_gated(rows, marks, *_dirs(t, "tracked"), ["user_id"], delay=0, compact_every=1)[1]()
+
+
+@case("t5_stream_watch_event_time", f"""WITH {states.WATCHED} SELECT user_id, start_ts, completed_ts,
+  CASE WHEN completed_ts IS NOT NULL THEN 'COMPLETED' WHEN (SELECT max(tms) FROM e) - 21600000 > start_ts + {states.DAY_MS}
+    THEN 'WATCH_TIMEOUT' ELSE 'IN_PROGRESS' END AS status FROM watched""")
+def _(t):
+    rows = states.timed(t.ordered_stream("events", epoch_ms("ts"))).withColumn("at", F.timestamp_millis("tms"))
+    kind = F.col("event_type")
+    view = bounded.stream_watch(
+        rows, *_dirs(t, "native"), ["user_id"], "at", kind == "signup", kind == "purchase", "1 day", "6 hours")[1]()
+    return view.select("user_id", F.unix_millis("start_ts").alias("start_ts"), F.unix_millis("completed_ts").alias("completed_ts"), "status")
+
+
+@case("s4_stream_metric_keys", """WITH m AS (SELECT event_id // 10 AS b, event_type AS id FROM events)
+  SELECT DISTINCT 'id' AS side, concat('c', b) AS cluster_id, id FROM m WHERE b % 10 <> 3
+  UNION ALL SELECT DISTINCT 'rejected', concat('c', b), NULL FROM m WHERE b % 10 = 3""")
+def _(t):
+    rows = _metric_payloads(t).withColumn("payload", F.when(F.col("batch") % 10 == 3, F.left("payload", F.lit(9))).otherwise(
+        F.col("payload"))).select("cluster_id", "payload", F.timestamp_seconds(F.col("batch") * 60 + 1_700_000_000).alias("ts"))
+    table, checkpoint = _dirs(t, "metric-keys")
+    rows.unionByName(rows).repartition(4, F.rand(1)).write.parquet(f"{table}/landed")  # each payload comes twice
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{table}/landed")
+    _, view, rejected = bounded.stream_metric_keys(stream, table, checkpoint, ["cluster_id"], delay="3650 days")
+    side = lambda df, name, col: df.select(F.lit(name).alias("side"), "cluster_id", col.alias("id"))
+    return side(view(), "id", F.col("id")).unionByName(side(rejected(), "rejected", F.lit(None).cast("string")))
+
+
 @case("a8_stream_upserts", """SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id""")
 def _(t):
     combine = [F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")]
