@@ -28,10 +28,9 @@ BUCKET_WORDS = 4_000_000
 # up to so many frequent phrases (a few longs each) go to all tasks for the semi-join; more are joined by a shuffle
 BROADCAST_ROWS = 1 << 20
 
-_SALTS = 64
+_SALTS = 16
 _SEEDS = 16
-_PIECE_ENDS = "[.,;:!?\\n\\x0B\\f\\r]"
-_BLANKS = "[ \\t]+"
+_PIECE_ENDS = ".,;:!?\x0b\f\r"  # besides the line feed
 # Buckets by piece serve a join on piece and place, and a bucket of one sorted file needs no sort
 _MERGE_SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
@@ -54,13 +53,17 @@ def _settings(spark, values):
 def pieces_of(docs, text_col="text", lang_col="lang"):
     """piece (a number), lang, piece_text of each part of a text between punctuation marks and line ends."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
-    parts = docs.select(lang.alias("lang"), F.explode(F.split(F.coalesce(text_col, F.lit("")), _PIECE_ENDS)).alias("piece_text"))
+    # one mark for all, as a split at a plain character needs no regular expression
+    text = F.replace(F.coalesce(text_col, F.lit("")), F.lit("\t"), F.lit(" "))
+    for mark in _PIECE_ENDS:
+        text = F.replace(text, F.lit(mark), F.lit("\n"))
+    parts = docs.select(lang.alias("lang"), F.explode(F.array_remove(F.split(text, "\n"), "")).alias("piece_text"))
     return parts.withColumn("piece", F.monotonically_increasing_id())
 
 
 def words_of(pieces):
     """piece, lang, place, word: one row per word of each piece, A-Z lower-cased."""
-    words = F.filter(F.split("piece_text", _BLANKS), lambda w: w != "")
+    words = F.array_remove(F.split("piece_text", " "), "")
     rows = pieces.select("piece", "lang", F.posexplode(words).alias("place", "word"))
     return rows.withColumn("word", ascii_lower(F.col("word")))
 
