@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetlens.functions import keys as K
-from fleetlens.operators import aggregates, changes, joins, query
+from fleetlens.operators import aggregates, changes, cursor, joins, query
 from fleetlens.operators.query import JobFilter, PageRequest
 from fleetlens.plans.registry import case
 from fleetlens.plans.roles import JOBS, STATE_ORDER, jobs, text
@@ -369,3 +369,26 @@ def _(t):
 def _(t):
     orders = query.order_columns((("jobName", "desc"), ("startTs", "desc")))
     return placed(query.page(jobs(t), PageRequest(3, 25), orders))
+
+
+CURSOR_ORDERS = [("state", "asc"), ("priority", "desc")]
+
+
+@case("w3_cursor_pages", """WITH o AS (SELECT CASE WHEN o_custkey % 7 <> 0 THEN o_orderstatus END AS state,
+    CASE WHEN o_custkey % 5 <> 0 THEN o_orderpriority END AS priority FROM orders)
+  SELECT state, priority, CAST((row_number() OVER (ORDER BY state NULLS FIRST, priority DESC NULLS LAST) - 1)
+    // greatest(1, (SELECT count(*) // 6 FROM o)) AS INTEGER) AS page FROM o""")
+def _(t):
+    # six full pages and the rest, each from where the one before it ended; nulls and many equal rows
+    rows = t.orders.select(
+        F.when(F.col("o_custkey") % 7 != 0, F.col("o_orderstatus")).alias("state"),
+        F.when(F.col("o_custkey") % 5 != 0, F.col("o_orderpriority")).alias("priority"))
+    total = rows.count()
+    size, at, pages = max(1, total // 6), None, []
+    for number in range(-(-total // size)):
+        pages.append(cursor.cursor_page(rows, CURSOR_ORDERS, size, at).withColumn("page", F.lit(number)))
+        at = cursor.next_cursor(pages[-1].drop("page"), CURSOR_ORDERS, at)
+    out = pages[0]
+    for part in pages[1:]:
+        out = out.unionByName(part)
+    return out

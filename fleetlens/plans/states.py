@@ -131,6 +131,53 @@ def _(t):
     )
 
 
+# the first half of each user's events, by number
+HALVES = """h AS (SELECT user_id, event_id, event_type, event_id * 2 <= min(event_id) OVER (PARTITION BY user_id)
+    + max(event_id) OVER (PARTITION BY user_id) AS early FROM events)"""
+
+
+def _halves(t):
+    ends = t.events.groupBy("user_id").agg((F.min("event_id") + F.max("event_id")).alias("ends"))
+    rows = t.events.select("user_id", "event_id", "event_type").join(ends, "user_id")
+    return rows.withColumn("early", F.col("event_id") * 2 <= F.col("ends")).drop("ends")
+
+
+@case("o1_snapshot_diff_halves", f"""WITH {HALVES}, old AS (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM h
+    WHERE early AND event_type <> 'error' AND user_id % 11 <> 0 GROUP BY 1),
+  new AS (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM h WHERE user_id % 7 <> 0 GROUP BY 1)
+  SELECT coalesce(o.user_id, n.user_id) AS user_id, o.event_type AS old_type, n.event_type AS new_type,
+    CASE WHEN o.user_id IS NULL THEN 'added' WHEN n.user_id IS NULL THEN 'removed'
+         WHEN o.event_type = n.event_type THEN 'same' ELSE 'changed' END AS change
+  FROM old o FULL JOIN new n ON o.user_id = n.user_id""")
+def _(t):
+    rows = _halves(t)
+    last = lambda df: state.latest_per_key(df.select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"])
+    old = last(rows.filter("early AND event_type <> 'error' AND user_id % 11 <> 0"))
+    diff = state.snapshot_diff(old, last(rows.filter("user_id % 7 <> 0")), ["user_id"], ["event_type"])
+    return diff.select(
+        "user_id", F.col("old.event_type").alias("old_type"), F.col("new.event_type").alias("new_type"), "change")
+
+
+@case("j7_reconcile_halves", f"""WITH {HALVES}, {LAST} SELECT user_id, event_id, event_type, value FROM last
+  WHERE user_id IN (SELECT user_id FROM h WHERE NOT early AND event_type IN ('signup', 'purchase'))""")
+def _(t):
+    listing = _halves(t).filter("NOT early AND event_type IN ('signup', 'purchase')").select("user_id").distinct()
+    return state.reconcile(_last(t), listing, ["user_id"])
+
+
+@case("a2_live_members_ties", """WITH ops AS (SELECT user_id AS k, event_id // 3 AS seq,
+    CASE WHEN event_id % 97 = 0 AND event_id * 10 <= (SELECT max(event_id) FROM events) THEN 'clear' WHEN event_type IN ('error', 'view') THEN 'remove' ELSE 'add' END AS op FROM events)
+  SELECT k FROM ops WHERE op <> 'clear' AND seq > coalesce((SELECT max(seq) FROM ops WHERE op = 'clear'), -1)
+  GROUP BY k HAVING max(seq) FILTER (op = 'add') >= coalesce(max(seq) FILTER (op = 'remove'), -1)""")
+def _(t):
+    # several events have one number: an add wins
+    kind = F.col("event_type")
+    early = F.col("event_id") * 10 <= t.events.agg(F.max("event_id")).scalar()
+    op = F.when((F.col("event_id") % 97 == 0) & early, "clear").when(kind.isin("error", "view"), "remove").otherwise("add")
+    seq = F.floor(F.col("event_id") / 3).alias("seq")
+    return state.live_members(t.events.select(F.col("user_id").alias("k"), seq, op.alias("op")), ["k"], ["seq"])
+
+
 @case("o2_keys_minus", """SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id NOT IN
   (SELECT user_id FROM events WHERE event_type = 'error' AND value > 80)""")
 def _(t):
