@@ -29,6 +29,14 @@ def written(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df, name):
+    """`name`, with underscores added until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(spark, path):
     """Delete a folder below the shared one that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

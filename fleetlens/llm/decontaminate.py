@@ -10,7 +10,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import ALNUM, pieces, text_bytes, written
+from fleetlens.llm.common import ALNUM, free_name, pieces, text_bytes, written
 
 WINDOW = 10
 # words of the test items that one automaton holds at most; longer items are cut into overlapping parts
@@ -257,31 +257,28 @@ def decontaminate(docs, benchmark, text_col="text", chars_col="n_chars", item_co
         return docs
     if second is None:
         return _cut_one_block(docs, context.broadcast(first), text_col, chars_col, window, max_coverage)
-    done, rest, most = None, docs, max_coverage
+    done, rest, most, hits = None, docs, max_coverage, free_name(docs, "_hit_spans")
     while True:
-        rest = _spanned(rest, read(), text_col, window)
-        clean = rest.where(F.size(_HITS) == 0).drop(_HITS)
+        rest = _spanned(rest, read(), text_col, window, hits)
+        clean = rest.where(F.size(hits) == 0).drop(hits)
         done = clean if done is None else done.unionByName(clean)
-        rest = rest.where(F.size(_HITS) > 0)
+        rest = rest.where(F.size(hits) > 0)
         if rest.isEmpty():
             return done
-        rest = written(_cut_spans(rest, text_col, chars_col, most), "decontaminated")
+        rest = written(_cut_spans(rest, text_col, chars_col, most, hits), "decontaminated")
         most = None  # only the text as it came counts for coverage
 
 
-_HITS = "_hit_spans"
-
-
-def _spanned(docs, blocks, text_col, window):
-    """`docs` with the merged hit spans of all blocks as a column, written."""
-    out = docs.withColumn(_HITS, F.array().cast(_SPANS))
+def _spanned(docs, blocks, text_col, window, hits):
+    """`docs` with the merged hit spans of all blocks as the column `hits`, written."""
+    out = docs.withColumn(hits, F.array().cast(_SPANS))
     for block in blocks:
         sent = docs.sparkSession.sparkContext.broadcast(block)  # at most about 2 * block_words words
 
         def found(batches, sent=sent):
             automaton = Automaton(sent.value, window)
             for batch in batches:
-                at, spans = batch.schema.get_field_index(_HITS), []
+                at, spans = batch.schema.get_field_index(hits), []
                 for data, old in zip(text_bytes(batch.column(text_col)), batch.column(at).to_pylist(), strict=True):
                     _, new, _ = automaton.scan(data or b"")
                     merged = _merge([*([x["first"], x["last"]] for x in old), *new])
@@ -292,14 +289,14 @@ def _spanned(docs, blocks, text_col, window):
     return out
 
 
-def _cut_spans(rows, text_col, chars_col, max_coverage):
+def _cut_spans(rows, text_col, chars_col, max_coverage, hits):
     """The rows of _spanned without the words of their spans; those with over `max_coverage` (if given) hit words go."""
-    schema = rows.drop(_HITS).schema
+    schema = rows.drop(hits).schema
 
     def cut(batches):
         for batch in batches:
             keep, texts = [], {}
-            spans = batch.column(_HITS).to_pylist()
+            spans = batch.column(hits).to_pylist()
             for i, data in enumerate(text_bytes(batch.column(text_col))):
                 own = [(x["first"], x["last"]) for x in spans[i]]
                 if max_coverage is not None:

@@ -104,9 +104,9 @@ def test_block_size_changes_no_decision(spark):
         (3, " ".join([*filler, *b[:6], *a[:12], *b[6:12]]), 7),
         (4, " ".join(filler), 7), (5, None, None),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, n_chars long, _hit_spans string")
     one = collected(decontaminate(docs, items))
-    assert [r[0] for r in one] == [2, 3, 4, 5]
+    assert [r[0] for r in one] == [2, 3, 4, 5] and {r[3] for r in one} == {"kept"}
     plain = [("1", a), ("2", b), ("3", c)]
     assert not any(brute(alnum_words(r[1]), plain)[0] for r in one)
     for block_words in (20, 45):
