@@ -15,14 +15,6 @@ def key(cols):
     return F.struct(*cols)
 
 
-def same_key(left, right, cols):
-    """Null-safe equality of the key columns of two aliased sides."""
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return cond
-
-
 def show_key(labels):
     """Display text `label=value, ...` from (label, column) pairs."""
     return F.concat_ws(", ", *[F.concat(F.lit(f"{label}="), F.col(c)) for label, c in labels])

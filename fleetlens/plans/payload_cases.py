@@ -419,6 +419,16 @@ def _(t):
     return out.drop("ts")
 
 
+@case("s13_main_container_log", """SELECT event_id, user_id FROM events WHERE event_type NOT IN ('click', 'error')
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3""")
+def _(t):
+    # side-car lines don't count towards the tail; lines of an unknown container belong to no log
+    kind = F.col("event_type")
+    name = F.when(kind == "click", "sidecar").when(kind == "error", None).otherwise("flink-main-container")
+    lines = t.events.select("event_id", "user_id", name.alias("container"))
+    return logs.read_log_lines(lines, tail=3, keys=["user_id"], order=["event_id"]).drop("container")
+
+
 LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)"""
 

@@ -66,18 +66,11 @@ JOB_STATES = [
 ]
 EXEC_MODES = ["kubernetes-application", "kubernetes-session", "Unknown"]
 OP_STATES = ["COMPLETED", "IN_PROGRESS"]
-SAVEPOINT_FORMATS = ["CANONICAL", "NATIVE"]
 POD_PHASES = ["Pending", "Running", "Succeeded", "Failed", "Unknown"]
 CONDITION_STATUSES = ["True", "False", "Unknown"]
-CONTAINER_STATES = ["Running", "Terminated", "Waiting", "Unknown"]
 QUANTITY_UNITS = ["n", "u", "m", "k", "M", "G", "T", "P", "E", "Ki", "Mi", "Gi", "Ti", "Pi", "Ei"]
-STATE_BACKENDS = ["hashmap", "rocksdb"]
-CHECKPOINT_STORAGES = ["jobmanager", "filesystem"]
-REST_EXPORTS = ["ClusterIP", "NodePort", "LoadBalancer", "Headless_ClusterIP"]
-RESTORE_MODES = ["CLAIM", "NO_CLAIM", "LEGACY"]
 LOG_LEVELS = ["TRACE", "DEBUG", "INFO", "WARNING", "ERROR", "FATAL"]
 CHANGE_OPS = ["Reseted", "Added", "Modified", "Deleted"]
-ORDER_SIGNS = {"asc": 1, "desc": -1}
 
 # Raw metric keys of a job.
 JOB_METRIC_KEYS = [
@@ -180,6 +173,7 @@ WORKER_METRIC_KEYS = [
 DOUBLE_METRIC_KEYS = ["Status.JVM.CPU.Load", "startWorkFailurePerSecond"]
 
 # Labels that mark the objects of a cluster.
+MAIN_CONTAINER = "flink-main-container"
 APP_LABEL = "app"
 COMPONENT_LABEL = "component"
 TYPE_LABEL = "type"

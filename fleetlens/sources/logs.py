@@ -3,11 +3,18 @@
 from pyspark.sql import functions as F
 
 from fleetlens.operators.changes import tail as last_lines
+from fleetlens.schemas import MAIN_CONTAINER
 
 
-def read_log_lines(lines, now=None, since_sec=None, tail=None, keys=("pod",), order=("line",), ts="ts"):
-    """Lines since so many seconds and / or the last n lines per pod."""
+def read_log_lines(lines, now=None, since_sec=None, tail=None, keys=("pod",), order=("line",), ts="ts",
+                   container=MAIN_CONTAINER, container_col="container"):
+    """Lines since so many seconds and / or the last n lines per pod.
+
+    Lines with a container column are those of the main container, unless `container` names another one or is None (all).
+    """
     out = lines
+    if container is not None and container_col in lines.columns:
+        out = out.filter(F.col(container_col) == container)
     if since_sec is not None:
         out = out.filter(F.col(ts) >= F.lit(now) - F.expr(f"interval {int(since_sec)} seconds"))
     return last_lines(out, list(keys), list(order), tail) if tail is not None else out

@@ -245,3 +245,15 @@ def test_a_column_named_batch_is_kept(spark, rows, tmp_path):
     table.write(rows("batch INT, day STRING", (7, "x")), 0)
     table.write(rows("batch INT, day STRING", (8, "y")), 1)
     assert sorted(tuple(r) for r in table.read().collect()) == [(7, "x"), (8, "y")]
+
+
+def test_log_of_the_main_container(rows):
+    from fleetlens.sources.logs import read_log_lines
+
+    lines = rows("pod STRING, container STRING, line INT", ("p", "flink-main-container", 1), ("p", "side", 2),
+                 ("p", "flink-main-container", 3), ("p", None, 4), ("q", "side", 1))
+    got = lambda **options: sorted((r.pod, r.line) for r in read_log_lines(lines, tail=1, **options).collect())
+    assert got() == [("p", 3)]
+    assert got(container="side") == [("p", 2), ("q", 1)]
+    assert got(container=None) == [("p", 4), ("q", 1)]
+    assert read_log_lines(lines.drop("container"), tail=2).count() == 3
