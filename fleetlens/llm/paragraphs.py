@@ -125,15 +125,16 @@ class Signer:
         self.factors = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.terms = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64)
 
-    def sign(self, sets):
-        """int64 array, one row of band hashes per set."""
-        joined = np.concatenate(sets)
-        starts = np.cumsum([0, *(s.size for s in sets[:-1])])
-        out = np.empty((len(sets), self.factors.shape[0]), np.uint64)
+    def sign(self, hashes, starts, ends):
+        """int64 array, one row of band hashes per range of shingle hashes; no range is empty."""
+        hashes = np.append(hashes, np.uint64(0))  # so that an end may be the length
+        cuts = np.column_stack([starts, ends]).ravel()
+        out = np.empty((len(starts), self.factors.shape[0]), np.uint64)
         for band, (factors, terms) in enumerate(zip(self.factors, self.terms, strict=True)):
-            key = np.full(len(sets), band + 1, np.uint64)
+            key = np.full(len(starts), band + 1, np.uint64)
             for factor, term in zip(factors, terms, strict=True):
-                key = (key ^ np.minimum.reduceat(joined * factor + term, starts)) * _MIX
+                # every second value is that of what lies between two ranges
+                key = (key ^ np.minimum.reduceat(hashes * factor + term, cuts)[::2]) * _MIX
                 key ^= key >> np.uint64(31)
             out[:, band] = key
         return out.view(np.int64)
@@ -158,7 +159,73 @@ def _windows_column(found):
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values).cast(_WINDOWS_ARROW)
 
 
-def _signed_parts(batches, bands, rows, min_words):
+def paragraph_key(words):
+    """64-bit hash of a paragraph, signed."""
+    value = xxhash.xxh3_64_intdigest(b" ".join(words))
+    return value - (1 << 64) if value >> 63 else value
+
+
+class _Parts:
+    """Columns of the documents of a batch: paragraphs, words, lines that are compared, windows."""
+
+    def __init__(self, signer, seen, min_words, with_windows):
+        self.signer, self.seen, self.min_words, self.with_windows = signer, seen, min_words, with_windows
+        self.counts, self.totals, self.windows, self.sizes = [], [], [], []
+        self.no, self.words, self.key, self.signed, self.bands = [], [], [], [], []
+        self.hashes, self.starts, self.ends, self.waiting = [], [], [], 0
+
+    def add(self, data):
+        n, own, compared = 0, [], len(self.no)
+        for words in paragraphs(data or b""):
+            hashes = word_hashes(words)
+            own.append(hashes)
+            n += 1
+            if len(words) < self.min_words:
+                continue
+            key = paragraph_key(words)
+            sign = len(words) >= SHINGLE_WORDS and key not in self.seen
+            self.no.append(n - 1)
+            self.words.append(len(words))
+            self.key.append(key)
+            self.signed.append(sign)
+            if sign:
+                if len(self.seen) >= _SEEN:
+                    self.seen.clear()
+                self.seen.add(key)
+                self.starts.append(self.waiting)
+                self.ends.append(self.waiting + len(words) - SHINGLE_WORDS + 1)
+                self.hashes.append(hashes)
+                self.waiting += len(words)
+                if self.waiting > _BATCH_SHINGLES:
+                    self._sign()
+        hashes = np.concatenate(own) if own else np.zeros(0, np.uint64)
+        self.counts.append(n)
+        self.totals.append(hashes.size)
+        self.windows.append(passages(hashes if self.with_windows else hashes[:0]))
+        self.sizes.append(len(self.no) - compared)
+
+    def _sign(self):
+        if self.starts:
+            hashes = np.concatenate(self.hashes)
+            rolled = _rolled(hashes, np.arange(hashes.size - SHINGLE_WORDS + 1), SHINGLE_WORDS)
+            self.bands.append(self.signer.sign(rolled, self.starts, self.ends))
+        self.hashes, self.starts, self.ends, self.waiting = [], [], [], 0
+
+    def columns(self):
+        self._sign()
+        width = self.signer.factors.shape[0]
+        signed = np.array(self.signed, bool)
+        ends = np.concatenate([[0], np.cumsum(signed * width)]).astype(np.int32)
+        values = np.concatenate(self.bands).ravel() if self.bands else np.zeros(0, np.int64)
+        bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()), mask=pa.array(~signed))
+        fields = [pa.array(self.no, pa.int32()), pa.array(self.words, pa.int64()), pa.array(self.key, pa.int64()), bands]
+        parts = pa.StructArray.from_arrays(fields, names=["no", "words", "key", "bands"])
+        ends = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int32)
+        parts = pa.ListArray.from_arrays(pa.array(ends), parts).cast(_PARTS_ARROW)
+        return [pa.array(self.counts, pa.int64()), pa.array(self.totals, pa.int64()), parts, _windows_column(self.windows)]
+
+
+def _signed_parts(batches, bands, rows, min_words, with_windows=True):
     """Per document the number of paragraphs and words, number, words, key and bands of the lines that are compared, and
     the windows of the text.
 
@@ -167,45 +234,15 @@ def _signed_parts(batches, bands, rows, min_words):
     """
     signer, seen = Signer(bands, rows), set()
     for batch in batches:
-        counts, totals, parts, windows, waiting, size = [], [], [], [], [], 0
+        parts = _Parts(signer, seen, min_words, with_windows)
         for data in text_bytes(batch.column("text")):
-            n, hashes, own = 0, [], []
-            for n, words in enumerate(paragraphs(data or b""), 1):
-                hashes.append(word_hashes(words))
-                if len(words) < min_words:
-                    continue
-                key = int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
-                part = {"no": n - 1, "words": len(words), "key": key, "bands": None}
-                own.append(part)
-                if len(words) >= SHINGLE_WORDS and key not in seen:
-                    if len(seen) >= _SEEN:
-                        seen.clear()
-                    seen.add(key)
-                    waiting.append((part, _shingles(hashes[-1])))
-                    size += waiting[-1][1].size
-                    if size > _BATCH_SHINGLES:
-                        _put_bands(signer, waiting)
-                        size = 0
-            counts.append(n)
-            hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-            totals.append(hashes.size)
-            windows.append(passages(hashes))
-            parts.append(own)
-        _put_bands(signer, waiting)
+            parts.add(data)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("uid"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(totals, pa.int64()),
-             pa.array(parts, _PARTS_ARROW), _windows_column(windows)],
-            names=["uid", "doc_id", "n_paragraphs", "n_words", "parts", "windows"],
+            [batch.column("uid"), batch.column("doc_id"), batch.column("at"), *parts.columns()],
+            names=["uid", "doc_id", "at", "n_paragraphs", "n_words", "parts", "windows"],
         )
 
 
-def _put_bands(signer, waiting):
-    if waiting:
-        for (part, _), row in zip(waiting, signer.sign([s for _, s in waiting]), strict=True):
-            part["bands"] = row.tolist()
-        waiting.clear()
-
-
 def _stars(batches):
     """band, a, b: the first key of each bucket with each other one; the rows are sorted by band and key."""
     band = first = last = None
@@ -231,7 +268,9 @@ def _sets(batches):
         for data, asked in zip(text_bytes(batch.column("text")), batch.column("keys").to_pylist(), strict=True):
             asked = set(asked)
             for words in paragraphs(data or b""):
-                key = int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
+                if not asked:
+                    break
+                key = paragraph_key(words)
                 if key in asked:
                     asked.remove(key)
                     keys.append(key)
@@ -279,19 +318,18 @@ def _compared(rows, similarity):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def paragraph_links(docs, parts, similarity=SIMILARITY, block_rows=BLOCK_ROWS):
-    """Links a, b between the keys of different paragraphs, enough for the components of all verified pairs.
-
-    `docs` has doc_id and text; `parts` the rows doc_id, no, key, bands.
-    """
+def star_links(docs, parts, similarity=SIMILARITY):
+    """(stars, sets, links): the first key of each band with each other one, the shingles of these keys, and the links a, b
+    of those pairs that are near. `docs` and `parts` are those of paragraph_links."""
     banded = parts.where("bands IS NOT NULL").select("key", F.explode("bands").alias("band"))
     stars = banded.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_stars, "band long, a long, b long")
     stars = written(stars, "paragraph-stars")
     asked = stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()
-    at = parts.join(asked, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "no")).alias("at"))
-    at = at.groupBy(F.col("at.doc_id").alias("_id")).agg(F.collect_list("key").alias("keys"))  # of one document
-    asked_docs = docs.join(at, docs["doc_id"].eqNullSafe(at["_id"])).select("text", "keys")
-    sets = asked_docs.mapInArrow(_sets, "key long, shingles array<long>")
+    # each paragraph is read from one text, which its hash and id tell, whatever ids are null or repeated
+    at = parts.join(asked, "key", "left_semi").groupBy("key").agg(F.min(F.struct("at", "doc_id")).alias("where"))
+    at = at.groupBy(F.col("where.at").alias("_at"), F.col("where.doc_id").alias("_id")).agg(F.collect_list("key").alias("keys"))
+    here = (F.xxhash64("text") == at["_at"]) & docs["doc_id"].eqNullSafe(at["_id"])
+    sets = docs.join(at, here).select("text", "keys").mapInArrow(_sets, "key long, shingles array<long>")
     # a repeated document id may give a paragraph twice
     sets = written(sets.dropDuplicates(["key"]), "paragraph-sets")
 
@@ -302,6 +340,15 @@ def paragraph_links(docs, parts, similarity=SIMILARITY, block_rows=BLOCK_ROWS):
     near = common >= similarity * (F.size("x") + F.size("y") - common)
     links = written(both.where(near).select("a", "b"), "paragraph-links")
 
+    return stars, sets, links
+
+
+def paragraph_links(docs, parts, similarity=SIMILARITY, block_rows=BLOCK_ROWS):
+    """Links a, b between the keys of different paragraphs, enough for the components of all verified pairs.
+
+    `docs` has doc_id and text; `parts` the rows doc_id, at (hash of the text), no, key, bands.
+    """
+    stars, sets, links = star_links(docs, parts, similarity)
     roots = components(links, "paragraphs")
     members = stars.select("band", F.col("b").alias("key")).union(stars.select("band", "a")).distinct()
     members = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
@@ -328,16 +375,17 @@ def paragraph_classes(docs, id_col="doc_id", text_col="text", similarity=SIMILAR
     each with uid, doc_id, no, words, class_id, class_rows, first_doc_id and `stays`, which is true for the first of each class."""
     bands, rows = tune_bands(similarity, recall)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = own.withColumn("text", F.coalesce("text", F.lit("")))
     kind = own.schema["doc_id"].dataType.simpleString()
-    table = own.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
+    table = own.withColumns({"uid": F.monotonically_increasing_id(), "at": F.xxhash64("text")}).mapInArrow(
         lambda batches: _signed_parts(batches, bands, rows, min_words),
-        f"uid long, doc_id {kind}, n_paragraphs long, n_words long, parts {_PARTS}, windows {_WINDOWS}",
+        f"uid long, doc_id {kind}, at long, n_paragraphs long, n_words long, parts {_PARTS}, windows {_WINDOWS}",
     )
     table = written(table, "paragraph-parts")
-    parts = table.select("uid", "doc_id", F.explode("parts").alias("part")).select("uid", "doc_id", "part.*")
-    links = paragraph_links(own, parts.select("doc_id", "no", "key", "bands"), similarity, block_rows)
+    parts = table.select("uid", "doc_id", "at", F.explode("parts").alias("part")).select("uid", "doc_id", "at", "part.*")
+    links = paragraph_links(own, parts.select("doc_id", "at", "no", "key", "bands"), similarity, block_rows)
     roots = components(links, "paragraph-classes").select(F.col("node").alias("key"), "root")
-    parts = parts.drop("bands").join(roots, "key", "left").withColumn("class_id", F.coalesce("root", "key")).drop("root")
+    parts = parts.drop("bands", "at").join(roots, "key", "left").withColumn("class_id", F.coalesce("root", "key")).drop("root")
     parts = written(parts, "paragraph-keys")
     classes = parts.groupBy("class_id").agg(
         F.count("*").alias("class_rows"), F.min(F.struct("doc_id", "no", "uid")).alias("first")
@@ -355,12 +403,12 @@ def shared_passages(table):
     passage_doc_ids (the first document of each), passage_ids (keys of the windows)."""
     rows = table.select("uid", "doc_id", F.explode("windows").alias("window")).select("uid", "doc_id", "window.*")
     found = rows.groupBy("key").agg(
-        F.min("uid").alias("least"), F.max("uid").alias("most"), F.max(F.col("again").cast("int")).alias("again")
+        F.min("uid").alias("least"), F.max("uid").alias("most"), F.max(F.col("again").cast("int")).alias("again"),
+        F.min(F.struct("doc_id")).alias("first"),
     )
-    found = written(found.where("least <> most OR again = 1").select("key"), "passage-keys")
-    rows = written(rows.select("uid", "doc_id", "place", "key").join(found, "key"), "passages")
-    first = rows.groupBy("key").agg(F.min(F.struct("doc_id")).alias("first"))
-    rows = rows.join(written(first, "passage-firsts"), "key")
+    found = written(found.where("least <> most OR again = 1").select("key", "first"), "passage-keys")
+    # nothing is grouped by key after this join, so adaptive execution splits a key with very many rows
+    rows = rows.select("uid", "place", "key").join(found, "key")
     own = rows.groupBy("uid").agg(  # of one document
         F.sort_array(F.collect_list("place")).alias("places"), F.collect_set("first.doc_id").alias("passage_doc_ids"),
         F.collect_set("key").alias("passage_ids"),
@@ -391,7 +439,7 @@ def repeated_paragraphs(docs, id_col="doc_id", text_col="text", similarity=SIMIL
         F.count(F.when(~F.col("stays"), 1)).alias("n_removed"),
         F.collect_set("first_doc_id").alias("first_doc_ids"), F.collect_set("class_id").alias("class_ids"),
     )
-    rows = table.drop("windows").join(own, "uid", "left").join(shared_passages(table), "uid", "left")
+    rows = table.drop("windows", "at").join(own, "uid", "left").join(shared_passages(table), "uid", "left")
     count = lambda name: F.coalesce(name, F.lit(0).cast("long"))
     both = lambda a, b, kind: F.sort_array(
         F.array_union(*[F.coalesce(x, F.array().cast(f"array<{kind}>")) for x in (a, b)]))
@@ -402,3 +450,24 @@ def repeated_paragraphs(docs, id_col="doc_id", text_col="text", similarity=SIMIL
         both("class_ids", "passage_ids", "long").alias("class_ids"),
         "n_words", count("n_repeated_words").alias("n_repeated_words"), count("n_passage_words").alias("n_passage_words"),
     )
+
+
+def near_documents(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY, recall=0.95, most=20):
+    """doc_id and class_id of each document with words: whole texts as one paragraph each, in the same bands.
+
+    Bands are long, so that only near texts meet; each text is compared with the first one of each of its bands. That finds
+    a pair of the given similarity with the given probability, unless another text stands before both in all their
+    common bands and is near to neither.
+    """
+    bands, rows = tune_bands(similarity, recall, most)
+    text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(" "))
+    own = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    table = own.withColumns({"uid": F.lit(0).cast("long"), "at": F.xxhash64("text")}).mapInArrow(
+        lambda batches: _signed_parts(batches, bands, rows, 1, with_windows=False),
+        f"uid long, doc_id {kind}, at long, n_paragraphs long, n_words long, parts {_PARTS}, windows {_WINDOWS}",
+    )
+    parts = written(table.select("doc_id", "at", F.explode("parts").alias("part")).select("doc_id", "at", "part.*"), "document-parts")
+    _, _, links = star_links(own, parts.select("doc_id", "at", "no", "key", "bands"), similarity)
+    roots = components(links, "documents").select(F.col("node").alias("key"), "root")
+    return parts.join(roots, "key", "left").select("doc_id", F.coalesce("root", "key").alias("class_id"))

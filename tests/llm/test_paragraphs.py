@@ -88,6 +88,7 @@ def test_unsettled_buckets_are_compared_in_blocks(spark):
     table = [(d, no, w) for d, t in rows for no, w in enumerate(op.paragraphs(t.encode())) if len(w) >= 20]
     key = lambda w: int(op.np.uint64(op.xxhash.xxh3_64_intdigest(b" ".join(w))).view(op.np.int64))
     parts = spark.createDataFrame([(d, no, key(w), [1]) for d, no, w in table], "doc_id long, no int, key long, bands array<long>")
+    parts = parts.join(own.select("doc_id", F.xxhash64("text").alias("at")), "doc_id")
     links = {(r["a"], r["b"]) for r in op.paragraph_links(own, parts, block_rows=5).collect()}
     keys = sorted({key(w) for _, _, w in table})
     sets = {key(w): shingle_set(w) for _, _, w in table}
