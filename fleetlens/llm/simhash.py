@@ -11,7 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import LOWER, components, pieces, signed, text_bytes, written
+from fleetlens.llm.common import LOWER, components, numbered, pieces, signed, text_bytes, written
+from fleetlens.llm.paragraphs import near_documents
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -266,3 +267,26 @@ def simhash_groups(docs, id_col="doc_id", text_col="text", max_bits=MAX_BITS, wo
     return rows.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def near_groups(docs, id_col="doc_id", text_col="text", similarity=0.8):
+    """id and component (the smallest id that links reach) of each document, by fingerprints and by verified similarity.
+
+    Fingerprints of 64 bits link texts within 3 bits, which a few changed words exceed. So texts whose five-word shingles
+    have a Jaccard coefficient of `similarity` or more are linked too: MinHash bands propose the pairs and the shingles
+    decide. Ids must be unique and not null; null and empty texts are linked by their fingerprint, as in simhash_groups.
+    """
+    prints = simhash_groups(docs, id_col, text_col)
+    near = near_documents(docs, id_col, text_col, similarity)
+    first = written(near.groupBy("class_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "near-first")
+    near = near.join(first, "class_id").select("doc_id", "first")
+    links = prints.select("doc_id", F.col("component_id").alias("first")).union(near).where("doc_id <> first")
+    # the components run over numbers of the linked ids
+    ids = links.select("doc_id").union(links.select("first")).distinct()
+    ids = written(numbered(ids, ["doc_id"], "near-ids"), "near-numbers")
+    side = lambda name, n: ids.select(F.col("doc_id").alias(name), F.col("number").alias(n))
+    links = links.join(side("doc_id", "a"), "doc_id").join(side("first", "b"), "first").select("a", "b")
+    roots = components(links, "near").join(side("_id", "node"), "node").join(side("component_id", "root"), "root")
+    rows = docs.select(F.col(id_col).alias("doc_id"))
+    return rows.join(roots.select(F.col("_id").alias("doc_id"), "component_id"), "doc_id", "left").select(
+        "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

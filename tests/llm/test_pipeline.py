@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from helpers import alnum_words, ascii_lower, components
+from helpers import alnum_words, ascii_lower, components, plain_words
 from test_decontaminate import brute as benchmark_brute
 from test_mixing import brute_targets, source_sizes
 from test_simhash import brute_fingerprint
@@ -60,14 +60,55 @@ def test_exact_dedup(stages):
     assert ids(after) == set(keep.values()) and 903 in keep.values()
 
 
+def shingles5(text):
+    words = plain_words(ascii_lower(text))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
 def test_near_dedup(stages):
     before, after, _ = stages[0]["near_dedup"]
     rows = sorted(before, key=lambda r: r["doc_id"])
-    prints = [brute_fingerprint(r["text"]) for r in rows]
-    comp = components(len(rows), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    prints, sets = [brute_fingerprint(r["text"]) for r in rows], [shingles5(r["text"]) for r in rows]
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
+    comp = components(len(rows), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3 or near(a, b))
     assert ids(after) == {rows[c]["doc_id"] for c in comp}
 
 
+def test_near_copies_are_found(spark):
+    """At least 0.9 of the pairs with a Jaccard coefficient of 0.8 or a little more."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = []
+    for i in range(60):
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for at in range(7, 300, 50 if i % 2 else 60):
+            copy[at] = word()
+        rows += [(2 * i, " ".join(base[:150]) + "\n" + " ".join(base[150:])), (2 * i + 1, " ".join(copy))]
+    pairs = [i for i in range(60) if 5 * len(shingles5(rows[2 * i][1]) & shingles5(rows[2 * i + 1][1])) >=
+             4 * len(shingles5(rows[2 * i][1]) | shingles5(rows[2 * i + 1][1]))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = ids(corpus_pipeline.near_dedup_stage(spark, frame, "").collect())
+    assert len(pairs) > 50 and {2 * i for i in range(60)} <= left
+    assert sum(2 * i + 1 not in left for i in pairs) >= 0.9 * len(pairs)
+
+
+def test_clashing_columns_empty_tables_and_no_labels(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, _row string, _hit_spans int, kept_row int"
+    text = "some words of a text that is long enough to be read twice"
+    rows = [(1, text, None, "s", 1, "r", "u", 3, 4), (2, text.upper(), None, "s", 1, "r", "u", 3, 4), (3, "123", None, None, 1, "r", "u", 3, 4),
+            (4, "other words", None, None, 1, "r", "u", 3, 4)]
+    spark.createDataFrame([(1, "not in any text at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for data, want in ((rows, {2, 4}), ([], set())):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "mixing":
+                assert out.columns == docs.columns and [tuple(r)[5:] for r in out.collect()] == [("r", "u", 3, 4)] * out.count()
+                docs = out
+        assert ids(out.collect()) == want
+
+
 def test_decontamination(stages):
     before, after, _ = stages[0]["decontamination"]
     items = [(str(r["item_id"]), alnum_words(r["text"])) for r in stages[1]]
