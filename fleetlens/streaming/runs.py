@@ -299,8 +299,8 @@ def stream_usage(pods, readings, path, checkpoint, scope, key, seq="seq", op="op
 
 
 def stream_first_errors(stream, path, checkpoint, keys, order, is_error, message, **options):
-    """First error of each run of equal errors, per key; successes do not count."""
-    return stream_changes(stream, path, checkpoint, keys, order, [message], where=is_error, **options)
+    """First error of each run of equal errors, per key; successes do not count. Gives (query, view)."""
+    return stream_changes(stream, path, checkpoint, keys, order, [message], where=is_error, **options)[:2]
 
 
 def stream_watch(stream, table_path, checkpoint, keys, ts, is_start, is_done, timeout, rows=None, **options):
