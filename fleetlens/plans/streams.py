@@ -1,5 +1,6 @@
 """Current and history tables, and the streaming forms. The streams read the sample tables as files."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetlens.plans import states
@@ -71,6 +72,25 @@ def _(t):
     return tables.history_of(rows, "c2", "ns", "16").select(OV_COLS)
 
 
+POLLS = 6
+
+
+@case("s19_history_newest_first", f"""WITH {OVERVIEWS}, polls AS (SELECT * REPLACE ({BATCH_1} + 40000000 * p AS ts),
+    p FROM first, range({POLLS}) r(p) WHERE (CAST(job_id AS BIGINT) + p) % 3 > 0)
+  SELECT cluster_id, job_id, state, task_running, ts, row_number() OVER (ORDER BY ts DESC) AS place FROM polls
+  WHERE cluster_id = 'c2' AND job_id = '16'""")
+def _(t):
+    # six polls over three days, two of three jobs in each; the first four are merged
+    table = tables.history_table(t.spark, _dirs(t, "history")[0])
+    jobs = _overviews(t, BATCH_1)
+    for p in range(POLLS):
+        seen = jobs.filter((F.col("job_id").cast("bigint") + p) % 3 > 0)
+        tables.write_history(seen.withColumn("ts", F.lit(BATCH_1 + 40_000_000 * p)), table, p)
+    tables.fold_history(table, 3)
+    rows = tables.history_of(table.read(), "c2", "ns", "16")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("ts"))).cast("bigint")).select(*OV_COLS, "place")
+
+
 @case("s20_delete_keys", f"""WITH {OVERVIEWS} SELECT * FROM first WHERE cluster_id <> 'c3'
   AND job_id NOT IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)""")
 def _(t):

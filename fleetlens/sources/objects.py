@@ -7,8 +7,9 @@ from fleetlens import schemas as S
 from fleetlens.functions.columns import decode_enum
 from fleetlens.functions.keys import CLUSTER
 from fleetlens.functions.quantity import parse_quantity
-from fleetlens.operators.query import quarantine
+from fleetlens.operators.query import quarantine, with_broken_rules
 from fleetlens.operators.state import latest_per_key
+from fleetlens.session import run_dir
 from fleetlens.sources.payloads import parsed
 
 
@@ -93,16 +94,25 @@ def _base(labels):
     }
 
 
-def _rows(df, schema, labels, cols, extra_rules=None):
+def _rows(df, shape):
     """(good, bad): bad rows lack a required field."""
-    typed = parsed(df, schema, "object", "_o").withColumns({**_base(labels(F.col("_o"))), **cols})
+    schema, cols, rules, helpers = shape
+    good, bad = quarantine(parsed(df, schema, "object", "_o").withColumns(cols), rules)
+    return good.drop("_o", "object", *helpers), bad.drop("_o", *helpers)
+
+
+def _shape(schema, labels, cols, extra_rules, helpers=()):
+    """How a kind is read: (schema, columns over `_o`, rules over the columns, columns that only rules need)."""
     rules = {c: F.col(c).isNotNull() for c in ("cluster_id", "namespace", "name", "component", "create_time")}
-    good, bad = quarantine(typed, rules | (extra_rules or {}))
-    return good.drop("_o", "object"), bad.drop("_o")
+    return schema, {**_base(labels), **cols}, rules | extra_rules, helpers
 
 
 def service_rows(df):
     """(services, rejected) from service objects. Ports without name, protocol or target port are dropped."""
+    return _rows(df, _service_shape())
+
+
+def _service_shape():
     ports = F.coalesce(F.col("_o")["spec"]["ports"], F.array().cast(
         "array<struct<name:string,protocol:string,port:int,targetPort:string>>"))
     whole = F.filter(
@@ -122,11 +132,15 @@ def service_rows(df):
         "is_rest": F.col("_o")["metadata"]["name"].endswith(S.REST_SUFFIX),
     }
     numbers = {"target_port": F.forall("ports", lambda p: p["target_port"].isNotNull())}
-    return _rows(df, S.SERVICE_OBJECT, lambda o: o["spec"]["selector"], cols, numbers)
+    return _shape(S.SERVICE_OBJECT, F.col("_o")["spec"]["selector"], cols, numbers)
 
 
 def deployment_rows(df):
     """(deployments, rejected) from deployment objects. Missing counts are 0."""
+    return _rows(df, _deployment_shape())
+
+
+def _deployment_shape():
     o = F.col("_o")
     counts = {
         "observed_generation": "observedGeneration", "replicas": "replicas", "ready_replicas": "readyReplicas",
@@ -136,14 +150,16 @@ def deployment_rows(df):
     cols = {name: F.coalesce(o["status"][raw], F.lit(0)) for name, raw in counts.items()}
     cols["conditions"] = normalize_conditions(o["status"]["conditions"])
     cols["has_status"] = o["status"].isNotNull()
-    good, bad = _rows(
-        df, S.DEPLOYMENT_OBJECT, lambda x: x["spec"]["selector"]["matchLabels"], cols, {"status": F.col("has_status")}
-    )
-    return good.drop("has_status"), bad.drop("has_status")
+    labels = o["spec"]["selector"]["matchLabels"]
+    return _shape(S.DEPLOYMENT_OBJECT, labels, cols, {"status": F.col("has_status")}, ["has_status"])
 
 
 def pod_rows(df):
     """(pods, rejected) from pod objects, with the resources of each container looked up by name in the same row."""
+    return _rows(df, _pod_shape())
+
+
+def _pod_shape():
     o = F.col("_o")
     specs = F.coalesce(o["spec"]["containers"], F.array().cast(_pod_type("spec", "containers")))
     statuses = F.coalesce(o["status"]["containerStatuses"], F.array().cast(_pod_type("status", "containerStatuses")))
@@ -178,18 +194,56 @@ def pod_rows(df):
         "start_time": _epoch(o["status"]["startTime"]),
         "has_parts": o["spec"].isNotNull() & o["status"].isNotNull(),
     }
-    good, bad = _rows(df, S.POD_OBJECT, lambda x: x["metadata"]["labels"], cols, {"parts": F.col("has_parts")})
-    return good.drop("has_parts"), bad.drop("has_parts")
+    return _shape(S.POD_OBJECT, o["metadata"]["labels"], cols, {"parts": F.col("has_parts")}, ["has_parts"])
 
 
 def _pod_type(part, name):
     return T.StructType.fromDDL(S.POD_OBJECT)[part].dataType[name].dataType
 
 
-def workload_rows(objects):
-    """Typed rows of all kinds: {kind: (good, bad)} from one table of (kind, object)."""
-    readers = {"deployment": deployment_rows, "service": service_rows, "pod": pod_rows}
-    return {k: read(objects.filter(F.col("kind") == k)) for k, read in readers.items()}
+_SHAPES = {"deployment": _deployment_shape, "service": _service_shape, "pod": _pod_shape}
+
+
+def route_workloads(objects):
+    """One row per object of a known kind, in one scan: `kind`, `good`, `broken_rules`, the columns of the input in
+    `source`, and the typed columns in a struct named like the kind (null for the other kinds).
+
+    An object is parsed once, by the reader of its kind.
+    """
+    rows = objects.filter(F.col("kind").isin(*_SHAPES)).select(F.struct(*objects.columns).alias("source"), "kind")
+    done = []
+    for kind, shape in _SHAPES.items():
+        schema, cols, rules, helpers = shape()
+        mine = F.col("kind") == kind
+        typed = parsed(rows, schema, F.when(mine, F.col("source.object")), "_o").withColumns(cols)
+        typed = with_broken_rules(typed, rules)
+        names = [c for c in cols if c not in helpers]
+        row = F.when(mine, F.struct(*names)).alias(kind)
+        rows = typed.select("source", "kind", *done, row, F.when(mine, F.col("broken_rules")).alias(f"broken_{kind}"))
+        done += [kind, f"broken_{kind}"]
+    broken = F.coalesce(*[F.col(f"broken_{k}") for k in _SHAPES])
+    return rows.select("source", "kind", *_SHAPES, broken.alias("broken_rules"), (F.size(broken) == 0).alias("good"))
+
+
+def workloads_of(routed, kind):
+    """(good, bad) of one kind from routed rows, in the columns of the kind's own reader."""
+    cols = routed.schema[kind].dataType.names
+    kept = [F.col(f"source.{c}") for c in routed.schema["source"].dataType.names if c not in cols]
+    mine = routed.filter(F.col("kind") == kind).select(*kept, f"{kind}.*", "broken_rules", F.col("good").alias("_good"))
+    return mine.filter("_good").drop("_good", "object", "broken_rules"), mine.filter("NOT _good").drop("_good")
+
+
+def workload_rows(objects, path=None):
+    """Typed rows of all kinds: {kind: (good, bad)} from one table of (kind, object).
+
+    The objects are read and parsed once and written below `path` (a run's own folder if not given), partitioned by kind
+    and `good`, so that each of the frames reads its own rows only.
+    """
+    spark, routed = objects.sparkSession, route_workloads(objects)
+    path = path or run_dir(spark, "workloads")
+    routed.write.mode("overwrite").partitionBy("kind", "good").parquet(path)
+    held = spark.read.schema(routed.schema).parquet(path)
+    return {kind: workloads_of(held, kind) for kind in _SHAPES}
 
 
 def unknown_kinds(objects, kinds=("deployment", "service", "pod")):

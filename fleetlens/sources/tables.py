@@ -2,7 +2,8 @@
 
 A table is a folder with one sub-folder per batch id. A batch is written with overwrite, so a repeated batch gives the
 same table, and it counts once its job has committed. Reading merges the batches (last write wins), so an upsert never
-rewrites rows that it does not touch; `compact` folds old batches into a base from time to time.
+rewrites rows that it does not touch; `compact` folds old batches into a base from time to time. A table that only grows
+(history) uses `fold` instead, which merges the batches since the last fold and rewrites no older rows.
 """
 
 from pyspark.sql import functions as F
@@ -17,11 +18,18 @@ from fleetlens.schemas import TASK_STATES
 BATCH = "fleetlens_batch"
 
 
+# Folders of merged batches, the longest runs first.
+FOLDS = ("fold2", "fold1")
+
+
 class BatchTable:
-    """Folder of committed batches below `delta` and, after compaction, below `base`."""
+    """Folder of committed batches below `delta` and, after compaction or folding, below `base`, `fold1` and `fold2`.
+
+    `bloom` names columns whose files get Bloom filters, so that a search for one value skips the row groups without it.
+    """
 
-    def __init__(self, spark, path, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark, path, schema, bloom=()):
+        self.spark, self.path, self.schema, self.bloom = spark, path.rstrip("/"), schema, tuple(bloom)
 
     def _committed(self, kind):
         """Ids of the committed batches: a listing of folder names on the driver, one per batch."""
@@ -43,18 +51,24 @@ class BatchTable:
         if sort:
             # so that row groups cover few keys and a filter on a key skips most of them
             rows = rows.sortWithinPartitions(*sort)
-        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/{kind}/{BATCH}={batch_id}")
+        writer = rows.write.mode("overwrite").partitionBy(*partition_by)
+        for c in self.bloom:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{self.path}/{kind}/{BATCH}={batch_id}")
 
     def _fields(self):
         return self.schema if isinstance(self.schema, T.StructType) else T.StructType.fromDDL(self.schema)
 
     def read(self, before=None):
-        """Rows of all committed batches (with an id below `before`): the newest base and the batches after it."""
+        """Rows of all committed batches (with an id below `before`): the newest base, the folds after it, the batches
+        after those."""
         below = lambda ids: [i for i in ids if before is None or i < before]
-        base = below(self._committed("base"))[-1:]
-        after = [i for i in below(self._committed("delta")) if not base or i > base[0]]
+        parts, top = [("base", below(self._committed("base"))[-1:])], -1
+        for kind in (*FOLDS, "delta"):
+            top = max([top, *parts[-1][1]])
+            parts.append((kind, [i for i in below(self._committed(kind)) if i > top]))
         rows = self.spark.createDataFrame([], self._fields())
-        for kind, ids in (("base", base), ("delta", after)):
+        for kind, ids in parts:
             if ids:
                 rows = rows.unionByName(self._scan(kind, ids))
         return rows
@@ -76,6 +90,22 @@ class BatchTable:
             self._delete("delta", lambda i: i <= before[0])
             self._delete("base", lambda i: i < before[0])
 
+    def fold(self, batch_id, reduce=lambda df: df, level=1, **layout):
+        """Merge the batches since the last fold, up to and including this one, into one folder: fewer and longer files,
+        and each row is written once per level. Level 2 merges the folds of level 1. `layout` is that of `write`.
+
+        Batches that the fold before this one had merged are deleted then, as in `compact`. A repeated fold does nothing.
+        """
+        source, target = ("delta", "fold1") if level == 1 else ("fold1", "fold2")
+        done = self._committed(target)
+        # a fold of level 1 also ends where level 2 does
+        last = max([-1, *done, *(self._committed("fold2") if level == 1 else [])])
+        ids = [i for i in self._committed(source) if last < i <= batch_id]
+        if ids:
+            # named after its last batch, so that what comes after it is read on
+            self.write(reduce(self._scan(source, ids)), ids[-1], kind=target, **layout)
+            self._delete(source, lambda i: i <= last)
+
     def _delete(self, kind, where):
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         for i in filter(where, self._committed(kind)):
@@ -104,18 +134,28 @@ def newest_by_key(df, keys, order):
 
 
 def history_table(spark, path, schema=HISTORY):
-    return BatchTable(spark, path, f"{schema}, day DATE")
+    return BatchTable(spark, path, f"{schema}, day DATE", bloom=["job_id"])
+
+
+# Fixed layout: time ranges prune folders, and within a file a job's rows lie together.
+HISTORY_LAYOUT = {"partition_by": ["day"], "sort": ["day", *JOB, "ts"]}
 
 
 def write_history(df, table, batch_id):
     """Append overviews; the key includes the ingest time. Partitioned by day, so that time ranges prune folders."""
     rows = newest_by_key(flatten_tasks(df), [*JOB, "ts"], ())
     rows = rows.withColumn("day", F.to_date(F.timestamp_millis("ts")))
-    table.write(rows, batch_id, ["day"], sort=["day", *JOB, "ts"])
+    table.write(rows, batch_id, **HISTORY_LAYOUT)
+
+
+def fold_history(table, batch_id, level=1):
+    """Merge the history batches since the last fold by day; older files stay as they are."""
+    table.fold(batch_id, lambda df: newest_by_key(df, [*JOB, "ts"], ()), level, **HISTORY_LAYOUT)
 
 
 def history_of(history, cluster_id, namespace, job_id):
-    """History of one job, newest first."""
+    """History of one job, newest first. On a history table the three conditions are pushed to the files, where minima,
+    maxima and Bloom filters leave out the row groups without the job."""
     rows = history.filter(
         (F.col("cluster_id") == cluster_id) & (F.col("namespace") == namespace) & (F.col("job_id") == job_id)
     )

@@ -6,6 +6,8 @@ equals the batch result over all rows, late rows included, and a repeated micro-
 that emit rows by comparing with earlier ones (changes, errors, watches) read the table while streaming.
 """
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from fleetlens.functions.keys import CLUSTER, JOB
@@ -29,6 +31,14 @@ def run(stream, checkpoint, each_batch, available_now=True, interval="10 seconds
     return query
 
 
+def _fold(i, fold):
+    """Merge the batches of a table that only grows every now and then, and the merged ones at longer intervals."""
+    if i and i % COMPACT_EVERY == 0:
+        fold(i, level=1)
+        if i % COMPACT_EVERY ** 2 == 0:
+            fold(i, level=2)
+
+
 def _schema(df, cols=None):
     return df.select(*cols).schema if cols else df.schema
 
@@ -125,6 +135,7 @@ def stream_both(stream, current_path, history_path, checkpoint, **options):
         tables.write_current(rows, current, i)
         tables.write_history(rows, history, i)
         rows.unpersist()
+        _fold(i, partial(tables.fold_history, history))
         if i and i % COMPACT_EVERY == 0:
             tables.compact_current(current, i)
 
@@ -150,6 +161,8 @@ def ingest_overviews(payload_stream, path, checkpoint, **options):
         tables.write_history(good, history, i)
         rejected.write(rows.filter(F.size("broken_rules") > 0).drop("tasks"), i)
         rows.unpersist()
+        _fold(i, partial(tables.fold_history, history))
+        _fold(i, rejected.fold)
         if i and i % COMPACT_EVERY == 0:
             tables.compact_current(current, i)
 
