@@ -71,11 +71,69 @@ def infer_metric_schema(df, key="id", value="value"):
     ).orderBy("field_name", "raw_key")
 
 
-def type_metrics(df, spec=None, col="metrics", max_fields=1000):
-    """Wide typed metric table. Without a spec the schema is read from the data, one row per metric key."""
-    if spec is None:
-        seen = infer_metric_schema(df.select(F.explode(col).alias("id", "value"))).limit(max_fields + 1).collect()
-        if len(seen) > max_fields:
-            raise ValueError(f"more than {max_fields} metric keys: give a spec")
-        spec = [(r.raw_key, r.field_name, r.field_type) for r in seen]
-    return project_metrics(df, spec, col)
+def long_metrics(df, col="metrics"):
+    """One row per entry of the map: the other columns, `raw_key` and `value`. A null or empty map gives none."""
+    return df.select(*[c for c in df.columns if c != col], F.explode(col).alias("raw_key", "value"))
+
+
+def type_metrics_long(rows, registry=None):
+    """Typed long form of (…, raw_key, value) rows, for any number of metric keys and on streams too.
+
+    Adds `field_name`, `field_type`, `long_value` and `double_value`; the text stays. The type is that of the registry, a
+    frame of (raw_key, field_type), and that of the row's own text if there is none or it doesn't know the key. Texts that
+    are no number of the type give null.
+    """
+    own = F.when(F.col("value").contains("."), "double").otherwise("bigint")
+    if registry is None:
+        typed = rows.withColumn("field_type", own)
+    else:
+        known = registry.select("raw_key", F.col("field_type").alias("_type"))
+        typed = rows.join(known, "raw_key", "left").withColumn("field_type", F.coalesce("_type", own)).drop("_type")
+    return typed.withColumns({
+        "field_name": field_name(F.col("raw_key")),
+        "long_value": F.when(F.col("field_type") == "bigint", F.col("value").try_cast("bigint")),
+        "double_value": F.when(F.col("field_type") == "double", F.col("value").try_cast("double")),
+    })
+
+
+def type_metrics(df, spec=None, col="metrics"):
+    """Typed metrics: the wide form of a spec (see `spec_of` and `registered_spec`), the long form without one."""
+    return type_metrics_long(long_metrics(df, col)) if spec is None else project_metrics(df, spec, col)
+
+
+# A registered metric key; `version` is the batch that first saw it or made it a double.
+REGISTRY = "raw_key STRING, field_name STRING, field_type STRING, version BIGINT"
+
+
+def new_metric_keys(rows, registry, version):
+    """Registry rows for what (raw_key, value) rows add to a registry: unknown keys, and whole numbers that become doubles."""
+    seen = rows.groupBy("raw_key").agg(F.bool_or(F.col("value").contains(".")).alias("_dot"))
+    held = registry.groupBy("raw_key").agg(F.bool_or(F.col("field_type") == "double").alias("_double"))
+    both = seen.filter("raw_key IS NOT NULL").join(held, "raw_key", "left")
+    dot = F.coalesce("_dot", F.lit(False))
+    return both.filter(F.col("_double").isNull() | (~F.col("_double") & dot)).select(
+        "raw_key",
+        field_name(F.col("raw_key")).alias("field_name"),
+        F.when(dot, "double").otherwise("bigint").alias("field_type"),
+        F.lit(version).cast("bigint").alias("version"),
+    )
+
+
+def registry_at(registry, version=None):
+    """One row per metric key as of a version (the newest if none): once a double, a metric stays one."""
+    rows = registry if version is None else registry.filter(F.col("version") <= version)
+    double = F.bool_or(F.col("field_type") == "double")
+    return rows.groupBy("raw_key", "field_name").agg(
+        F.when(double, "double").otherwise("bigint").alias("field_type"), F.max("version").alias("version"))
+
+
+def registered_spec(registry, version=None):
+    """Spec of the wide form from a registered version. The columns of a table have to be known to the driver, so this
+    reads them; it is an error if two keys have one field name."""
+    rows = registry_at(registry, version).orderBy("field_name", "raw_key").toLocalIterator()
+    spec = [(r.raw_key, r.field_name, r.field_type) for r in rows]
+    names = [name for _, name, _ in spec]
+    twice = sorted({n for n in names if names.count(n) > 1}) if len(set(names)) < len(names) else []
+    if twice:
+        raise ValueError(f"metric keys share a field name: {', '.join(twice)}")
+    return spec

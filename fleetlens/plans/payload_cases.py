@@ -498,6 +498,13 @@ def _(t):
     return storage_check.check_paths(refs, storage_check.list_files(t.spark, t.folder)).select("event_id", "exists")
 
 
+@case("s21_check_objects", """SELECT event_id, event_id % 5 < 2 AS "exists" FROM events""")
+def _(t):
+    names = F.array(*[F.lit(n) for n in ("/orders.parquet", "lineitem.parquet", "missing.parquet", "./orders.parquet", None)])
+    refs = t.events.select("event_id", F.get(names, (F.col("event_id") % 5).cast("int")).alias("path"))
+    return storage_check.check_objects(refs, t.folder, tasks=4).select("event_id", "exists")
+
+
 @case("j3_container_quantities", """SELECT l_orderkey, l_linenumber, CAST(p_size AS DOUBLE) AS cpu, 'm' AS cpu_unit FROM lineitem
   JOIN part ON l_partkey = p_partkey""")
 def _(t):

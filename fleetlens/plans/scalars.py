@@ -50,7 +50,43 @@ def _(t):
     size = F.col("p_size")
     metric = F.when(size % 2 == 0, F.create_map(F.lit("even"), text("", size + 0.5))).otherwise(
         F.create_map(F.lit("odd"), text("", size)))
-    return M.type_metrics(t.part.select("p_partkey", metric.alias("metrics")))
+    spec = [("even", "even", "double"), ("odd", "odd", "bigint")]
+    return M.type_metrics(t.part.select("p_partkey", metric.alias("metrics")), spec)
+
+
+@case("p1_type_metrics_long", """SELECT o_orderkey, concat('Status.JVM.m', o_custkey) AS raw_key, concat('jvmm', o_custkey) AS field_name,
+  CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS BIGINT) END AS long_value,
+  CASE WHEN o_orderkey % 2 = 1 THEN o_custkey + 0.5::DOUBLE END AS double_value FROM orders WHERE o_orderkey % 3 > 0
+  UNION ALL SELECT o_orderkey, 'uptime', 'uptime', NULL, NULL FROM orders WHERE o_orderkey % 3 > 0""")
+def _(t):
+    # one metric key per customer: far too many for columns
+    c = F.col("o_custkey")
+    value = F.when(F.col("o_orderkey") % 2 == 0, text("", c)).otherwise(text("", c + 0.5))
+    whole = F.create_map(text("Status.JVM.m", c), value, F.lit("uptime"), F.lit("n/a"))
+    rows = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, whole).alias("metrics"))
+    return M.type_metrics(rows).select("o_orderkey", "raw_key", "field_name", "long_value", "double_value")
+
+
+def _catalogue_case(name, spec):
+    """Every metric of a catalogue as a typed column; every fourth one of a row is missing."""
+    cols = [f"""CASE WHEN (event_id + {i}) % 4 > 0 THEN {'value' if kind == 'double' else
+            f'CAST((event_id * {i + 1}) % 1009 AS BIGINT)'} END AS "{field}" """ for i, (_, field, kind) in enumerate(spec)]
+
+    @case(name, f"SELECT event_id, {', '.join(cols)} FROM events")
+    def _(t):
+        number = lambda i: F.col("event_id") * (i + 1) % 1009
+        held = [
+            F.struct(F.lit(raw).alias("k"), F.when((F.col("event_id") + i) % 4 > 0, text(
+                "", F.col("value") if kind == "double" else number(i))).alias("v"))
+            for i, (raw, _, kind) in enumerate(spec)
+        ]
+        metrics = F.map_from_entries(F.filter(F.array(*held), lambda x: x["v"].isNotNull()))
+        return M.project_metrics(t.events.select("event_id", metrics.alias("metrics")), spec)
+
+
+_catalogue_case("p1_job_catalogue", M.JOB_METRICS)
+_catalogue_case("p1_coordinator_catalogue", M.COORDINATOR_METRICS)
+_catalogue_case("p1_worker_catalogue", M.WORKER_METRICS)
 
 
 @case("p3_key_rows", f"""WITH {JOBS} SELECT job_id,

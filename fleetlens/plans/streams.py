@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fleetlens.operators.metrics import registry_at
 from fleetlens.plans import states
 from fleetlens.plans.payload_cases import CHECKED, _job_payloads, _metric_payloads, checked_payloads
 from fleetlens.plans.registry import case
@@ -10,7 +11,7 @@ from fleetlens.plans.roles import CHANGELOG, changelog, epoch_ms, set_ops, text
 from fleetlens.session import run_dir
 from fleetlens.sources import logs, tables
 from fleetlens.sources.payloads import payload_job_overview, read_payloads
-from fleetlens.streaming import bounded, runs
+from fleetlens.streaming import bounded, metric_registry, runs
 
 
 def _dirs(t, name):
@@ -325,6 +326,33 @@ def _(t):
     return side(view(), "id", F.col("id")).unionByName(side(rejected(), "rejected", F.lit(None).cast("string")))
 
 
+METRICS = """m AS (SELECT event_id, concat('n.', event_type) AS raw_key,
+    ts >= TIMESTAMP '2024-01-15' AND event_type IN ('view', 'signup') AS dot, value FROM events),
+  k AS (SELECT raw_key, bool_or(dot) AS double_key FROM m GROUP BY raw_key)"""
+
+
+def _metric_stream(t):
+    # the numbers of two metrics have a dot from the second half on
+    value = F.when((F.col("ts") >= F.lit("2024-01-15").cast("timestamp")) & F.col("event_type").isin("view", "signup"),
+                   F.col("value").cast("string")).otherwise(F.round(F.col("value") * 100).cast("bigint").cast("string"))
+    key = F.concat(F.lit("n."), "event_type")
+    rows = t.ordered_stream("events", F.col("event_id")).select("event_id", F.create_map(key, value).alias("metrics"))
+    return metric_registry.stream_metrics(rows, *_dirs(t, "metrics"))
+
+
+@case("p1_stream_typed_metrics", f"""WITH {METRICS} SELECT event_id, replace(raw_key, '.', '') AS field_name,
+  CASE WHEN NOT double_key THEN CAST(round(value * 100) AS BIGINT) END AS long_value,
+  CASE WHEN double_key THEN CASE WHEN dot THEN value ELSE round(value * 100) END END AS double_value FROM m JOIN k USING (raw_key)""")
+def _(t):
+    return _metric_stream(t)[1]().select("event_id", "field_name", "long_value", "double_value")
+
+
+@case("p2_stream_registry", f"""WITH {METRICS} SELECT raw_key, replace(raw_key, '.', '') AS field_name,
+  CASE WHEN double_key THEN 'double' ELSE 'bigint' END AS field_type FROM k""")
+def _(t):
+    return registry_at(_metric_stream(t)[2]()).drop("version")
+
+
 @case("a8_stream_upserts", """SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id""")
 def _(t):
     combine = [F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last_event")]
