@@ -200,6 +200,25 @@ def _(t):
         side(rejected(), "rejected", F.array_join("broken_rules", ",")))
 
 
+@case("t9_ingest_changed_overviews", """SELECT concat('c', o_orderkey // 8) AS cluster_id, CAST(o_orderkey AS VARCHAR) AS job_id,
+  CAST(1000 + p AS BIGINT) AS ts, CAST(CASE p WHEN 2 THEN 5 ELSE -1 END AS BIGINT) AS end_ts
+  FROM orders, (VALUES (0), (2), (4)) r(p) WHERE p = 0 OR (o_orderkey // 8) % 2 = 0""")
+def _(t):
+    # six polls of each cluster; those with an even number have other jobs at polls 2 and 3, and others an unreadable poll 3.
+    # Every other poll lists its jobs the other way round.
+    polls = _job_payloads(t).select("cluster_id", "namespace", "batch", "items", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("p"))
+    even, p = F.col("batch") % 2 == 0, F.col("p")
+    ended = F.transform("items", lambda x: x.withField("`end-time`", F.when(even & p.isin(2, 3), 5).otherwise(-1)))
+    whole = F.to_json(F.struct(F.when(p % 2 == 0, ended).otherwise(F.reverse(ended)).alias("jobs")))
+    payload = F.when(~even & (p == 3), F.left(whole, F.lit(20))).otherwise(whole).alias("payload")
+    rows = polls.select("cluster_id", "namespace", payload, (p + 1000).cast("bigint").alias("ts"))
+    table, checkpoint = _dirs(t, "ingest")
+    rows.repartition(4, F.xxhash64("cluster_id", "ts")).write.parquet(f"{table}/landed")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{table}/landed")
+    view = runs.ingest_changed_overviews(stream, table, checkpoint)[1]
+    return view().select("cluster_id", "job_id", "ts", "end_ts")
+
+
 @case("t9_collect_both", """WITH h AS (SELECT user_id % 50 AS cluster, concat('j', user_id) AS job_id, event_type AS state,
     epoch_us(ts) // 1000 AS ts FROM events)
   SELECT 'history' AS side, concat('c', cluster) AS cluster_id, job_id, state, ts FROM h

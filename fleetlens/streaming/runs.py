@@ -9,7 +9,9 @@ that emit rows by comparing with earlier ones (changes, errors, watches) read th
 from functools import partial
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fleetlens import schemas as S
 from fleetlens.functions.keys import CLUSTER, JOB
 from fleetlens.operators import changes, state, watch
 from fleetlens.operators.spread import hashable, newest_rows, spread_join
@@ -242,6 +244,38 @@ def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where
     return query, lambda: net(log.read()).filter("weight > 0").select(*fields), deltas, late.read
 
 
+def jobs_fingerprint(payload):
+    """Order-free 64-bit fingerprint of the jobs of an overview payload, without the time of the poll; null if the payload
+    can't be read. It is made in the row: a poll comes whole, in one payload."""
+    p = F.from_json(payload, f"{S.JOB_OVERVIEW}, _corrupt_record STRING")
+    jobs = F.array_sort(F.transform(F.coalesce(p["jobs"], F.array().cast(_JOBS)), lambda j: F.xxhash64(j)))
+    return F.when(p.isNotNull() & p["_corrupt_record"].isNull(), F.xxhash64(F.size(jobs), jobs))
+
+
+_JOBS = T.StructType.fromDDL(S.JOB_OVERVIEW)["jobs"].dataType
+
+
+def ingest_changed_overviews(payload_stream, path, checkpoint, lateness=None, **options):
+    """History without the polls that repeat the one before: typed rows of the polls of a cluster whose set of jobs, in any
+    order, differs from that of the poll before by `ts`. Gives (query, view, late).
+
+    Late polls are taken in their place, and `lateness` bounds what is kept, as in `stream_changes`. A poll without jobs
+    counts as one. A payload that can't be read is no poll and changes nothing (`ingest_overviews` keeps it as rejected),
+    nor is one without cluster, namespace or time.
+    """
+    poll = [*CLUSTER, "ts", "payload"]
+
+    def prepare(b):
+        rows = b.select(*poll, jobs_fingerprint(F.col("payload")).alias("jobs_print"))
+        # through a generator, so that the payload isn't parsed once more for the filter
+        rows = rows.select(*poll, F.explode(F.array("jobs_print")).alias("jobs_print"))
+        return rows.dropna(subset=[*CLUSTER, "ts", "jobs_print"])
+
+    query, view, _, late = stream_changes(
+        payload_stream, path, checkpoint, CLUSTER, ["ts"], ["jobs_print"], prepare=prepare, lateness=lateness, **options)
+    return query, lambda: payloads.payload_job_overview(view()), late
+
+
 def stream_set_changes(stream, path, checkpoint, keys, order, cols, **options):
     """Snapshots whose set of rows differs from the snapshot before. A snapshot may come in several micro-batches.
 

@@ -112,3 +112,21 @@ def test_all_kinds_in_one_pass_equal_their_own_readers(spark, rows, tmp_path):
     assert [got[k][1].count() for k in ("deployment", "service", "pod")] == [1, 1, 3]
     empty = objects.workload_rows(table.limit(0), str(tmp_path / "none"))
     assert all(side.count() == 0 for pair in empty.values() for side in pair)
+
+
+def test_polls_with_the_same_jobs_are_left_out(spark, rows, tmp_path):
+    from fleetlens.streaming import runs
+
+    jobs = lambda *ids: json.dumps({"jobs": [{"jid": i, "name": "n", "state": "RUNNING"} for i in ids]})
+    schema = "cluster_id STRING, namespace STRING, payload STRING, ts BIGINT, extra INT"
+    batches = [
+        [("c", "n", jobs("a", "b"), 1, 0), ("c", "n", jobs("b", "a"), 2, 0), ("c", "n", jobs("a"), 5, 0)],
+        [("c", "n", jobs("a"), 3, 0), ("c", "n", "{broken", 4, 0), ("c", "n", None, 6, 0), (None, "n", jobs("x"), 1, 0)],
+        [("c", "n", jobs(), 7, 0), ("c", "n", jobs("a"), 8, 0), ("c", "n", jobs("a"), 8, 0), ("d", "n", "{}", 1, 0)],
+    ]
+    for batch in batches:
+        rows(schema, *batch).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    _, view, _ = runs.ingest_changed_overviews(stream, str(tmp_path / "t"), str(tmp_path / "c"))
+    # the late poll 3 takes the place of poll 5, and after poll 7 without jobs poll 8 is a change
+    assert sorted((r.ts, r.job_id) for r in view().collect()) == [(1, "a"), (1, "b"), (3, "a"), (8, "a")]
