@@ -9,7 +9,6 @@ that emit rows by comparing with earlier ones (changes, errors, watches) read th
 from functools import partial
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetlens import schemas as S
 from fleetlens.functions.keys import CLUSTER, JOB
@@ -248,13 +247,11 @@ def jobs_fingerprint(payload):
     """Order-free 64-bit fingerprint of the jobs of an overview payload, without the time of the poll; null if the payload
     can't be read. It is made in the row: a poll comes whole, in one payload."""
     p = F.from_json(payload, f"{S.JOB_OVERVIEW}, _corrupt_record STRING")
-    jobs = F.array_sort(F.transform(F.coalesce(p["jobs"], F.array().cast(_JOBS)), lambda j: F.xxhash64(j)))
+    jobs = F.array_sort(F.transform(p["jobs"], lambda j: F.xxhash64(j)))
+    jobs = F.coalesce(jobs, F.array().cast("array<bigint>"))
     return F.when(p.isNotNull() & p["_corrupt_record"].isNull(), F.xxhash64(F.size(jobs), jobs))
 
 
-_JOBS = T.StructType.fromDDL(S.JOB_OVERVIEW)["jobs"].dataType
-
-
 def ingest_changed_overviews(payload_stream, path, checkpoint, lateness=None, **options):
     """History without the polls that repeat the one before: typed rows of the polls of a cluster whose set of jobs, in any
     order, differs from that of the poll before by `ts`. Gives (query, view, late).
