@@ -4,7 +4,7 @@ import pytest
 
 from fleetlens.operators import metrics as M
 from fleetlens.sources import storage_check
-from fleetlens.streaming import metric_registry
+from fleetlens.streaming import metric_registry, runs
 
 ROWS = "k INT, metrics MAP<STRING,STRING>"
 
@@ -35,7 +35,9 @@ def test_versions_of_a_registry(spark, rows):
     assert len(M.registered_spec(clash, 1)) == 4
 
 
-def test_stream_of_metrics(spark, rows, tmp_path):
+@pytest.mark.parametrize("every", [1, 50])
+def test_stream_of_metrics(spark, rows, tmp_path, monkeypatch, every):
+    monkeypatch.setattr(runs, "COMPACT_EVERY", every)  # with 1, each batch but the first is merged on both levels
     landed = str(tmp_path / "landed")
     for batch in ([(1, {"a": "1", "b": "1"})], [(2, {"a": "2.5"}), (3, None)], [(4, {"c": "x"})]):
         rows(ROWS, *batch).coalesce(1).write.mode("append").parquet(landed)
