@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetlens.llm import block_naming, decontaminate, language_id, mixing, simhash
-from fleetlens.llm.common import free_name, read_table, written
+from fleetlens.llm.common import free_name, read_table, with_places, written
 
 #: no SQL says the same as stages 1, 3 and 5; tests/llm compares all of them with brute force
 ORACLE_SQL = None
@@ -19,9 +19,15 @@ def language_stage(spark, docs, sf_dir):
 
 
 def _numbered_rows(docs, name):
-    """(the stage's input as a table, its column with a number of its own for each row), as ids may be null or repeat."""
+    """(the stage's input, its column with a number of its own for each row), as ids may be null or repeat.
+
+    A table is read again, with its places as numbers; only other frames are copied to have numbers that stay.
+    """
     row = free_name(docs, "row")
-    return written(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+    rows = with_places(docs, row)
+    if rows is None:
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), name)
+    return rows, row
 
 
 def _rows_left(rows, kept, row):

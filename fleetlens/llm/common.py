@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fleetlens.session import run_dir
@@ -29,6 +30,23 @@ def written(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_places(df, name):
+    """The frame with a hash of each row's file and place in it as column `name`, or None where there are no such places.
+
+    They are had where the frame reads Parquet files and does nothing else, so that each read gives the same rows and places
+    (a limit or sample might not), and no two rows share a hash (as they do where a file is read twice).
+    """
+    if not df._jdf.queryExecution().analyzed().children().isEmpty():
+        return None
+    try:
+        place = df.metadataColumn("_metadata")
+        rows = df.withColumn(name, F.xxhash64(place["file_path"], place["row_index"]))
+    except AnalysisException:  # not a table of files, or not in Parquet
+        return None
+    twice = rows.groupBy(name).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return rows if twice.isEmpty() else None
+
+
 def free_name(df, name):
     """`name`, with underscores added until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}

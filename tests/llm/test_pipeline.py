@@ -1,5 +1,6 @@
 """The pipeline stage by stage on small documents, each against brute force on its own input."""
 
+import os
 import random
 
 import pytest
@@ -10,7 +11,9 @@ from test_simhash import brute_fingerprint
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from fleetlens.llm.common import with_places
 from fleetlens.llm.queries import CASES
+from fleetlens.session import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -161,3 +164,41 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     # here upper and lower case make no difference either, and the smallest id stays
     got = corpus_pipeline.near_dedup_stage(spark, frame, "")
     assert got.columns == COLUMNS and sorted((str(r["doc_id"]), r["text"].lower()) for r in got.collect()) == want
+
+
+def folder_bytes(folder):
+    return sum(os.path.getsize(f"{at}/{name}") for at, _, names in os.walk(folder) for name in names)
+
+
+def test_dedup_stages_leave_no_copy_of_a_table_behind(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1500)) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[1] + " end"), (5, texts[5]), (5, texts[5].upper()), (90, texts[7])]
+    rows = [(i, t, "en", "s", 1) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame(rows, schema).repartition(3)
+    frame.write.parquet(f"{tmp_path}/documents")
+    table = spark.read.parquet(f"{tmp_path}/documents")
+    for stage, gone in ((corpus_pipeline.exact_dedup_stage, {7}), (corpus_pipeline.near_dedup_stage, {90})):
+        before = folder_bytes(shared_dir(spark))
+        got = stage(spark, table, "")
+        assert got.columns == COLUMNS
+        got = sorted((str(r["doc_id"]), r["text"].lower()) for r in got.collect())
+        assert folder_bytes(shared_dir(spark)) - before < 0.5 * folder_bytes(f"{tmp_path}/documents")
+        nulls = 1 if stage is corpus_pipeline.exact_dedup_stage else 0
+        assert [i for i, _ in got].count("None") == nulls and [i for i, _ in got].count("5") == 1
+        assert {i for i, _ in got} - {"None"} == {str(i) for i in [*range(80), 90] if i not in gone}
+        # a frame that is no table gives the same rows
+        assert got == sorted((str(r["doc_id"]), r["text"].lower()) for r in stage(spark, frame, "").collect())
+
+
+def test_places_are_for_plain_tables_only(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "t") for i in range(50)], "doc_id long, _metadata string").repartition(4)
+    frame.write.parquet(f"{tmp_path}/a")
+    frame.write.json(f"{tmp_path}/b")
+    table = spark.read.parquet(f"{tmp_path}/a")
+    places = [with_places(spark.read.parquet(f"{tmp_path}/a"), "row").select("doc_id", "row").collect() for _ in range(2)]
+    assert sorted(places[0]) == sorted(places[1]) and len({r["row"] for r in places[0]}) == 50
+    for other in (frame, table.limit(9), table.sample(0.5), table.where("doc_id > 3"), table.union(table), table.crossJoin(spark.range(2)),
+                  spark.read.parquet(f"{tmp_path}/a", f"{tmp_path}/a"), spark.read.schema(frame.schema).json(f"{tmp_path}/b")):
+        assert with_places(other, "row") is None
