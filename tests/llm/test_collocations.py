@@ -108,3 +108,37 @@ def test_no_documents(no_docs):
     assert collocations(no_docs).collect() == []
     with pytest.raises(ValueError):
         collocations(no_docs, max_words=1)
+
+
+def test_text_is_split_once(docs):
+    plan = op.words_of(op.pieces_of(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate ") == 1
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_long_texts_are_cut_at_marks(spark, size):
+    rows = [(1, "a B. c d e f g h i j k l,\tm  n\n" * 30 + "é É " * 40, "en"), (2, ".. , !", None), (3, None, "x"), (4, "p.q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = lambda t: [w for p in re.split(r"[.,;:!?\x0A-\x0D]", ascii_lower(t)) for w in [re.findall(r"[^\x20\x09]+", p)] if w]
+    want = Counter((r[2] or "und", *pair) for r in rows for p in own(r[1]) for pair in zip(p, p[1:]))
+    found = op.words_of(op.pieces_of(docs, piece_bytes=size)).collect()
+    at = {(r["piece"], r["place"]): r for r in found}
+    assert len(at) == len(found)
+    pairs = Counter((r["lang"], r["word"], at[i, j + 1]["word"]) for (i, j), r in at.items() if (i, j + 1) in at)
+    assert pairs == want
+    words, _ = op.count_words(docs, piece_bytes=size, distinct=3)
+    singles = Counter((r[2] or "und", w) for r in rows for p in own(r[1]) for w in p)
+    assert {(r["lang"], r["word"]): r["n"] for r in words.collect()} == singles
+
+
+def test_contained_phrases_go_at_the_percentage(spark):
+    rows = [([1], 90), ([2], 90), ([1, 2], 20), ([2, 1], 21), ([1, 2, 1], 10), ([3, 3], 5)]
+    phrases = spark.createDataFrame(rows, "items array<long>, n long")
+    got = {(tuple(r["items"]), r["n"]) for r in op.free_phrases(phrases, 50).collect()}
+    assert got == {((2, 1), 21), ((1, 2, 1), 10), ((3, 3), 5)}
+
+
+def test_ties_at_the_end_go_by_phrase(spark):
+    rows = [(i, f"x{j} y{j}.", "en") for i in range(3) for j in range(60)]
+    got = collocations(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_count=3, top=5)
+    assert collected(got) == brute(rows, least=3, top=5)
