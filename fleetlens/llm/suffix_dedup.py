@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ BUCKET_RUNS = 4096
 _PIECE = 1 << 17
 _BITS = 18
 _CHUNK_BYTES = 2 << 20
+# anchors that are gathered for a batch, beyond those of one document
+_BATCH_ANCHORS = 1 << 16
 _WORDS = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,7 +112,7 @@ def _anchor_rows(batches, length, size):
     """key1: leading bytes and hash of the anchor; key2: hash of the window run around it; row, pack."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        parts = []
+        parts, n = [], 0
         for row, data in zip(batch.column("row").to_pylist(), text_bytes(batch.column("text")), strict=True):
             if not data or len(data) < length:
                 continue
@@ -123,9 +126,10 @@ def _anchor_rows(batches, length, size):
             runs = zip(first.tolist(), (last + length).tolist(), (place - first).tolist(), strict=True)
             key2 = np.array([digest(data[a:b], offset) for a, b, offset in runs], np.uint64)
             parts.append((key1, key2, np.full(place.size, row, np.int64), _packed(place, first, last)))
-            if sum(p[0].size for p in parts[-64:]) > 1 << 16:
+            n += place.size
+            if n > _BATCH_ANCHORS:
                 yield _rows_of(parts)
-                parts = []
+                parts, n = [], 0
         yield _rows_of(parts)
 
 
@@ -201,17 +205,25 @@ def _across(edges):
     return [(r["key1"], r["row"], r["pack"], k) for r, k in zip(rows, kinds, strict=True) if k != _ALONE]
 
 
+def _listed(column, names):
+    """The fields of a column of lists of structs as one array each, and the bounds of each list in them (null: empty)."""
+    bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()))
+    values = column.flatten()
+    return bounds.tolist(), [pc.struct_field(values, name).to_numpy(zero_copy_only=False) for name in names]
+
+
 def _runs(batches, length):
     """Bytes of the asked window runs, or hashes of their windows where the anchor is too frequent for a bucket."""
     for batch in batches:
         out = []
-        asked = batch.column("asked").to_pylist()
+        bounds, asked = _listed(batch.column("asked"), ("key1", "pack", "kind", "frequent"))
         rows = batch.column("row").to_pylist()
-        for row, data, own in zip(rows, text_bytes(batch.column("text")), asked, strict=True):
-            for x in own:
-                place, first, last = _unpacked(x["pack"])
-                if not x["frequent"]:
-                    out.append((x["key1"], place - first, data[first : last + length], row, first, x["kind"], None, None))
+        for i, (row, data) in enumerate(zip(rows, text_bytes(batch.column("text")), strict=True)):
+            own = (c[bounds[i] : bounds[i + 1]].tolist() for c in asked)
+            for key1, pack, kind, frequent in zip(*own, strict=True):
+                place, first, last = _unpacked(pack)
+                if not frequent:
+                    out.append((key1, place - first, data[first : last + length], row, first, kind, None, None))
                     if len(out) >= 20_000:
                         yield _run_batch(out)
                         out = []
@@ -219,7 +231,7 @@ def _runs(batches, length):
                 for p in range(first, last + 1):
                     h = xxhash.xxh3_128_intdigest(data[p : p + length])
                     halves = signed([h >> 64, h & (1 << 64) - 1]).tolist()
-                    out.append((x["key1"], place - p, None, row, p, x["kind"], *halves))
+                    out.append((key1, place - p, None, row, p, kind, *halves))
                     if len(out) >= 20_000:
                         yield _run_batch(out)
                         out = []
@@ -244,6 +256,8 @@ def multikey_groups(data, starts, groups, length):
     alone in its class is dropped.
     """
     alive = np.arange(starts.size)
+    # the eight bytes at each place, without a copy
+    eight = np.ndarray(max(data.size - 7, 0), np.uint64, np.ascontiguousarray(data), strides=(1,))
     words = list(range(0, length - 7, 8)) + ([length - 8] if length % 8 else [])
     half = (len(words) + 1) // 2
     order = [w for pair in zip(words[:half], words[::-1][:half], strict=True) for w in pair]
@@ -255,7 +269,7 @@ def multikey_groups(data, starts, groups, length):
             sort = np.argsort(groups, kind="stable")
             key = None
         else:
-            key = data[(starts[alive] + word)[:, None] + np.arange(8)].view(np.uint64).ravel()
+            key = eight[starts[alive] + word]
             sort = np.lexsort((key, groups))
         alive, groups = alive[sort], groups[sort]
         new = np.append(True, groups[1:] != groups[:-1])
@@ -366,15 +380,36 @@ def _numbered(docs, id_col, text_col):
     return written(docs.withColumn("row", F.monotonically_increasing_id()), "suffix-rows")
 
 
-def removed_spans(ranges, length=LENGTH):
-    """Maximal runs [from, to) of bytes covered by windows that start in the ranges (first, last)."""
-    out = []
-    for first, last in sorted(ranges):
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + length)
-        else:
-            out.append([first, last + length])
-    return out
+def removed_spans(first, last, length=LENGTH):
+    """Starts and ends of the maximal runs of bytes covered by windows that start in the ranges (first, last)."""
+    order = np.argsort(first, kind="stable")
+    start, end = first[order], np.maximum.accumulate(last[order] + length)
+    new = np.flatnonzero(np.append(True, start[1:] > end[:-1])[: start.size])
+    return start[new], end[np.append(new[1:], start.size)[: new.size] - 1]
+
+
+def _cut(batches, length, with_bytes):
+    """Figures, digest and, if asked for, bytes of what is left of each text without its ranges."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    for batch in batches:
+        out = [[], [], [], [], []]
+        bounds, (first, last) = _listed(batch.column("ranges"), ("first", "last"))
+        for i, data in enumerate(text_bytes(batch.column("text"))):
+            data = memoryview(data or b"")
+            own = slice(bounds[i], bounds[i + 1])
+            starts, ends = removed_spans(first[own], last[own], length)
+            left = zip([0, *ends.tolist()], [*starts.tolist(), len(data)], strict=True)
+            kept = [data[a:b] for a, b in left]
+            digest = hashlib.sha256()
+            for part in kept:
+                digest.update(part)
+            values = len(data), int((ends - starts).sum()), starts.size, digest.hexdigest()
+            for column, value in zip(out, (*values, b"".join(kept) if with_bytes else None), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+        )
 
 
 def dedup_substrings(docs, id_col="doc_id", text_col="text", length=LENGTH, anchor=ANCHOR, bucket_runs=BUCKET_RUNS,
@@ -389,28 +424,9 @@ def dedup_substrings(docs, id_col="doc_id", text_col="text", length=LENGTH, anch
     ranges = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))  # of one document
     rows = docs.join(ranges, "row", "left").select("doc_id", "text", "ranges")
 
-    def cut(batches):
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for data, own in zip(text_bytes(batch.column("text")), batch.column("ranges").to_pylist(), strict=True):
-                data = data or b""
-                spans = removed_spans([(x["first"], x["last"]) for x in own or ()], length)
-                ends = [0, *(x for s in spans for x in s), len(data)]
-                kept = [data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
-                digest = hashlib.sha256()
-                for part in kept:
-                    digest.update(part)
-                values = len(data), sum(b - a for a, b in spans), len(spans), digest.hexdigest()
-                for column, value in zip(out, (*values, b"".join(kept) if with_bytes else None), strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
-
     kind = rows.schema["doc_id"].dataType.simpleString()
     done = rows.mapInArrow(
-        cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        lambda b: _cut(b, length, with_bytes),
+        f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
     )
     return done if with_bytes else done.drop("kept")

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import collected
 
@@ -100,3 +102,56 @@ def test_edge_cases(docs, doc_rows, no_docs):
 
 def test_limits():
     assert suffix_dedup.LENGTH - suffix_dedup.ANCHOR <= 255
+
+
+def python_peak(run):
+    """Most bytes that Python and NumPy hold at once while `run` works."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_anchors_of_many_short_texts_come_in_bounded_batches():
+    rng = random.Random(11)
+    texts = [bytes(rng.choices(b"abcdefgh ", k=2000)).decode() for _ in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "text": texts})
+    sizes = [b.num_rows for b in suffix_dedup._anchor_rows([batch], 200, 40)]
+    assert sum(sizes) > 70_000 and max(sizes) < 66_000
+
+
+def ranged(n_rows, per_row):
+    """Texts with ranges (null for the first one) as `_cut` gets them."""
+    ranges = [None] + [[{"first": 300 * i, "last": 300 * i + 40} for i in range(per_row)]] * (n_rows - 1)
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    texts = ["x" * 300 * per_row] * n_rows
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(n_rows)), pa.array(texts), pa.array(ranges, kind)], names=["doc_id", "text", "ranges"]
+    )
+
+
+def test_many_ranges_take_little_memory():
+    batch, out = ranged(500, 200), []
+    peak = python_peak(lambda: out.extend(suffix_dedup._cut([batch], 200, False)))
+    assert peak < 5 << 20  # 100,000 ranges; objects for all of them at once took 35 MB
+    got = pa.Table.from_batches(out).to_pydict()
+    assert got["n_removed"] == [0] + [240 * 200] * 499 and got["n_spans"] == [0] + [200] * 499
+    assert set(got["kept_sha256"][1:]) == {hashlib.sha256(b"x" * 60 * 200).hexdigest()}
+    # a part of a larger batch
+    assert pa.Table.from_batches(suffix_dedup._cut([batch.slice(1, 3)], 200, False)).to_pydict()["doc_id"] == [1, 2, 3]
+
+
+def test_multikey_sort_takes_little_memory():
+    data = np.random.default_rng(2).integers(97, 99, 300_000, dtype=np.uint8)
+    starts = np.arange(data.size - 199)
+    peak = python_peak(lambda: multikey_groups(data, starts, starts % 160, 200))
+    assert peak < 72 * starts.size
+
+
+def test_spans_are_maximal():
+    spans = lambda *ranges: [x.tolist() for x in suffix_dedup.removed_spans(*np.array(ranges, np.int64).reshape(-1, 2).T, 10)]
+    assert spans() == [[], []]
+    assert spans((30, 31), (0, 5), (2, 3), (15, 15)) == [[0, 30], [25, 41]]
+    assert spans((0, 0), (10, 20), (31, 31)) == [[0, 31], [30, 41]]
