@@ -155,3 +155,19 @@ def test_spans_are_maximal():
     assert spans() == [[], []]
     assert spans((30, 31), (0, 5), (2, 3), (15, 15)) == [[0, 30], [25, 41]]
     assert spans((0, 0), (10, 20), (31, 31)) == [[0, 31], [30, 41]]
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 600, 1, 1).selectExpr("id AS doc_id", "repeat(sha2(string(id), 256), 800) AS text")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in batches)
+    before = spark.conf.get(name)
+    with suffix_dedup._small_batches(spark):
+        most = max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect())
+    assert most < 5 << 20  # 30 MB in all
+    assert spark.conf.get(name) == before
+    result = dedup_substrings(docs.limit(5))
+    assert spark.conf.get(name) == before
+    # no text goes to Python later, when the setting has its value back
+    assert "MapInArrow" not in result._jdf.queryExecution().toString()
+    assert {tuple(r)[1:4] for r in result.collect()} == {(51_200, 51_200, 1)}
