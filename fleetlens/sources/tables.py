@@ -26,10 +26,13 @@ class BatchTable:
     """Folder of committed batches below `delta` and, after compaction or folding, below `base`, `fold1` and `fold2`.
 
     `bloom` names columns whose files get Bloom filters, so that a search for one value skips the row groups without it.
+    `row_group` is the size of a row group in bytes (default: that of the session): a task holds one in memory while it
+    reads or writes, which matters where rows are whole payloads.
     """
 
-    def __init__(self, spark, path, schema, bloom=()):
+    def __init__(self, spark, path, schema, bloom=(), row_group=None):
         self.spark, self.path, self.schema, self.bloom = spark, path.rstrip("/"), schema, tuple(bloom)
+        self.row_group = row_group
 
     def _committed(self, kind):
         """Ids of the committed batches: a listing of folder names on the driver, one per batch."""
@@ -54,6 +57,8 @@ class BatchTable:
         writer = rows.write.mode("overwrite").partitionBy(*partition_by)
         for c in self.bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        if self.row_group:
+            writer = writer.option("parquet.block.size", str(self.row_group))
         writer.parquet(f"{self.path}/{kind}/{BATCH}={batch_id}")
 
     def _fields(self):
@@ -73,6 +78,10 @@ class BatchTable:
                 rows = rows.unionByName(self._scan(kind, ids))
         return rows
 
+    def read_batch(self, batch_id):
+        """The rows of one batch as they were written."""
+        return self._scan("delta", [batch_id])
+
     def _scan(self, kind, ids):
         root = f"{self.path}/{kind}"
         scan = self.spark.read.schema(self._fields()).option("basePath", root)

@@ -21,6 +21,9 @@ from fleetlens.sources.objects import endpoint_table
 # Batches between two compactions of a table that is read while streaming.
 COMPACT_EVERY = 50
 
+# Size of a row group of tables whose rows may hold whole payloads.
+ROW_GROUP = 16 << 20
+
 
 def run(stream, checkpoint, each_batch, available_now=True, interval="10 seconds"):
     """Start a stream of micro-batches; with `available_now` it ends when all input is done."""
@@ -183,49 +186,69 @@ def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where
     All rows are kept to compare with, unless `lateness` (in the unit of the numeric first order column) is given: then a
     compaction leaves only the last row per key of those that are older than the newest row less `lateness`, and rows that
     come after it and are older than that bound go to `late`. Keys must not be null.
+
+    Rows are compared by `keys`, `order`, `cols` and the hash, which is kept with them: columns besides these (payloads)
+    are read for the rows of the log only, once these are known.
     """
     source = stream if where is None else stream.filter(where)
     spark = stream.sparkSession
     prepare = prepare or (lambda b: b)
     shape = prepare(spark.createDataFrame([], source.schema))
     fields, total = shape.columns, [*keys, *order, "_hash"]
+    compared = list(dict.fromkeys([*total, *cols]))
+    rest = [c for c in fields if c not in compared]
     told = lambda df: df.withColumn("_hash", F.xxhash64(*hashable(df.select(*fields))))
-    log = tables.BatchTable(spark, f"{path}/out", told(shape).withColumn("weight", F.lit(1)).schema)
-    seen = tables.BatchTable(spark, f"{path}/seen", shape.schema)
+    table = lambda name, schema: tables.BatchTable(spark, f"{path}/{name}", schema, row_group=ROW_GROUP)
+    log = table("out", told(shape).withColumn("weight", F.lit(1)).schema)
+    seen = table("seen", told(shape).schema)
     bounds = tables.BatchTable(spark, f"{path}/bounds", "bound DOUBLE")
-    late = tables.BatchTable(spark, f"{path}/late", shape.schema)
+    late = table("late", shape.schema)
     at = F.struct(*order)
+    # a table that was written without the hash gets it at its next compaction
+    hashed = told if not seen.read().filter("_hash IS NULL").isEmpty() else (lambda df: df)
 
-    def net(df):
-        row = F.any_value(F.struct(*[c for c in fields if c not in total])).alias("_rest")
+    def net(df, names=tuple(fields)):
+        row = F.any_value(F.struct(*[c for c in names if c not in total])).alias("_rest")
         out = df.groupBy(*total).agg(row, F.sum("weight").cast("int").alias("weight")).filter("weight <> 0")
-        return out.select(*[F.col(c) if c in total else F.col(f"_rest.{c}") for c in fields], "_hash", "weight")
+        cols = [F.col(c) if c in total else F.col(f"_rest.{c}") for c in names if c != "_hash"]
+        return out.select(*cols, "_hash", "weight")
 
     def changed(df, weight):
-        found = changes.only_changes(told(df), keys, [*order, "_hash"], cols, rows).filter("_compared").drop("_compared")
+        found = changes.only_changes(df, keys, [*order, "_hash"], cols, rows).filter("_compared").drop("_compared")
         return found.withColumn("weight", F.lit(weight))
 
+    def whole(df, held):
+        """Rows of the log with the columns that weren't compared, from the rows that were held."""
+        key = F.struct(*total).alias("_key")  # as one value, so that null equals null
+        found = held.select(key, F.struct(*rest).alias("_rest"))
+        both = df.select(key, F.struct(*[c for c in compared if c not in total], "weight").alias("_row")).join(found, "_key")
+        both = both.groupBy("_key").agg(F.any_value("_row").alias("_row"), F.any_value("_rest").alias("_rest"))
+        side = lambda c: "_key" if c in total else "_rest" if c in rest else "_row"
+        return both.select(*[F.col(f"{side(c)}.{c}").alias(c) for c in [*fields, "_hash", "weight"]])
+
     def each(b, i):
         b = prepare(b)
         bound = bounds.read(before=i).agg(F.max("bound")).first()[0]
         if bound is not None:
             late.write(b.filter(F.col(order[0]) < bound), i)
             b = b.filter(F.col(order[0]) >= bound)
-        b = b.persist()
-        low = b.groupBy(*keys).agg(F.min(at).alias("_low"))
+        # what follows reads the written rows, and of them only the columns that it needs
+        seen.write(told(b), i)
+        b, held = seen.read_batch(i), hashed(seen.read(before=i))
+        new = b.select(*compared)
+        low = new.groupBy(*keys).agg(F.min(at).alias("_low"))
         # of the rows before this batch those that follow its first row of a key, and the one before that
-        old = spread_join(seen.read(before=i), low, list(keys), order, "inner", rows)
+        old = spread_join(held.select(*compared), low, list(keys), order, "inner", rows)
         after = old.filter(at >= F.col("_low")).drop("_low").withColumn("_compared", F.lit(True))
-        before = newest_rows(told(old.filter(at < F.col("_low")).drop("_low")), keys, [*order, "_hash"], 1, rows)
-        known = after.unionByName(before.drop("_hash").withColumn("_compared", F.lit(False))).persist()
-        now = changed(known.unionByName(b.withColumn("_compared", F.lit(True))), 1)
-        log.write(net(now.unionByName(changed(known, -1))), i)
-        seen.write(b, i)
+        before = newest_rows(old.filter(at < F.col("_low")).drop("_low"), keys, [*order, "_hash"], 1, rows)
+        known = after.unionByName(before.withColumn("_compared", F.lit(False))).persist()
+        now = changed(known.unionByName(new.withColumn("_compared", F.lit(True))), 1)
+        found = net(now.unionByName(changed(known, -1)), compared)
+        log.write(whole(found, held.unionByName(b)) if rest else found, i)
         known.unpersist()
-        b.unpersist()
         if i and i % COMPACT_EVERY == 0:
             log.compact(i, net)
-            seen.compact(i, lambda df: fold(df, i))
+            seen.compact(i, lambda df: fold(hashed(df), i))
 
     def fold(df, i):
         if lateness is None:
@@ -235,7 +258,7 @@ def stream_changes(stream, path, checkpoint, keys, order, cols, rows=None, where
             return df
         bounds.write(spark.createDataFrame([(float(newest - lateness),)], "bound DOUBLE"), i)
         recent = F.col(order[0]) >= newest - lateness
-        last = newest_rows(told(df.filter(~recent)), keys, [*order, "_hash"], 1, rows).drop("_hash")
+        last = newest_rows(df.filter(~recent), keys, [*order, "_hash"], 1, rows)
         return df.filter(recent).unionByName(last)
 
     query = run(source, checkpoint, each, **options)

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,45 @@ def test_a_late_row_corrects_its_successor(spark, source, tmp_path):
     assert {r.seq for r in view().collect()} == {5, 25}
 
 
+def test_changes_compare_rows_without_their_payloads(spark, source, tmp_path, monkeypatch):
+    # seven micro-batches of which two are compacted; rows come twice and have null orders, `op` isn't compared
+    monkeypatch.setattr(runs, "COMPACT_EVERY", 2)
+    seen, only_changes = [], changes.only_changes
+    monkeypatch.setattr(changes, "only_changes", lambda df, *a, **b: seen.append(df.columns) or only_changes(df, *a, **b))
+    rows = [r if i % 9 else (*r[:2], None, *r[3:]) for i, r in enumerate(events()) if r[1] is not None]
+    rows += rows[::5]
+    random.Random(6).shuffle(rows)
+    source.add(*cut(rows, 7))
+    dirs = str(tmp_path / "t"), str(tmp_path / "c")
+    _, view, _, _ = runs.stream_changes(source.stream(), *dirs, ["k"], ["seq"], ["v"])
+    assert seen and all(set(c) == {"k", "seq", "v", "_hash", "_compared"} for c in seen)
+    want = spark.createDataFrame(rows, SCHEMA).withColumn("_hash", F.xxhash64("scope", "k", "seq", "op", "v"))
+    same(view(), only_changes(want, ["k"], ["seq", "_hash"], ["v"]).drop("_hash"))
+
+
+def test_changes_go_on_with_rows_kept_without_hash(spark, source, tmp_path):
+    dirs = str(tmp_path / "t"), str(tmp_path / "c")
+    source.add([(0, 1, 10, "x", 1), (0, 1, 20, "y", 1), (0, 1, 30, "x", 2)])
+    runs.stream_changes(source.stream(), *dirs, ["k"], ["seq"], ["v"])
+    kept = tables.BatchTable(spark, f"{dirs[0]}/seen", SCHEMA)
+    kept.write(spark.createDataFrame(kept.read().collect(), SCHEMA), 0)
+    source.add([(0, 1, 15, "z", 3)])
+    _, view, _, _ = runs.stream_changes(source.stream(), *dirs, ["k"], ["seq"], ["v"])
+    assert {(r.seq, r.op) for r in view().collect()} == {(10, "x"), (15, "z"), (20, "y"), (30, "x")}
+
+
+def test_changes_keep_payloads_in_small_row_groups(spark, source, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "ROW_GROUP", 64 << 10)
+    rnd = random.Random(9)
+    source.add([(0, i % 7, i, "".join(rnd.choices("abcdefghijklmnop", k=2000)), i) for i in range(400)])
+    dirs = str(tmp_path / "t"), str(tmp_path / "c")
+    runs.stream_changes(source.stream(), *dirs, ["k"], ["seq"], ["v"])
+    for name in ("seen", "out"):
+        files = [pq.ParquetFile(f).metadata for f in (tmp_path / "t" / name).rglob("*.parquet")]
+        groups = [m.row_group(g).num_rows for m in files for g in range(m.num_row_groups)]
+        assert sum(groups) == 400 and max(groups) <= 200
+
+
 def test_rows_beyond_the_lateness_are_set_aside(spark, source, tmp_path, monkeypatch):
     monkeypatch.setattr(runs, "COMPACT_EVERY", 1)
     row = lambda seq, v: (0, 1, seq, "x", v)
