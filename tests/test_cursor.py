@@ -40,6 +40,38 @@ def test_chained_pages_are_the_sorted_table(rows, orders):
     assert [key(r, orders) for r in got] == sorted(key(r, orders) for r in data)
 
 
+@pytest.mark.parametrize("orders", [[("a", "asc")], [("c", "desc"), ("b", "asc")], []])
+@pytest.mark.parametrize("size", [20, 115, 500])
+def test_long_pages_are_the_short_ones(rows, orders, size):
+    # pages that end in the middle of equal rows, at their end, and within one group of them
+    df = rows(SCHEMA, *table(3), *[(None, None, float("nan"))] * 9, (1, "x", float("nan")))
+    short, at, n = None, None, 0
+    while n == 0 or at:
+        short = cursor_page(df, orders, size, at)
+        long = cursor_page(df, orders, size, at, top_n=0)
+        page = [str(tuple(r)) for r in long.collect()]
+        assert page == [str(tuple(r)) for r in short.collect()]
+        n += len(page)
+        before, at = at, next_cursor(short, orders, at)
+        assert repr(at) == repr(next_cursor(long, orders, before))
+        assert at is None or len(page) == size or n == 230
+    assert n == 230
+
+
+def test_no_task_and_no_driver_holds_a_long_page(spark, monkeypatch):
+    df = spark.range(40_000).selectExpr("id % 5 AS g", "id % 20000 AS id")
+    collected, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda df: collected.append(out := collect(df)) or out)
+    page = cursor_page(df, [("g", "asc")], 15_000)
+    cursor = next_cursor(page, [("g", "asc")])
+    assert (cursor.values, cursor.seen, page.count()) == ((1,), 2, 15_000)
+    again = cursor_page(df, [("g", "asc")], 15_000, cursor)
+    assert next_cursor(again, [("g", "asc")], cursor).values == (3,)
+    assert max(map(len, collected)) < 100
+    for x in (page, again):
+        assert "TakeOrderedAndProject" not in x._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_bound_reaches_the_scan(spark, tmp_path):
     spark.range(1000).selectExpr("id", "id % 7 AS g").write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
