@@ -183,6 +183,23 @@ def test_changes_keep_payloads_in_small_row_groups(spark, source, tmp_path, monk
         assert sum(groups) == 400 and max(groups) <= 200
 
 
+def test_jobs_fingerprint_parses_jobs_once(rows):
+    whole = '{"jobs":[{"jid":"1"},{"jid":"2"}]}'
+    texts = [None, "", " ", "null", "5", "{", whole[:20], "{}", '{"jobs":null}', '{"jobs":[]}', '{"other":1}', whole,
+             '{"jobs":[{"jid":"2"},{"jid":"1"}]}', '{"jobs":[{"jid":"1"}]}', '{"jobs":[null]}', '{"jobs":[{"jid":"1","start-time":"x"}]}']
+    df = rows("i INT, payload STRING", *enumerate(texts))
+    p = F.from_json("payload", f"{schemas.JOB_OVERVIEW}, _corrupt_record STRING")
+    jobs = F.coalesce(F.array_sort(F.transform(p["jobs"], lambda j: F.xxhash64(j))), F.array().cast("array<bigint>"))
+    want = F.when(p.isNotNull() & p["_corrupt_record"].isNull(), F.xxhash64(F.size(jobs), jobs))
+    got = df.select("i", runs.jobs_fingerprint(F.col("payload")).alias("x"), want.alias("y"))
+    prints = {texts[r.i]: r.x for r in got.collect()}
+    assert all(r.x == r.y for r in got.collect())
+    assert [prints[t] for t in texts[:7]] == [None] * 7 and len({prints[t] for t in texts[7:11]}) == 1
+    assert prints[whole] == prints[texts[12]] != prints[texts[13]]
+    parsed = lambda col: df.select(col)._jdf.queryExecution().optimizedPlan().toString().count("from_json(")
+    assert parsed(runs.jobs_fingerprint(F.col("payload"))) < parsed(want)
+
+
 def test_rows_beyond_the_lateness_are_set_aside(spark, source, tmp_path, monkeypatch):
     monkeypatch.setattr(runs, "COMPACT_EVERY", 1)
     row = lambda seq, v: (0, 1, seq, "x", v)
